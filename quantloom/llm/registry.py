@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, language_id, packing, quality_classifier, quality_rules, token_counts, token_output, url_filter, warc
+from . import decontaminate, language_id, ngram_join, packing, quality_classifier, quality_rules, token_counts, token_output, url_filter, warc
 
-MODULES = (token_output, url_filter, language_id, warc, packing, quality_rules, token_counts, quality_classifier, decontaminate)
+MODULES = (token_output, url_filter, language_id, warc, packing, ngram_join, quality_rules, token_counts, quality_classifier, decontaminate)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
