@@ -20,7 +20,7 @@ from .common import staged, table
 
 SPACE = r"[\\x20\\x09-\\x0D]+"
 METRICS = ("word_len", "symbols", "dup_lines", "repeats")
-SLACK = {"word_len": 15_000, "symbols": 300, "dup_lines": 1_000, "repeats": 500}
+SLACK = {"word_len": 15_000, "symbols": 500, "dup_lines": 3_000, "repeats": 2_000}
 SPREAD, MIN_GROUP, MAX_BROADCAST_GROUPS = 8, 200, 20_000
 
 
