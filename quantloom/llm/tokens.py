@@ -1,42 +1,53 @@
-"""Byte-level BPE encoding of whole texts with the tokenizers library, and exact memos of what it returned.
-
-A single space between two non-space characters always starts a new pre-token, whatever stands around it, so a text
-is cut there into units and each distinct unit is encoded once. A text in which the plain cut is not enough (double
-spaces, spaces beside line breaks, at an end) is cut by a pattern instead. Units of simple letters, digits and
-punctuation go through the vocabulary's pre-token pattern and the library's BPE model; all others through the
-library's whole encoder. Special tokens' strings in a text are ordinary text. The memos are bounded and start anew.
+"""Byte-level BPE encoding of whole texts with the tokenizers library, and an exact memo of what it returned.
+
+A text of printable characters up to U+024F and line breaks is cut by the vocabulary's pre-token pattern, and each
+distinct pre-token goes through the library's BPE model once. In any other text a single space between two non-space
+characters always starts a new pre-token, whatever stands around it: the text is cut there into units, and units with
+other characters go through the library's whole encoder. Special tokens' strings in a text are ordinary text. The
+memo has two generations of bounded size: when one is full it becomes the old one, from which what is seen again is
+taken over.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
-import regex
 
-MAX_UNITS, MAX_PIECES = 500_000, 400_000
-_CUT = regex.compile(r"(?<=\S) (?=\S)")
-_SIMPLE = regex.compile(r"[\x20-\x7E\n¡-ɏ]*")
+MAX_MEMO = 300_000
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_PLAIN = re.compile(r"[\x20-\x7E\n¡-ɏ]*")
+#: The vocabulary's pre-token pattern for plain characters.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ \n{_L}{_N}]+|[ \n]+(?![^ \n])|[ \n]+")
 #: The byte-to-character table of byte-level BPE vocabularies.
 _KEPT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _MAPPED = {b: chr(b) for b in _KEPT} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(_KEPT))}
 
 
-class _Units(dict):
-    """unit -> code; -1: the unit may not be cut off by a plain split."""
+class _Memo(dict):
+    """Plain pre-token or other unit -> its number; its ids are ids[ends[number] : ends[number + 1]]."""
 
-    def __init__(self, owner: Encoder, lead: str) -> None:
+    def __init__(self, whole, old: _Memo | None) -> None:
         super().__init__()
-        self.owner, self.lead = owner, lead
+        self.whole, self.model, self.old = whole, whole.model, old
+        self.ids, self.ends = array("I"), array("q", [0])
 
-    def __missing__(self, unit: str) -> int:
-        if not unit or unit[-1].isspace() or (self.lead and unit[0].isspace()):
-            code = -1
+    def __missing__(self, text: str) -> int:
+        old = self.old
+        if old is not None and (k := old.get(text)) is not None:
+            self.ids.extend(old.ids[old.ends[k] : old.ends[k + 1]])
+        elif _PLAIN.fullmatch(text):
+            mapped = text.replace(" ", "Ġ") if text.isascii() and "\n" not in text else text.encode().decode("latin-1").translate(_MAPPED)
+            self.ids.extend([t.id for t in self.model.tokenize(mapped)])
         else:
-            code = self.owner.add(self.lead + unit)
-        self[unit] = code
-        return code
+            self.ids.extend(self.whole.encode(text, add_special_tokens=False).ids)
+        self.ends.append(len(self.ids))
+        self[text] = number = len(self.ends) - 2
+        return number
 
 
 class Encoder:
@@ -52,10 +63,7 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.model = self.whole.model
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.pieces: dict[str, list[int]] = {}
-        self.reset()
+        self.memo = _Memo(self.whole, None)
 
     @classmethod
     def of(cls, path: str | None = None) -> Encoder:
@@ -64,62 +72,29 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def reset(self) -> None:
-        self.first, self.rest, self.cut = _Units(self, ""), _Units(self, " "), {}
-        self.ids, self.ends = array("I"), array("q", [0])
-
-    def piece(self, text: str) -> list[int]:
-        found = self.pieces.get(text)
-        if found is None:
-            found = self.pieces[text] = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_MAPPED))]
-        return found
-
-    def add(self, unit: str) -> int:
-        plain = unit.isascii() or max(unit) <= "ɏ"
-        if plain and (unit[1:] if unit[0] == " " else unit).isalpha():
-            self.ids.extend(self.piece(unit))
-        elif plain and len(unit) > 2 and unit[-1] in ",." and (unit[1:-1] if unit[0] == " " else unit[:-1]).isalpha():
-            self.ids.extend(self.piece(unit[:-1]))
-            self.ids.extend(self.piece(unit[-1]))
-        elif plain and _SIMPLE.fullmatch(unit):
-            for p in self.pattern.findall(unit):
-                self.ids.extend(self.piece(p))
-        else:
-            self.ids.extend(self.whole.encode(unit, add_special_tokens=False).ids)
-        self.ends.append(len(self.ids))
-        return len(self.ends) - 2
-
     def codes(self, text: str) -> list[int]:
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return self.by_cut(text)
-        found = [self.first[parts[0]], *map(self.rest.__getitem__, parts[1:])]
-        return self.by_cut(text) if -1 in found else found
-
-    def by_cut(self, text: str) -> list[int]:
-        if not text:
-            return []
-        at = [0, *(m.start() for m in _CUT.finditer(text)), len(text)]
-        found = []
+        get = self.memo.__getitem__
+        if _PLAIN.fullmatch(text):
+            return list(map(get, _PIECES.findall(text)))
+        at, found = [0, *(m.start() for m in _CUT.finditer(text)), len(text)], []
         for a, b in zip(at, at[1:], strict=False):
             unit = text[a:b]
-            code = self.cut.get(unit)
-            if code is None:
-                code = self.cut[unit] = self.add(unit)
-            found.append(code)
+            if _PLAIN.fullmatch(unit):
+                found += map(get, _PIECES.findall(unit))
+            else:
+                found.append(get(unit))
         return found
 
     def batch(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(all ids as uint32, where each text's ids end); null texts are empty; `end`: an id after each text."""
         parts, bounds, total = [], [], 0
         for lo in range(0, len(texts), 64):
-            if len(self.ends) > MAX_UNITS:
-                self.reset()
-            if len(self.pieces) > MAX_PIECES:
-                self.pieces.clear()
+            if len(self.memo) > MAX_MEMO:
+                self.memo.old = None
+                self.memo = _Memo(self.whole, self.memo)
             each = [self.codes(t) if t else [] for t in texts[lo : lo + 64]]
-            codes = np.fromiter((c for x in each for c in x), np.int64, sum(map(len, each)))
-            ids, ends = np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64)
+            codes = np.fromiter(chain.from_iterable(each), np.int64, sum(map(len, each)))
+            ids, ends = np.frombuffer(self.memo.ids, np.uint32) if self.memo.ids else np.zeros(0, np.uint32), np.frombuffer(self.memo.ends, np.int64)
             starts = ends[codes]
             sizes = ends[codes + 1] - starts
             upto = np.cumsum(sizes)

@@ -41,8 +41,7 @@ def test_encoder_equals_library(texts):
 
 
 def test_encoder_memo_restarts(monkeypatch):
-    monkeypatch.setattr("quantloom.llm.tokens.MAX_UNITS", 10)
-    monkeypatch.setattr("quantloom.llm.tokens.MAX_PIECES", 5)
+    monkeypatch.setattr("quantloom.llm.tokens.MAX_MEMO", 10)
     texts = [t for _, t, *_ in corpus()] * 2
     ids, ends = Encoder.of().batch(texts, end=2)
     assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*ids_of(t), 2] for t in texts]
