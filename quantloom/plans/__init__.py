@@ -1 +1,5 @@
+"""Named queries over the sample tables, and the DuckDB SQL each is held against."""
 
+from .catalog import ORACLES, QUERIES, flagship
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]

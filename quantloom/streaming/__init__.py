@@ -1 +1 @@
-
+"""Beyond the batch operators: rating actions as a stream."""
