@@ -170,7 +170,7 @@ def fit(rows: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Gam:
     share = min(1.0, max_rows / max(known.count(), 1))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     got = sorted(tuple(r) for r in rows.join(known, "doc_id").select("doc_id", "quality", "x").collect())
-    return Gam(np.array([r[2] for r in got]).reshape(len(got), -1), np.array([r[1] for r in got], float))
+    return Gam(np.array([r[2] for r in got]).reshape(len(got), len(MEASURES)), np.array([r[1] for r in got], float))
 
 
 def score(rows: DataFrame, model: Gam) -> DataFrame:
