@@ -17,13 +17,16 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = f"file://{tempfile.gettempdir()}/quantloom-shared-{os.getuid()}"
         spark.conf.set("spark.checkpoint.dir", found)
+    if "://" not in found:  # a plain path belongs to the cluster's default file system
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        found = found.replace("file:/", "file:///", 1) if found.startswith("file:/") and not found.startswith("file://") else found
     return found.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is created."""
-    base = shared_dir(spark)
-    return f"{base if '://' in base else 'file://' + base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -4,7 +4,8 @@ Every document gets word and line measures in its own row, without a shuffle. Fo
 (lang, source) in a mergeable quantile sketch: counts of values rounded down to six significant bits, so a quantile
 has a relative error below 1/32 however the rows are dealt, and sketches merge by adding counts. A group's upper
 fence is  q50 + spread * (q75 - q50) + slack, its lower fence (mean word length only) the mirror image with q25.
-A group with fewer than `min_group` documents uses its language's merged sketch, then that of all documents.
+Duplicate lines are a share of lines + 2, so that one repeated header rejects no short text. A group with fewer than
+`min_group` documents uses its language's merged sketch, then that of all documents.
 
 Defined cases. Null or empty text: no words, so base_failed. Null lang or source: a group of its own. Ties: a value on
 a fence is kept. Repeated rows: each is judged by itself. Empty table: empty result. Other columns are ignored by
@@ -58,7 +59,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def _metric(name: str) -> str:
     """Integer metric in ten-thousandths, from the measures; null where the document failed the base rules."""
-    num, den = {"word_len": ("__m.w.chars", "__m.w.n"), "symbols": ("__m.sym", "__m.w.chars"), "dup_lines": ("__m.l.dup", "__m.l.n"), "repeats": ("__m.w.rep", "__m.w.n")}[name]
+    num, den = {"word_len": ("__m.w.chars", "__m.w.n"), "symbols": ("__m.sym", "__m.w.chars"), "dup_lines": ("__m.l.dup", "(__m.l.n + 2)"), "repeats": ("__m.w.rep", "__m.w.n")}[name]
     return f"(10000 * {num}) div greatest({den}, 1L)"
 
 
@@ -135,7 +136,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     trim = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
-    metric = {"word_len": "10000 * word_chars // greatest(n_words, 1)", "symbols": "10000 * n_symbols // greatest(word_chars, 1)", "dup_lines": "10000 * n_dup_lines // greatest(n_lines, 1)", "repeats": "10000 * n_repeat_words // greatest(n_words, 1)"}
+    metric = {"word_len": "10000 * word_chars // greatest(n_words, 1)", "symbols": "10000 * n_symbols // greatest(word_chars, 1)", "dup_lines": "10000 * n_dup_lines // greatest(n_lines + 2, 1)", "repeats": "10000 * n_repeat_words // greatest(n_words, 1)"}
     fences = ", ".join(f"max(case when metric = '{m}' then q50 + {SPREAD} * (q75 - q50) + {SLACK[m]} end) as {m}_hi, max(case when metric = '{m}' then q50 - {SPREAD} * (q50 - q25) - {SLACK[m]} end) as {m}_lo" for m in METRICS)
     bad = " or ".join([*(f"coalesce({metric[m]} > (case when f0.total >= {MIN_GROUP} then f0.{m}_hi when f1.total >= {MIN_GROUP} then f1.{m}_hi else f2.{m}_hi end), false)" for m in METRICS),
                        f"coalesce({metric['word_len']} < (case when f0.total >= {MIN_GROUP} then f0.word_len_lo when f1.total >= {MIN_GROUP} then f1.word_len_lo else f2.word_len_lo end), false)"])
