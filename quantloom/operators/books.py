@@ -24,12 +24,16 @@ def weights(rows: DataFrame, keys: list[str], cap: str | None = None) -> DataFra
 
 def traded(held: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, date, traded): sum of |w - w at the previous holding date|; the first date trades sum of |w|. Dates are
-    numbered by holding date, and a full outer join of each date with the one before replaces a pivot."""
+    numbered by holding date. A name's rows give its changes, and the sale at the next date after its last, by lag and
+    lead along the name: one shuffle by name, no self-join and no pivot."""
     keys = keys or []
     dates = held.select(*keys, "date").distinct().withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("date")))
-    now = held.join(F.broadcast(dates), [*keys, "date"]).select(*keys, "symbol", "k", "w")
-    before = now.select(*keys, "symbol", (F.col("k") + 1).alias("k"), F.col("w").alias("w0"))
-    moves = now.join(before, [*keys, "symbol", "k"], "full_outer").groupBy(*keys, "k").agg(F.sum(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("w0", F.lit(0.0)))).alias("traded"))
+    rows = held.join(F.broadcast(dates), [*keys, "date"]).select(*keys, "symbol", "k", "w")
+    own = Window.partitionBy(*keys, "symbol").orderBy("k")
+    rows = rows.withColumns({"k0": F.lag("k").over(own), "w0": F.lag("w").over(own), "k1": F.lead("k").over(own)})
+    change = F.struct(F.col("k"), F.abs(F.col("w") - F.when(F.col("k0") == F.col("k") - 1, F.col("w0")).otherwise(0.0)).alias("m"))
+    sale = F.when(F.coalesce(F.col("k1") != F.col("k") + 1, F.lit(True)), F.struct((F.col("k") + 1).alias("k"), F.abs("w").alias("m")))
+    moves = rows.select(*keys, F.explode(F.array_compact(F.array(change, sale))).alias("e")).groupBy(*keys, F.col("e.k").alias("k")).agg(F.sum("e.m").alias("traded"))
     return dates.join(moves, [*keys, "k"]).select(*keys, "date", "traded")
 
 
