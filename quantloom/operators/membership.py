@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def change_events(changes: DataFrame) -> DataFrame:
@@ -17,14 +18,14 @@ def change_events(changes: DataFrame) -> DataFrame:
 def membership_asof(today: DataFrame, changes: DataFrame, dates: DataFrame) -> DataFrame:
     """(date, symbol): the members at each date. The earliest change after a date decides: a name that was removed then
     was a member, one that was added was not; without a later change today's membership holds. A change dated on the
-    date itself is in force already."""
+    date itself is in force already. One shuffle by name."""
     events = change_events(changes)
     names = today.select("symbol").unionByName(events.select("symbol")).distinct()
-    grid = names.crossJoin(F.broadcast(dates.select(F.col("date").alias("as_of"))))
-    later = grid.join(events, "symbol", "left")
-    after = F.when(F.col("date") > F.col("as_of"), F.struct("date", "kind"))
-    state = later.groupBy("symbol", "as_of").agg(F.min(after).alias("next"))
+    grid = names.crossJoin(F.broadcast(dates.select("date"))).select("symbol", "date", F.lit(0).alias("side"), F.lit(None).cast("int").alias("kind"))
+    rows = grid.unionByName(events.select("symbol", "date", F.lit(1).alias("side"), "kind"))
+    # Backwards in time the last change seen is the next one; a date sees none of its own, and of one date's the removal.
+    later = Window.partitionBy("symbol").orderBy(F.desc("date"), "side", F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    state = rows.withColumn("next", F.last("kind", ignorenulls=True).over(later)).where("side = 0")
     now = today.select("symbol", F.lit(True).alias("now")).distinct()
-    state = state.join(now, "symbol", "left")
-    member = F.when(F.col("next").isNotNull(), F.col("next.kind") == 0).otherwise(F.coalesce("now", F.lit(False)))
-    return state.where(member).select(F.col("as_of").alias("date"), "symbol")
+    member = F.when(F.col("next").isNotNull(), F.col("next") == 0).otherwise(F.coalesce("now", F.lit(False)))
+    return state.join(now, "symbol", "left").where(member).select("date", "symbol")
