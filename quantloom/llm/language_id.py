@@ -6,7 +6,7 @@ text goes to the language of the centroid with the largest cosine. Distance-base
 that cosine is below a share of the lowest cosine seen in training for texts of that length class (powers of two of
 letters); a text without letters is `und` and rejected.
 
-Training takes a sample of the labelled rows, bounded by `per_language` expected rows a language (rows are chosen by a
+Training takes a sample of the labelled rows, bounded by `per_language` expected rows a language and `max_sample` in all (rows are chosen by a
 hash of doc_id, so the choice is the same everywhere); prediction takes every row and every character, long texts in
 slices. The model has a fixed size for each language: `clusters` vectors of `dim` floats.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-DIM, CLUSTERS, PER_LANGUAGE, REJECT_SHARE, SHARPNESS, SLICE, MAX_LANGUAGES = 4096, 4, 1500, 0.6, 25.0, 1 << 20, 1000
+DIM, CLUSTERS, PER_LANGUAGE, MAX_SAMPLE, REJECT_SHARE, SHARPNESS, SLICE, MAX_LANGUAGES = 4096, 4, 1500, 6000, 0.6, 25.0, 1 << 20, 1000
 UND = "und"
 _TABLE: list[np.ndarray] = []
 
@@ -63,9 +63,13 @@ def grams(text: str | None, dim: int = DIM) -> tuple[np.ndarray, int]:
 
 
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Normalised TF-IDF rows of rows of counts."""
-    v = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0).astype(np.float32) * idf
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    """Normalised TF-IDF rows of rows of counts, which they replace."""
+    some = counts > 0
+    v = np.log(np.maximum(counts, 1, out=counts), out=counts)
+    v += some
+    v *= idf
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    return v
 
 
 def _centroids(v: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -85,18 +89,24 @@ def _centroids(v: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 class Model:
     def __init__(self, texts: list[str], langs: list[str], dim: int = DIM, clusters: int = CLUSTERS) -> None:
-        rows = [(g, n, y) for t, y in zip(texts, langs, strict=True) for g, n in [grams(t, dim)] if n]
-        self.langs = sorted({y for *_, y in rows})
+        counts, letters, with_letters = np.zeros((len(texts), dim), np.float32), np.zeros(len(texts), np.int64), []
+        for text, lang in zip(texts, langs, strict=True):
+            counts[len(with_letters)], letters[len(with_letters)] = grams(text, dim)
+            if letters[len(with_letters)]:
+                with_letters.append(lang)
+        counts, letters = counts[: len(with_letters)], letters[: len(with_letters)]
+        self.langs = sorted(set(with_letters))
         self.dim = dim
-        if not rows:
+        if not with_letters:
             return
-        counts, letters, y = np.stack([g for g, *_ in rows]), np.array([n for _, n, _ in rows]), np.array([self.langs.index(x) for *_, x in rows])
-        self.idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
+        y = np.array([self.langs.index(x) for x in with_letters])
+        self.idf = (np.log((1 + len(y)) / (1 + np.count_nonzero(counts, 0))) + 1).astype(np.float32)
         v = vectors(counts, self.idf)
         each = [_centroids(v[y == k], clusters) for k in range(len(self.langs))]
         self.centroids = np.concatenate(each)
         self.owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
-        best, right = (v @ self.centroids.T).max(1), self._by_language(v @ self.centroids.T).argmax(1) == y
+        cosines = v @ self.centroids.T
+        best, right = cosines.max(1), self._by_language(cosines).argmax(1) == y
         sizes = np.log2(letters + 1).astype(int)
         self.floor, least = np.zeros(64), 0.0
         for s in range(64):  # a class without training texts takes that of the next shorter one
@@ -124,18 +134,19 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_sample: int = MAX_SAMPLE) -> Model:
     """Learn from text and lang of docs that aren't held out."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_remainder(3) != 1)).select("doc_id", "text", "lang")
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
         return Model([], [])
+    per_language = min(per_language, max(max_sample // len(counts), 1))
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
-    rows = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("doc_id", "text", "lang").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
-    return Model([r["text"] for r in rows], [r["lang"] for r in rows])
+    rows = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("doc_id", "text", "lang").toArrow().to_pydict()
+    order = sorted(range(len(rows["text"])), key=lambda i: (rows["doc_id"][i], rows["text"][i]))
+    return Model([rows["text"][i] for i in order], [rows["lang"][i] for i in order])
 
 
 def _with_predictions(docs: DataFrame, model: Model) -> DataFrame:
