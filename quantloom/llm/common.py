@@ -29,12 +29,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def scratch(spark: SparkSession, path: str) -> None:
+    """Have a folder removed when the driver's JVM ends in good order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut and lost executors don't matter."""
+    """Write df to the shared folder and read it back: lineage is cut and lost executors don't matter. The table lasts
+    as long as the driver."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     schema = df.schema
     df.write.parquet(path)
+    scratch(spark, path)
     return spark.read.schema(schema).parquet(path)
 
 

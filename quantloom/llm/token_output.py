@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_folder, staged, table
+from .common import new_folder, scratch, staged, table
 from .tokens import Encoder
 
 END = 2
@@ -80,6 +80,7 @@ def positions(found: DataFrame) -> DataFrame:
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "token-ids")
     write(table(spark, sf_dir, "documents"), path)
+    scratch(spark, path)
     found = staged(digests(read(spark, path)), "token-digests")
     return positions(found).select("doc_id", "start", "n_tokens", "ids_crc32")
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, new_folder, open_fs, table
+from .common import LOWER, UPPER, new_folder, open_fs, scratch, table
 
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
 #: The production list: the stated rules, then invented block entries.
@@ -100,6 +100,7 @@ def judge(urls: DataFrame, entries: DataFrame, default: str = "allow", shards: i
     """page_id, host, path, rule, verdict of urls (page_id, url) under entries (key, verdict)."""
     folder = new_folder(urls.sparkSession, "url-digests")
     manifest = build(entries, folder, shards).collect()  # a row a shard
+    scratch(urls.sparkSession, folder)
     bases, lengths = [r["base"] for r in manifest], sorted({x for r in manifest for x in r["lengths"]})
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, open_fs, staged, table
+from .common import new_folder, open_fs, scratch, staged, table
 
 INDEX = "archive string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -135,7 +135,9 @@ def read(index: DataFrame, folder: str, gap: int = 1 << 16, most: int = 4 << 20)
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
-    return read(write(table(spark, sf_dir, "pages"), folder), folder)
+    index = write(table(spark, sf_dir, "pages"), folder)
+    scratch(spark, folder)
+    return read(index, folder)
 
 
 ORACLE = """
