@@ -40,13 +40,14 @@ from .common import staged, table
 from .components import components
 
 WIDTH, PERCENT, SMALL, MAX_BLOCK, CHUNK = 3, 90, 200, 2048, 1024
-_FLUSH = 1 << 20
+_FLUSH = 1 << 19
+MAX_BROADCAST = 200_000  # rows of 24 bytes
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -399,7 +400,8 @@ def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_bl
     shared = _shared_counts(_postings(docs.where("doc_id is not null"), width, percent))
     alive = reps.join(shared, "key", "left").where("need <= 0 or coalesce(shared, 0) >= need").select(F.col("rep").alias("doc_id"), "fp")
     alive = staged(alive, "ngram-alive")
-    sets = staged(_sets(docs.join(alive, "doc_id").select("doc_id", "text", "fp"), width), "ngram-sets")
+    few = alive.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST  # then texts needn't be shuffled
+    sets = staged(_sets(docs.join(F.broadcast(alive) if few else alive, "doc_id").select("doc_id", "text", "fp"), width), "ngram-sets")
     prefixes = staged(_prefixes(sets, percent), "ngram-prefixes")
     blocks = _blocks(prefixes, components(_edges(prefixes, percent)), max_block, chunk)
     links = staged(_verified(blocks.join(sets, "node"), percent), "ngram-links")
