@@ -665,10 +665,19 @@ def _(s, d):
     return ml.folds(sample.labelled(s, d).select("date"))
 
 
+def _walk_forward(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = sample.labelled(s, d)
+    return ml.walk_forward(p, FACTORS, "ret", ml.folds(p.select("date")))
+
+
 @add("wf_predictions")
 def _(s, d):
-    p = sample.labelled(s, d)
-    return ml.walk_forward(p, FACTORS, "ret", ml.folds(p.select("date")), max_folds=1, trees=5, depth=2)[0]
+    return _walk_forward(s, d)[0]
+
+
+@add("wf_importances")
+def _(s, d):
+    return _walk_forward(s, d)[1]
 
 
 # ---- beyond the batch surface ------------------------------------------------------------------------------------

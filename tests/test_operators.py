@@ -6,9 +6,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from quantloom import plans
 from quantloom.functions import clip, ratio, rounded, row_mean, row_weighted_mean
 from quantloom.operators import asof, books, cross_section, membership, metrics, ml, point_in_time, signals, stats, text, time_series
-from quantloom.sources import cache_key, dedup_prices, io, month_ends, parse_cached, quarter_ends, read_present
+from quantloom.sources import cache_key, dedup_prices, io, month_ends, parse_cached, quarter_ends, read_present, sample
 
 D = dt.date.fromisoformat
 
@@ -231,6 +232,43 @@ def test_folds(spark):
     assert ml.folds(dates.limit(10)).count() == 0
 
 
+def test_walk_forward_fits_every_fold(spark):
+    import random
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rnd = random.Random(3)
+    rows = [(month(m), f"s{i}", rnd.random() if (m + i) % 9 else None, rnd.random(), rnd.gauss(0, 0.1)) for m in range(14) for i in range(12)]
+    panel = spark.createDataFrame([(*r[:4], r[4] + (r[3] - 0.5) / 5) for r in rows], "date date, symbol string, a double, b double, ret double")
+    parts = ml.folds(panel.select("date"), least=6, every=3, validation=2)
+    got, importances = ml.walk_forward(panel, ["a", "b"], "ret", parts, trees=3, depth=2)
+    got = {(r.fold, r.date, r.symbol): r.prediction for r in got.collect()}
+    assert set(got) == {(k, month(m), f"s{i}") for k, ms in ((0, (6, 7, 8)), (1, (9, 10, 11)), (2, (12, 13))) for m in ms for i in range(12)}
+    inputs, want, weights = ["rk_a", "rk_b", "na_a", "na_b"], {}, []
+    ranked = ml.ranked_features(panel, ["a", "b"]).join(panel.groupBy("date").agg(F.avg("ret").alias("mean")), "date").withColumn("target", F.col("ret") - F.col("mean"))
+    ranked = VectorAssembler(inputCols=inputs, outputCol="x").transform(ranked)
+    for k, start in enumerate((6, 9, 12)):
+        train = ranked.where(F.col("date") < F.lit(month(start - 1))).withColumn("v", F.col("date") >= F.lit(month(start - 3)))
+        model = GBTRegressor(featuresCol="x", labelCol="target", maxIter=3, maxDepth=2, seed=7, validationIndicatorCol="v").fit(train)
+        test = ranked.where(F.col("date").between(month(start), month(start + 2)))
+        want |= {(k, r.date, r.symbol): r.prediction for r in model.transform(test).collect()}
+        weights.append(model.featureImportances.toArray())
+    assert got == pytest.approx(want, abs=1e-9)
+    assert {r.feature: r.importance for r in importances.collect()} == pytest.approx({c: sum(w[j] for w in weights) / 3 for j, c in enumerate(inputs)}, abs=1e-9)
+
+
+def test_walk_forward_queries_cover_every_fold(spark):
+    d = "/root/testdata/sf0.001"
+    p = sample.labelled(spark, d)
+    parts = ml.folds(p.select("date"))
+    want = p.join(parts.where("role = 'test'"), "date").select("fold", "date", "symbol").collect()
+    assert {r.fold for r in want} == {0, 1}
+    assert sorted(map(tuple, plans.QUERIES["wf_predictions"](spark, d).select("fold", "date", "symbol").collect())) == sorted(map(tuple, want))
+    got = {r.feature: r.importance for r in plans.QUERIES["wf_importances"](spark, d).collect()}
+    assert set(got) == {f"{k}_{f}" for k in ("rk", "na") for f in sample.FACTORS} and sum(got.values()) == pytest.approx(1)
+
+
 def test_scalars_and_sources(spark, tmp_path):
     one = spark.createDataFrame([(1.0, None, 0.0, float("nan"))], "a double, b double, z double, n double")
     got = one.select(ratio("a", "z").alias("r"), clip("b", 0, 1).alias("c"), row_mean("a", "b").alias("m"), row_weighted_mean([("a", 2.0), ("b", 3.0)]).alias("w"), rounded("n").alias("n")).collect()[0]
