@@ -65,6 +65,7 @@ def series(spark: SparkSession, d: str) -> DataFrame:
 
 
 COSTS = [0.0, 5.0, 10.0, 25.0]
+ALL_COSTS = [*COSTS, 50.0]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -315,12 +316,14 @@ def _ic_sql(source: str, keys: str, x: str = "score", y: str = "r", least: int =
 
 
 _LAGS = 6
+_ALL_LAGS = 12
 
+for _name, _n in (("ic_decay", _LAGS), ("ic_decay_12", _ALL_LAGS)):
 
-@add("ic_decay", _more(query(f"select cast(lag as integer) as lag, n, {sixed('mean', 'std', 'hit', 'ir', 't')} from (select {_STATS.format(k='lag')} from ic where ic is not null group by lag)", "comp"),
-     "src as (" + " union all ".join(f"select {k} as lag, date, score, lead(ret, {k - 1}) over (partition by symbol order by date) as r from comp" for k in range(1, _LAGS + 1)) + ")", *_ic_sql("src", "lag, date")))
-def _(s, d):
-    return six(signals.ic_decay(composite(s, d), "score", "ret", _LAGS), ["lag", "n"], "mean", "std", "hit", "ir", "t")
+    @add(_name, _more(query(f"select cast(lag as integer) as lag, n, {sixed('mean', 'std', 'hit', 'ir', 't')} from (select {_STATS.format(k='lag')} from ic where ic is not null group by lag)", "comp"),
+         "src as (" + " union all ".join(f"select {k} as lag, date, score, lead(ret, {k - 1}) over (partition by symbol order by date) as r from comp" for k in range(1, _n + 1)) + ")", *_ic_sql("src", "lag, date")))
+    def _(s, d, lags=_n):
+        return six(signals.ic_decay(composite(s, d), "score", "ret", lags), ["lag", "n"], "mean", "std", "hit", "ir", "t")
 
 
 _COMPOUND = lambda h: "*".join(f"(1+lead(ret,{k}) over (partition by symbol order by date))" for k in range(h)) + "-1"
@@ -478,17 +481,24 @@ def _(s, d):
 
 
 # ---- metrics -----------------------------------------------------------------------------------------------------
-@add("net_returns", query(f"select series, date, cost_bps, {r6('net')} as net from net", "net"))
-def _(s, d):
-    return six(metrics.net_returns(series(s, d), COSTS), ["series", "date", "cost_bps"], "net")
+for _name, _costs, _net in (("net_returns", COSTS, "net"), ("net_returns_all_costs", ALL_COSTS, "net_all")):
 
+    @add(_name, query(f"select series, date, cost_bps, {r6('net')} as net from {_net}", _net))
+    def _(s, d, costs=_costs):
+        return six(metrics.net_returns(series(s, d), costs), ["series", "date", "cost_bps"], "net")
 
-_NETP = ("src as (select series || ':' || cast(cast(cost_bps as integer) as varchar) as sid, series, cost_bps, date, net as x from net)", _DD.format(k="sid"))
 
+def _net_dd(net: str) -> tuple[str, str]:
+    return f"src as (select series || ':' || cast(cast(cost_bps as integer) as varchar) as sid, series, cost_bps, date, net as x from {net})", _DD.format(k="sid")
 
-@add("cost_sensitivity", _more(query(f"select series, cost_bps, n, {sixed('cagr', 'vol', 'sharpe')} from (select {_PERF.format(k='series, cost_bps')} from dds group by series, cost_bps)", "net"), *_NETP))
-def _(s, d):
-    return six(metrics.performance(metrics.net_returns(series(s, d), COSTS), "net", ["series", "cost_bps"]), ["series", "cost_bps", "n"], "cagr", "vol", "sharpe")
+
+_NETP = _net_dd("net")
+
+for _name, _costs, _net in (("cost_sensitivity", COSTS, "net"), ("cost_sensitivity_all_costs", ALL_COSTS, "net_all")):
+
+    @add(_name, _more(query(f"select series, cost_bps, n, {sixed('cagr', 'vol', 'sharpe')} from (select {_PERF.format(k='series, cost_bps')} from dds group by series, cost_bps)", _net), *_net_dd(_net)))
+    def _(s, d, costs=_costs):
+        return six(metrics.performance(metrics.net_returns(series(s, d), costs), "net", ["series", "cost_bps"]), ["series", "cost_bps", "n"], "cagr", "vol", "sharpe")
 
 
 @add("perf_metrics", _more(query(f"select series, n, {sixed(*_PCOLS)} from (select {_PERF.format(k='series')} from dds where cost_bps = 10 group by series)", "net"), *_NETP))

@@ -269,6 +269,13 @@ def test_walk_forward_queries_cover_every_fold(spark):
     assert set(got) == {f"{k}_{f}" for k in ("rk", "na") for f in sample.FACTORS} and sum(got.values()) == pytest.approx(1)
 
 
+def test_every_lag_and_cost_of_the_reference(spark):
+    d = "/root/testdata/sf0.001"
+    assert {r.lag for r in plans.QUERIES["ic_decay_12"](spark, "/root/testdata/sf0.01").collect()} == set(range(1, 13))
+    assert {r.cost_bps for r in plans.QUERIES["net_returns_all_costs"](spark, d).collect()} == {0.0, 5.0, 10.0, 25.0, 50.0}
+    assert {r.cost_bps for r in plans.QUERIES["cost_sensitivity_all_costs"](spark, d).collect()} == {0.0, 5.0, 10.0, 25.0, 50.0}
+
+
 def test_scalars_and_sources(spark, tmp_path):
     one = spark.createDataFrame([(1.0, None, 0.0, float("nan"))], "a double, b double, z double, n double")
     got = one.select(ratio("a", "z").alias("r"), clip("b", 0, 1).alias("c"), row_mean("a", "b").alias("m"), row_weighted_mean([("a", 2.0), ("b", 3.0)]).alias("w"), rounded("n").alias("n")).collect()[0]
