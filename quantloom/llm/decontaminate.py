@@ -112,18 +112,21 @@ def _prepared(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int,
     return staged(prefixes(docs.select("text"), wins, shingle, max_inline), "bench-prefixes")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, max_inline: int = MAX_INLINE) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, max_inline: int = MAX_INLINE, each_row: bool = False) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated. Equal rows give one, or as many as they
+    are with each_row."""
     docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
     table_ = _prepared(docs, benchmark, window, shingle, max_inline)
     found, small = candidates(docs.withColumn("__k", F.xxhash64("text")), table_, window, shingle, max_inline)
-    rows = _verified(found.drop("text").select("doc_id", "__k", "__n", F.explode_outer("__c").alias("__e")), table_, small)
+    # The null at the end of the candidates stands for the row itself, so that equal rows are counted.
+    rows = _verified(found.drop("text").select("doc_id", "__k", "__n", F.explode(F.expr("array_append(__c, null)")).alias("__e")), table_, small)
     per = rows.groupBy("doc_id", "__k", "__n").agg(
         F.sort_array(F.collect_set(F.expr("case when __at is not null then named_struct('s', __at, 'e', __at + __w_len) end"))).alias("spans"),
         F.collect_set(F.expr("case when __at is not null then __w_items end")).alias("items"),
+        F.count_if(F.col("__e").isNull()).alias("copies"),
     )
     covered = "aggregate(spans, named_struct('end', 0, 'sum', 0), (a, v) -> named_struct('end', greatest(a.end, v.e), 'sum', a.sum + greatest(v.e - greatest(a.end, v.s), 0)), a -> cast(a.sum as long))"
-    per = per.selectExpr("doc_id", "__n as n_words", f"{covered} as n_hit", "array_distinct(flatten(items)) as items")
+    per = per.selectExpr("doc_id", "__n as n_words", f"{covered} as n_hit", "array_distinct(flatten(items)) as items", "explode(array_repeat(0, cast(copies as int))) as __row" if each_row else "0 as __row")
     return per.selectExpr(
         "doc_id", "n_words", "n_hit", "cast(size(items) as long) as n_items",
         "sha2(array_join(array_sort(transform(items, x -> cast(x as string))), ','), 256) as items_sha256", "n_hit > 0 as contaminated",
@@ -143,7 +146,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), each_row=True)
 
 
 _W = "list_filter(string_split_regex(translate(coalesce(text, ''), '" + UPPER + "', '" + LOWER + r"'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"

@@ -172,3 +172,19 @@ def test_warc_ranges_coalesce(spark):
     rows = [("a", 0, 10), ("a", 10, 5), ("a", 200, 5), ("b", 0, 4), ("a", 15, 5)]
     got = sorted(tuple(r)[:3] for r in warc.ranges(spark.createDataFrame(rows, "archive string, offset long, length long"), gap=50, most=1000).collect())
     assert got == [("a", 0, 20), ("a", 200, 205), ("b", 0, 4)]
+
+
+@pytest.mark.parametrize("inline", [200_000, 0])
+def test_decontamination_answers_for_every_row(spark, inline):
+    rows = [(1, "pre " + items()[0][1] + " post")] * 3 + [(2, "zz " * 30)] * 2 + [(3, None)] * 2 + [(4, "one")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(2), spark.createDataFrame(items(), "item_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.find(docs, bench, max_inline=inline, each_row=True).collect())
+    assert got == Counter((d, *brute_hits(t, items())) for d, t in rows)
+
+
+def test_decontamination_query_equals_sql_on_repeated_rows(spark, tmp_path):
+    rows = [(1, "pre " + items()[0][1] + " post")] * 3 + [(2, "zz " * 30)] * 2 + [(4, "one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items(), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = decontaminate.op10_benchmark_decontamination(spark, str(tmp_path)).collect()
+    same(got, *duck(decontaminate.ORACLE, documents=pd.DataFrame(rows, columns=["doc_id", "text"]), benchmark=pd.DataFrame(items(), columns=["item_id", "text"])))
