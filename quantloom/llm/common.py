@@ -1,22 +1,26 @@
-"""Shared helpers: the cluster's shared folder, staged tables and table loading."""
+"""Shared helpers: the cluster's shared folder, staged tables, table loading and column names."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a session without executors of its own (a `local`
+    master, as in tests) may leave it unset; it then gets a temporary folder for the application."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.gettempdir()}/quantloom-shared-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{tempfile.gettempdir()}/quantloom-{os.getuid()}-{spark.sparkContext.applicationId}"
     if "://" not in found:  # a plain path belongs to the cluster's default file system
         path = spark._jvm.org.apache.hadoop.fs.Path(found)
         found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -55,3 +59,23 @@ def open_fs(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri)}")
+
+
+def named(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, each with as many underscores added as keep it apart from df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """df's columns as expressions, whatever their names."""
+    return [F.col(quoted(c)) for c in df.columns]

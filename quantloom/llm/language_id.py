@@ -3,16 +3,24 @@
 A text becomes a TF-IDF vector of hashed character 1- to 3-grams (letters lower-cased, everything else one blank),
 with 1 + log(tf), of length 1. Each language has several centroids (spherical k-means over its training vectors). A
 text goes to the language of the centroid with the largest cosine. Distance-based rejection: `rejected` is true if
-that cosine is below a share of the lowest cosine seen in training for texts of that length class (powers of two of
-letters); a text without letters is `und` and rejected.
+that cosine is below a share of a low quantile of the cosines seen in training for texts of that length class (powers
+of two of letters). Short classes are filled with cuts of 8 to 256 characters of the training texts, so that short
+texts have a floor as well. A text without letters is `und` and rejected.
 
 Training takes a sample of the labelled rows, bounded by `per_language` expected rows a language and `max_sample` in all (rows are chosen by a
-hash of doc_id, so the choice is the same everywhere); prediction takes every row and every character, long texts in
-slices. The model has a fixed size for each language: `clusters` vectors of `dim` floats.
+hash of doc_id and text, so the choice is the same everywhere). Texts stay on the executors: the sample is a staged
+table, its gram counts are taken in tasks, document frequencies are a Spark sum, each language's clusters are fitted
+in a task of its own (at most about `per_language` sparse rows), and the floors are aggregates. The driver gets the
+frequencies (`dim` numbers), the centroids (`clusters` vectors of `dim` floats a language) and a floor for each length
+class. Prediction takes every row and every character, long texts in slices.
+
+Every non-null lang with a text that has letters is learnt. Above `MAX_LANGUAGES` of them `fit` raises ValueError: a
+column with so many values holds no languages, and none is left out silently.
 
 Result: doc_id, held_out (crc32 of doc_id as text mod 3 is 1; a null id is not), lang_pred, score (softmax share of the
-language), rejected. Ties: the language first in the alphabet. No labelled rows: all `und`. Repeated rows are predicted
-one by one. Other columns are ignored by `predict` and passed through by `keep`.
+language), rejected. Ties of cosines: the language first in the alphabet. No labelled rows: all `und`. Repeated rows
+are predicted one by one. An empty table gives no rows. Other columns, whatever their names, are ignored by `predict`
+and passed through by `keep`.
 """
 
 from __future__ import annotations
@@ -24,9 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import staged, table
 
-DIM, CLUSTERS, PER_LANGUAGE, MAX_SAMPLE, REJECT_SHARE, SHARPNESS, SLICE, MAX_LANGUAGES = 4096, 4, 1500, 6000, 0.6, 25.0, 1 << 20, 1000
+DIM, CLUSTERS, PER_LANGUAGE, MAX_SAMPLE, SHARPNESS, SLICE, MAX_LANGUAGES = 4096, 4, 1500, 6000, 25.0, 1 << 20, 2000
+#: A text is rejected below REJECT_SHARE times the LOW quantile of its length class, of at least LEAST training texts.
+REJECT_SHARE, LOW, LEAST = 0.6, 0.01, 20
+CUTS = (8, 16, 32, 64, 128, 256)
 UND = "und"
 _TABLE: list[np.ndarray] = []
 
@@ -88,31 +99,18 @@ def _centroids(v: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, texts: list[str], langs: list[str], dim: int = DIM, clusters: int = CLUSTERS) -> None:
-        counts, letters, with_letters = np.zeros((len(texts), dim), np.float32), np.zeros(len(texts), np.int64), []
-        for text, lang in zip(texts, langs, strict=True):
-            counts[len(with_letters)], letters[len(with_letters)] = grams(text, dim)
-            if letters[len(with_letters)]:
-                with_letters.append(lang)
-        counts, letters = counts[: len(with_letters)], letters[: len(with_letters)]
-        self.langs = sorted(set(with_letters))
-        self.dim = dim
-        if not with_letters:
-            return
-        y = np.array([self.langs.index(x) for x in with_letters])
-        self.idf = (np.log((1 + len(y)) / (1 + np.count_nonzero(counts, 0))) + 1).astype(np.float32)
-        v = vectors(counts, self.idf)
-        each = [_centroids(v[y == k], clusters) for k in range(len(self.langs))]
-        self.centroids = np.concatenate(each)
-        self.owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
-        cosines = v @ self.centroids.T
-        best, right = cosines.max(1), self._by_language(cosines).argmax(1) == y
-        sizes = np.log2(letters + 1).astype(int)
-        self.floor, least = np.zeros(64), 0.0
-        for s in range(64):  # a class without training texts takes that of the next shorter one
-            if (m := right & (sizes == s)).sum() >= 20:
-                least = REJECT_SHARE * float(best[m].min())
-            self.floor[s] = least
+    """Centroids by language, idf of the grams and the floors of the length classes."""
+
+    def __init__(self, langs: list[str], idf: np.ndarray, each: list[np.ndarray], dim: int = DIM) -> None:
+        """langs: sorted; each: the centroids of each."""
+        self.langs, self.idf, self.dim, self.floor = langs, idf, dim, np.zeros(64)
+        if langs:
+            self.centroids = np.concatenate(each)
+            self.owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
+
+    def nearest(self, found: list[np.ndarray]) -> np.ndarray:
+        """The best cosine with each language of rows of gram counts."""
+        return self._by_language(vectors(np.stack(found), self.idf) @ self.centroids.T)
 
     def _by_language(self, cosines: np.ndarray) -> np.ndarray:
         return np.stack([cosines[:, self.owner == k].max(1) for k in range(len(self.langs))], 1)
@@ -121,7 +119,7 @@ class Model:
         if not self.langs:
             return [(UND, 0.0, True)] * len(texts)
         found = [grams(t, self.dim) for t in texts]
-        cos = self._by_language(vectors(np.stack([g for g, _ in found]), self.idf) @ self.centroids.T) if found else []
+        cos = self.nearest([g for g, _ in found]) if found else []
         out = []
         for c, (_, letters) in zip(cos, found, strict=True):
             k = int(c.argmax())
@@ -134,48 +132,131 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_sample: int = MAX_SAMPLE) -> Model:
+def _sample(docs: DataFrame, per_language: int, max_sample: int) -> DataFrame:
+    """doc_id, text, lang of the training rows, staged."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_remainder(3) != 1))
+    labelled = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    counts = staged(labelled.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    languages = counts.limit(MAX_LANGUAGES + 1).count()
+    if languages > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
+    expected = min(per_language, max(max_sample // max(languages, 1), 1))
+    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(1_000_000.0) * expected / F.col("n")
+    rows = labelled.join(F.broadcast(counts), "lang").where(chosen)  # at most MAX_LANGUAGES rows are broadcast
+    return staged(rows.select("doc_id", "text", "lang"), "language-sample")
+
+
+def _counted(sample: DataFrame, dim: int) -> DataFrame:
+    """lang, doc_id, key, dims, counts: the grams of each sampled text with letters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, dims, counts = [], [], []
+            for i, text in enumerate(b.column(2).to_pylist()):
+                g, letters = grams(text, dim)
+                if letters:
+                    keep.append(i)
+                    dims.append(np.flatnonzero(g).astype(np.int32))
+                    counts.append(g[dims[-1]])
+            if keep:
+                lists = [pa.array(x, pa.list_(t)) for x, t in ((dims, pa.int32()), (counts, pa.float32()))]
+                at = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(3).take(at), *lists], names=["lang", "doc_id", "key", "dims", "counts"])
+
+    rows = sample.select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    return rows.mapInArrow(run, "lang string, doc_id long, key long, dims array<int>, counts array<float>")
+
+
+def _clustered(counted: DataFrame, idf: np.ndarray, clusters: int, dim: int) -> DataFrame:
+    """lang, k, centroid: each language's clusters, fitted in one task over its sampled rows."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("key", "ascending")]).combine_chunks()
+        counts = np.zeros((rows.num_rows, dim), np.float32)
+        for i, (d, c) in enumerate(zip(rows.column("dims"), rows.column("counts"), strict=True)):
+            counts[i, d.values.to_numpy()] = c.values.to_numpy()
+        found = _centroids(vectors(counts, idf), clusters)
+        return pa.table({"lang": [rows.column("lang")[0].as_py()] * len(found), "k": pa.array(range(len(found)), pa.int32()), "centroid": pa.array(list(found), pa.list_(pa.float32()))})
+
+    return counted.groupBy("lang").applyInArrow(run, "lang string, k int, centroid array<float>")
+
+
+def _floors(sample: DataFrame, model: Model) -> np.ndarray:
+    """The floor of each length class; a class with too few training texts takes that of the next shorter one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 32):
+                part, sizes, right, found = b.slice(lo, 32), [], [], []
+                for lang, text, key in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    cuts = [(key % (len(text) - n), n) for n in CUTS if n < len(text)]
+                    for piece in (text, *(text[a : a + n] for a, n in cuts)):
+                        g, letters = grams(piece, model.dim)
+                        if letters:
+                            found.append(g)
+                            sizes.append(int(np.log2(letters + 1)))
+                            right.append(model.langs.index(lang))
+                if found:
+                    cos = model.nearest(found)
+                    hit = np.flatnonzero(cos.argmax(1) == np.array(right))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(sizes, np.int32)[hit]), pa.array(cos.max(1).astype(np.float64)[hit])], names=["size", "cos"])
+
+    rows = sample.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("key")).mapInArrow(run, "size int, cos double")
+    least = {r["size"]: r["q"] for r in rows.groupBy("size").agg(F.count("*").alias("n"), F.percentile("cos", F.lit(LOW)).alias("q")).where(F.col("n") >= LEAST).collect()}
+    out, last = np.zeros(64), 0.0
+    for s in range(64):
+        out[s] = last = REJECT_SHARE * least[s] if s in least else last
+    return out
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_sample: int = MAX_SAMPLE, dim: int = DIM, clusters: int = CLUSTERS) -> Model:
     """Learn from text and lang of docs that aren't held out."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_remainder(3) != 1)).select("doc_id", "text", "lang")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return Model([], [])
-    per_language = min(per_language, max(max_sample // len(counts), 1))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
-    rows = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("doc_id", "text", "lang").toArrow().to_pydict()
-    order = sorted(range(len(rows["text"])), key=lambda i: (rows["doc_id"][i], rows["text"][i]))
-    return Model([rows["text"][i] for i in order], [rows["lang"][i] for i in order])
+    sample = _sample(docs, per_language, max_sample)
+    counted = staged(_counted(sample, dim), "language-grams")
+    idf = np.full(dim, np.log(1 + counted.count()) + 1)
+    for r in counted.select(F.explode("dims").alias("d")).groupBy("d").agg(F.count("*").alias("df")).collect():  # at most dim rows
+        idf[r["d"]] -= np.log(1 + r["df"])
+    idf = idf.astype(np.float32)
+    each: dict[str, list[np.ndarray]] = {}
+    for r in _clustered(counted, idf, clusters, dim).orderBy("lang", "k").toArrow().to_batches():
+        for lang, centroid in zip(r.column(0).to_pylist(), r.column(2), strict=True):
+            each.setdefault(lang, []).append(centroid.values.to_numpy().astype(np.float32))
+    langs = sorted(each)
+    model = Model(langs, idf, [np.stack(each[k]) for k in langs], dim)
+    if langs:
+        model.floor = _floors(sample, model)
+    return model
 
 
 def _with_predictions(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score, rejected as __p, __s, __r (Arrow batches)."""
+    """docs' columns by position (c0, c1, ...), then lang_pred, score and rejected (Arrow batches)."""
     from pyspark.sql import types as T
 
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), [f"c{i}" for i in range(len(docs.columns))]
+    out = [*names, "lang_pred", "score", "rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 128):
                 part = b.slice(lo, 128)
                 p = model.predict(part.column(at).to_pylist())
-                extra = [pa.array([x[0] for x in p], pa.string()), pa.array([x[1] for x in p], pa.float64()), pa.array([x[2] for x in p], pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, "__p", "__s", "__r"])
+                more = [pa.array([x[k] for x in p], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=out)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__p", T.StringType()), T.StructField("__s", T.DoubleType()), T.StructField("__r", T.BooleanType())])
-    return docs.mapInArrow(run, schema)
+    types = [*(f.dataType for f in docs.schema.fields), T.StringType(), T.DoubleType(), T.BooleanType()]
+    return docs.toDF(*names).mapInArrow(run, T.StructType(list(map(T.StructField, out, types))))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of docs (doc_id, text)."""
-    found = _with_predictions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
-    return found.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), F.col("__p").alias("lang_pred"), F.col("__s").alias("score"), F.col("__r").alias("rejected"))
+    found = _with_predictions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).withColumnRenamed("c0", "doc_id")
+    return found.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that aren't rejected, with docs' columns."""
-    return _with_predictions(docs, model).where("not __r").select(*docs.columns)
+    found = _with_predictions(docs, model).where("not rejected")
+    return found.select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged, table
+from .common import columns, named, quoted, staged, table
 from .components import components
 
 WIDTH, PERCENT, SMALL, MAX_BLOCK, CHUNK = 3, 90, 200, 2048, 1024
@@ -421,10 +421,19 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_block:
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component, with docs' columns; null doc_ids stay."""
+    """One row of each component, with docs' columns: a row whose doc_id is the least of its component. Of rows that
+    repeat this doc_id the one with the least text hash stays. Rows with a null doc_id have no component and stay."""
     found = labelled(docs, width, percent)
-    drop = found.where("doc_id <> label").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("__drop"), "left_anti")
+    (d,) = named(docs, "__drop")
+    drop = found.where("doc_id <> label").select(F.col("doc_id").alias(d)).distinct()
+    kept = docs.join(drop, F.col("doc_id") == F.col(quoted(d)), "left_anti")
+    repeated = staged(docs.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 and doc_id is not null").select(F.col("doc_id").alias(d)), "ngram-repeated")
+    if not repeated.limit(1).count():
+        return kept
+    same = F.col("doc_id") == F.col(quoted(d))
+    many = kept.join(repeated, same, "left_semi").groupBy(F.col("doc_id").alias("__g"))
+    one = many.agg(F.min_by(F.struct(*columns(docs)), F.xxhash64("text")).alias("__row")).select("__row.*")  # partial minima: no hot task
+    return kept.join(repeated, same, "left_anti").unionAll(one)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

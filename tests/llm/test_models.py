@@ -114,3 +114,80 @@ def test_pipeline_stages_against_brute_force(spark, stages):
         want = {d for d, t in rows(near) if not windows(words(t)) & bad}
     assert set(ids(bench)) == want
     check_packing(packed.collect(), rows(bench), 1024)
+
+
+def by_hand(text, dim):
+    """Hashed gram counts in plain integers."""
+    low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "")
+    x = [ord(c) for i, c in enumerate(low) if c != " " or i == 0 or low[i - 1] != " "]
+    m, (a, b, c) = (1 << 64) - 1, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+    counts = Counter()
+    for n in range(3):
+        for i in range(len(x) - n):
+            key = ((x[i] + 1) * a + sum(x[i + j] * k for j, k in ((1, b), (2, c)) if j <= n)) & m
+            key = ((key ^ (key >> 29)) * c + n) & m
+            counts[((key * a) & m) >> (64 - dim.bit_length() + 1)] += 1
+    return counts
+
+
+def test_language_against_brute_force(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    model = language_id.fit(docs)
+    want = {}
+    for r in docs.select("doc_id", "text").collect():
+        counts = by_hand(r.text, model.dim)
+        v = {k: (1 + np.log(n)) * float(model.idf[k]) for k, n in counts.items()}
+        size = sum(x * x for x in v.values()) ** 0.5
+        cos = {}
+        for lang, c in zip(model.owner, model.centroids, strict=True):
+            cos[lang] = max(cos.get(lang, -1), sum(x * float(c[k]) for k, x in v.items()) / max(size, 1e-9))
+        top = max(cos, key=lambda k: (cos[k], -k))
+        want[r.doc_id] = (model.langs[top], 1 / sum(np.exp(25 * (x - cos[top])) for x in cos.values()))
+    for r in language_id.predict(docs, model).collect():
+        if r.lang_pred != "und":
+            lang, score = want[r.doc_id]
+            assert r.lang_pred == lang and abs(r.score - score) < 1e-3
+
+
+def test_language_rejects_foreign_texts_short_and_long(spark):
+    model = language_id.fit(table(spark, SF, "documents"))
+    foreign = ["これは日本語のテキストです", "Привет мир как дела", "xkcd zxqv wqrt pfft bcdf ghjk"]
+    for text in [*foreign, *(t * 40 for t in foreign)]:
+        assert model.predict([text])[0][2], text
+    docs = spark.createDataFrame([(i, t, "en", "s", 0.0, "") for i, t in enumerate(foreign)], SCHEMA)
+    assert language_id.keep(docs, model).count() == 0
+
+
+def test_language_ties_and_clashing_names(spark):
+    rows = [(i, "tok tak tik", k, 1, 2) for i, k in enumerate(["bb", "aa"] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, __p long, `x.y` long")
+    model = language_id.fit(docs)
+    assert {r.lang_pred for r in language_id.predict(docs, model).collect()} == {"aa"}
+    kept = language_id.keep(docs, model)
+    assert kept.columns == docs.columns and kept.count() == len(rows)
+    assert kept.select("__p", "`x.y`").distinct().collect() == [(1, 2)]
+
+
+def test_language_too_many_values_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "abc", str(i), "s", 0.0, "") for i in range(30)], SCHEMA)
+    with pytest.raises(ValueError):
+        language_id.fit(docs)
+
+
+def test_pipeline_awkward_and_empty_tables(spark, tmp_path):
+    start = table(spark, SF, "documents")
+    texts = [r.text for r in start.where("n_chars > 300").orderBy("doc_id").limit(40).collect()]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    odd = [(100, None, None, None, 0), (101, "", "en", None, 0), (0, texts[0], "en", "s", 1), (102, texts[0], None, "s", 1), (None, texts[1], "en", None, 1), (103, "long " * 200_000, "en", "s", 1)]
+    table(spark, SF, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, data in (("some", [*rows, *odd]), ("none", [])):
+        docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            docs = f(spark, docs, str(tmp_path))
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], stage
+            got = [r.doc_id for r in docs.collect()]
+            assert {100, 101}.isdisjoint(got)
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert {r.doc_id for r in packed} == set(got) and len(got) == len(set(got))
+        assert bool(got) == bool(data) and 102 not in got and 103 not in got

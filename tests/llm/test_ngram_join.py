@@ -111,3 +111,11 @@ def test_components(spark):
             if a != b:
                 label[a] = label[b] = min(label[a], label[b])
     assert got == label
+
+
+def test_keep_one_keeps_one_of_rows_that_repeat_an_id(spark):
+    long = "one two three four five six seven eight nine ten"
+    rows = [(1, long, 1, "x"), (1, long, 1, "x"), (1, "quite another text of more than five words", 2, "y"), (2, long, 3, "z"), (3, None, 0, ""), (3, None, 0, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __drop long, `a.b` string")
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
