@@ -1,6 +1,12 @@
 """The corpus pipeline: language ID, quality rules, one document of each group of near copies, benchmark
 decontamination, packing. Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the
-columns of documents."""
+columns of documents.
+
+Defined cases. Null, empty and letterless texts are rejected by language ID, texts under ten words by the quality
+rules. Rows that repeat a doc_id or differ in it but hold near copies: one row of the group stays. A null doc_id goes
+through like any other and is packed under null; null lang and source are a group of their own. Other columns are
+passed through to packing, which ignores them. Without labelled rows language ID rejects every document. An empty
+table gives no rows."""
 
 from __future__ import annotations
 
@@ -37,7 +43,7 @@ STAGES = [
     ("benchmark_decontamination", _benchmark),
     ("packing", _packed),
 ]
-#: Language ID and packing have no SQL form; tests/llm/test_pipeline.py holds the result against a brute-force version.
+#: Language ID and packing have no SQL form; tests/llm/test_models.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
