@@ -1,15 +1,22 @@
 """Quality rules with adaptive thresholds (DataFrame operations only).
 
-Every document gets word and line measures in its own row, without a shuffle. Four integer metrics are summed up per
-(lang, source) in a mergeable quantile sketch: counts of values rounded down to six significant bits, so a quantile
-has a relative error below 1/32 however the rows are dealt, and sketches merge by adding counts. A group's upper
-fence is  q50 + spread * (q75 - q50) + slack, its lower fence (mean word length only) the mirror image with q25.
-Duplicate lines are a share of lines + 2, so that one repeated header rejects no short text. A group with fewer than
-`min_group` documents uses its language's merged sketch, then that of all documents.
+Every document gets word and line measures in its own row, without a shuffle. Four integer rates (ten-thousandths) are
+summed up per (lang, source) in a mergeable quantile sketch: counts of values rounded down to six significant bits, so
+a quantile has a relative error below 1/32 however the rows are dealt, and sketches merge by adding counts.
+
+Thresholds. A sketch's upper fence is  q90 + spread * (q90 - q50), its lower fence (mean word length only) the mirror
+image with q10; documents that fail the base rules are in no sketch. A group's fence is averaged with that of its
+language, and a language's with that of all documents, weighted by documents : `min_group`, so that small groups lean
+on what is known more widely and nothing switches at a size. No metric has a fixed cutoff. What a single document may
+show by chance is allowed on top, in occurrences: MARGIN of them (a repeated header isn't a rate), and for repeated
+words SLACK, two hundredths of the words.
 
 Defined cases. Null or empty text: no words, so base_failed. Null lang or source: a group of its own. Ties: a value on
-a fence is kept. Repeated rows: each is judged by itself. Empty table: empty result. Other columns are ignored by
-`judge` and passed through by `keep`. Five-word windows are compared by 64-bit hash within one text.
+a fence is kept. Repeated rows: each is judged by itself. Empty table: empty result. A group of which every document
+fails the base rules has no fence. Other columns, whatever their names, are ignored by `judge` and passed through by
+`keep`. Five-word windows are compared by 64-bit hash within one text. A group with many rows costs no hot task: its
+sketch is a partial count; beyond `MAX_BROADCAST_GROUPS` groups the fences are joined by shuffle, where adaptive
+execution splits a large group.
 """
 
 from __future__ import annotations
@@ -17,12 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import columns, named, quoted, staged, table
 
 SPACE = r"[\\x20\\x09-\\x0D]+"
 METRICS = ("word_len", "symbols", "dup_lines", "repeats")
-SLACK = {"word_len": 15_000, "symbols": 500, "dup_lines": 3_000, "repeats": 2_000}
-SPREAD, MIN_GROUP, MAX_BROADCAST_GROUPS = 8, 200, 20_000
+MARGIN = {"word_len": 30, "symbols": 5, "dup_lines": 3, "repeats": 20}
+SLACK = {"word_len": 0, "symbols": 0, "dup_lines": 0, "repeats": 200}
+SPREAD, MIN_GROUP, MAX_BROADCAST_GROUPS = 4, 50, 20_000
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -53,81 +61,82 @@ def measures(text: str) -> Column:
     return F.struct(w.alias("w"), ln.alias("l"), F.expr(f"cast(size(split({t}, '[#*$%&|<>]', -1)) - 1 as long)").alias("sym"))
 
 
-def _measured(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__m", measures("text"))
+def _parts(name: str, m: str) -> tuple[str, str]:
+    """Occurrences and units of a metric, from the measures in column m."""
+    return {"word_len": (f"{m}.w.chars", f"{m}.w.n"), "symbols": (f"{m}.sym", f"{m}.w.chars"), "dup_lines": (f"{m}.l.dup", f"{m}.l.n"), "repeats": (f"{m}.w.rep", f"{m}.w.n")}[name]
 
 
-def _metric(name: str) -> str:
-    """Integer metric in ten-thousandths, from the measures; null where the document failed the base rules."""
-    num, den = {"word_len": ("__m.w.chars", "__m.w.n"), "symbols": ("__m.sym", "__m.w.chars"), "dup_lines": ("__m.l.dup", "(__m.l.n + 2)"), "repeats": ("__m.w.rep", "__m.w.n")}[name]
-    return f"(10000 * {num}) div greatest({den}, 1L)"
+def _base_failed(m: str) -> str:
+    return f"({m}.w.n < 10 or 100 * {m}.w.rep > 20 * {m}.w.n)"
 
 
-BASE_FAILED = "(__m.w.n < 10 or 100 * __m.w.rep > 20 * __m.w.n)"
-#: v rounded down to its six highest bits.
-ROUNDED = "v - v % shiftleft(1L, greatest(length(bin(v)) - 6, 0))"
+#: The size of the bucket that v falls in (its six highest bits are kept).
+WIDTH = "shiftleft(1L, greatest(length(bin({0})) - 6, 0))"
 
 
-def thresholds(measured: DataFrame, spread: int = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
-    """(lang, source, <metric>_lo, <metric>_hi): a row for each group of documents, fences from the first sketch of
-    group, language, all documents that holds min_group documents (the last always serves)."""
-    stack = ", ".join(f"'{m}', {_metric(m)}" for m in METRICS)
-    groups = measured.select("lang", "source").distinct()
-    sketch = (
-        measured.where(f"not {BASE_FAILED}")
-        .selectExpr("lang", "source", f"stack({len(METRICS)}, {stack}) as (metric, v)")
-        .groupBy("lang", "source", "metric", F.expr(ROUNDED).alias("b"))
-        .agg(F.count("*").alias("n"))
-    )
-    sketch = staged(sketch, "quality-sketch")
-    merged = None
-    for level, keys in enumerate((["lang", "source"], ["lang"], [])):
-        at = sketch.groupBy(*keys, "metric", "b").agg(F.sum("n").alias("n"))
-        over = f"over (partition by {', '.join([*keys, 'metric'])}"
-        at = at.selectExpr("*", f"sum(n) {over} order by b rows unbounded preceding) as upto", f"sum(n) {over}) as total")
-        at = at.groupBy(*keys, "metric").agg(F.max("total").alias("total"), *(F.min(F.expr(f"case when 100 * upto >= {q} * total then b end")).alias(f"q{q}") for q in (25, 50, 75)))
-        hi, lo = f"q50 + {spread} * (q75 - q50)", f"q50 - {spread} * (q50 - q25)"
-        fences = []
-        for m in METRICS:
-            fences += [F.max(F.expr(f"case when metric = '{m}' then {hi} + {SLACK[m]} end")).alias(f"{m}_hi{level}"), F.max(F.expr(f"case when metric = '{m}' then {lo} - {SLACK[m]} end")).alias(f"{m}_lo{level}")]
-        at = at.groupBy(*keys).agg(F.max("total").alias(f"total{level}"), *fences)
-        if not keys:
-            merged = merged.crossJoin(F.broadcast(at))  # one row: the sketch of all documents
-        else:
-            at = at.select(*(F.col(k).alias(f"{k}_{level}") for k in keys), *(c for c in at.columns if c not in keys))
-            cond = F.lit(True)
-            for k in keys:
-                cond = cond & groups[k].eqNullSafe(F.col(f"{k}_{level}"))
-            merged = (groups if merged is None else merged).join(at, cond, "left").drop(*(f"{k}_{level}" for k in keys))
-    out = ["lang", "source"]
-    for m in METRICS:
-        for side in ("lo", "hi"):
-            out.append(f"case when total0 >= {min_group} then {m}_{side}0 when total1 >= {min_group} then {m}_{side}1 else {m}_{side}2 end as {m}_{side}")
-    return merged.selectExpr(*out)
-
-
-def _verdicts(measured: DataFrame, spread: int, min_group: int) -> DataFrame:
-    """measured with __kept; the fences are broadcast only if they have few rows, else joined by shuffle."""
-    fences = staged(thresholds(measured, spread, min_group), "quality-fences").withColumnsRenamed({"lang": "__lang", "source": "__source"})
-    fences = fences.withColumnsRenamed({c: f"__{c}" for c in fences.columns if not c.startswith("__")})
+def sketches(measured: DataFrame, m: str) -> DataFrame:
+    """lang, source, metric, b, n: how many documents of a group lie in the bucket that begins at b."""
+    each = ", ".join(f"'{k}', (10000 * {num}) div greatest({den}, 1L)" for k in METRICS for num, den in [_parts(k, m)])
+    rows = measured.where(f"not {_base_failed(m)}").selectExpr("lang", "source", f"stack({len(METRICS)}, {each}) as (metric, v)")
+    return rows.groupBy("lang", "source", "metric", F.expr(f"v - v % {WIDTH.format('v')}").alias("b")).agg(F.count("*").alias("n"))
+
+
+def _fences(sketch: DataFrame, keys: list[str], spread: int) -> DataFrame:
+    """keys, metric, total, hi, lo of the sketches merged by keys."""
+    at = sketch.groupBy(*keys, "metric", "b").agg(F.sum("n").alias("n"))
+    over = f"over (partition by {', '.join([*keys, 'metric'])}"
+    at = at.selectExpr("*", f"b + {WIDTH.format('b')} - 1 as top", f"sum(n) {over} order by b rows unbounded preceding) as upto", f"sum(n) {over}) as total")
+    q = lambda p, side: F.min(F.expr(f"case when 100 * upto >= {p} * total then {side} end"))
+    at = at.groupBy(*keys, "metric").agg(F.max("total").alias("total"), q(10, "b").alias("q10"), q(50, "b").alias("b50"), q(50, "top").alias("t50"), q(90, "top").alias("q90"))
+    return at.selectExpr(*keys, "metric", "total", f"q90 + {spread} * (q90 - b50) as hi", f"greatest(q10 - {spread} * (t50 - q10), 0L) as lo")
+
+
+def thresholds(sketch: DataFrame, spread: int = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
+    """(lang, source, <metric>_hi, <metric>_lo): a row for each group."""
+    group, language, all_ = (_fences(sketch, keys, spread) for keys in (["lang", "source"], ["lang"], []))
+    mean = lambda total, own, wider: f"({total} * {own} + {min_group} * {wider}) div ({total} + {min_group})"
+    language = language.join(F.broadcast(all_.select("metric", F.col("hi").alias("hi2"), F.col("lo").alias("lo2"))), "metric")  # four rows
+    language = language.selectExpr("lang as lang1", "metric as metric1", f"{mean('total', 'hi', 'hi2')} as hi1", f"{mean('total', 'lo', 'lo2')} as lo1")
+    rows = group.join(language, group["lang"].eqNullSafe(language["lang1"]) & (group["metric"] == language["metric1"]))
+    rows = rows.selectExpr("lang", "source", "metric", f"{mean('total', 'hi', 'hi1')} as hi", f"{mean('total', 'lo', 'lo1')} as lo")
+    return rows.groupBy("lang", "source").agg(*(F.max(F.expr(f"case when metric = '{k}' then {side} end")).alias(f"{k}_{side}") for k in METRICS for side in ("hi", "lo")))
+
+
+def _verdicts(docs: DataFrame, with_text: bool, spread: int, min_group: int) -> tuple[DataFrame, str, str]:
+    """docs with their measures (staged) and whether they are kept; the names of these columns. The fences are
+    broadcast only if they have few rows, else joined by shuffle."""
+    m, kept, lang, source, f = named(docs, "__m", "__kept", "__lang", "__source", "__f")
+    measured = docs.withColumn(m, measures("text"))
+    measured = staged(measured if with_text else measured.drop("text"), "quality-rows")
+    fences = staged(thresholds(staged(sketches(measured, m), "quality-sketch"), spread, min_group), "quality-fences")
     small = fences.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
-    joined = measured.join(F.broadcast(fences) if small else fences, measured["lang"].eqNullSafe(F.col("__lang")) & measured["source"].eqNullSafe(F.col("__source")), "left")
-    bad = " or ".join([*(f"coalesce({_metric(m)} > __{m}_hi, false)" for m in METRICS), f"coalesce({_metric('word_len')} < __word_len_lo, false)"])
-    return joined.withColumn("__base", F.expr(BASE_FAILED)).withColumn("__kept", F.expr(f"not ({BASE_FAILED} or {bad})"))
+    fences = fences.select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct(*(c for c in fences.columns if c not in ("lang", "source"))).alias(f))
+    joined = measured.join(F.broadcast(fences) if small else fences, F.col("lang").eqNullSafe(F.col(lang)) & F.col("source").eqNullSafe(F.col(source)), "left")
+    bad = [_beyond(k, *_parts(k, m), f"{f}.{k}_hi") for k in METRICS] + [_below("word_len", *_parts("word_len", m), f"{f}.word_len_lo")]
+    return joined.withColumn(kept, F.expr(f"not ({_base_failed(m)} or {' or '.join(bad)})")), m, kept
+
+
+def _beyond(name: str, num: str, den: str, fence: str) -> str:
+    """SQL: more occurrences than the fence and the margin allow (in doubles: no product overflows)."""
+    return f"coalesce(1e4D * ({num} - {MARGIN[name]}) > cast({fence} + {SLACK[name]} as double) * {den}, false)"
+
+
+def _below(name: str, num: str, den: str, fence: str) -> str:
+    return f"coalesce(1e4D * ({num} + {MARGIN[name]}) < cast({fence} as double) * {den}, false)"
 
 
 def judge(docs: DataFrame, spread: int = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
     """One row per row of docs (doc_id, text, lang, source): measures, base_failed and kept."""
-    measured = staged(_measured(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality-measures")
-    return _verdicts(measured, spread, min_group).selectExpr(
-        "doc_id", "__m.w.n as n_words", "__m.w.chars as word_chars", "__m.sym as n_symbols", "__m.l.dup as n_dup_lines", "__m.w.rep as n_repeat_words", "__base as base_failed", "__kept as kept"
+    rows, m, kept = _verdicts(docs.select("doc_id", "text", "lang", "source"), False, spread, min_group)
+    return rows.selectExpr(
+        "doc_id", f"{m}.w.n as n_words", f"{m}.w.chars as word_chars", f"{m}.sym as n_symbols", f"{m}.l.dup as n_dup_lines", f"{m}.w.rep as n_repeat_words", f"{_base_failed(m)} as base_failed", f"{kept} as kept"
     )
 
 
 def keep(docs: DataFrame, spread: int = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
     """The rows of docs that pass, with docs' columns."""
-    measured = staged(_measured(docs), "quality-rows")
-    return _verdicts(measured, spread, min_group).where("__kept").select(*docs.columns)
+    rows, _, kept = _verdicts(docs, True, spread, min_group)
+    return rows.where(F.col(quoted(kept))).select(*columns(docs))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,19 +145,26 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     trim = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
-    metric = {"word_len": "10000 * word_chars // greatest(n_words, 1)", "symbols": "10000 * n_symbols // greatest(word_chars, 1)", "dup_lines": "10000 * n_dup_lines // greatest(n_lines + 2, 1)", "repeats": "10000 * n_repeat_words // greatest(n_words, 1)"}
-    fences = ", ".join(f"max(case when metric = '{m}' then q50 + {SPREAD} * (q75 - q50) + {SLACK[m]} end) as {m}_hi, max(case when metric = '{m}' then q50 - {SPREAD} * (q50 - q25) - {SLACK[m]} end) as {m}_lo" for m in METRICS)
-    bad = " or ".join([*(f"coalesce({metric[m]} > (case when f0.total >= {MIN_GROUP} then f0.{m}_hi when f1.total >= {MIN_GROUP} then f1.{m}_hi else f2.{m}_hi end), false)" for m in METRICS),
-                       f"coalesce({metric['word_len']} < (case when f0.total >= {MIN_GROUP} then f0.word_len_lo when f1.total >= {MIN_GROUP} then f1.word_len_lo else f2.word_len_lo end), false)"])
+    part = {"word_len": ("word_chars", "n_words"), "symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
+    width = "(cast(1 as bigint) << greatest(length(bin({0})) - 6, 0))"
+    quantile = lambda p, side: f"min(case when 100 * upto >= {p} * total then {side} end)"
+
     def level(k: int, keys: str) -> str:
-        part = f"partition by {keys}metric"
+        over = f"over (partition by {keys}metric"
         return (
-            f"c{k} as (select {keys}metric, b, sum(n) as n from sketch group by {keys}metric, b), "
-            f"u{k} as (select *, sum(n) over ({part} order by b rows unbounded preceding) as upto, sum(n) over ({part}) as total from c{k}), "
-            f"q{k} as (select {keys}metric, max(total) as total, " + ", ".join(f"min(case when 100 * upto >= {q} * total then b end) as q{q}" for q in (25, 50, 75)) + f" from u{k} group by {keys}metric), "
-            f"f{k} as (select {keys}max(total) as total, {fences} from q{k} " + (f"group by {keys.rstrip(', ')}" if keys else "") + ")"
+            f"c{k} as (select {keys}metric, b, sum(n) as n from sketch group by {keys}metric, b),\n"
+            f"u{k} as (select *, b + {width.format('b')} - 1 as top, sum(n) {over} order by b rows unbounded preceding) as upto, sum(n) {over}) as total from c{k}),\n"
+            f"q{k} as (select {keys}metric, max(total) as total, {quantile(10, 'b')} as q10, {quantile(50, 'b')} as b50, {quantile(50, 'top')} as t50, {quantile(90, 'top')} as q90 from u{k} group by {keys}metric),\n"
+            f"f{k} as (select *, q90 + {SPREAD} * (q90 - b50) as hi, greatest(q10 - {SPREAD} * (t50 - q10), 0) as lo from q{k})"
         )
-    unions = " union all ".join(f"select lang, source, '{m}' as metric, {metric[m]} as v from f where not base_failed" for m in METRICS)
+
+    mean = lambda t, own, wider: f"({t}.total * {own} + {MIN_GROUP} * {wider}) // ({t}.total + {MIN_GROUP})"
+    vals = " union all ".join(f"select lang, source, '{m}' as metric, 10000 * {num} // greatest({den}, 1) as v from f where not base_failed" for m, (num, den) in part.items())
+    wide = ", ".join(f"max(case when metric = '{m}' then {side} end) as {m}_{side}" for m in METRICS for side in ("hi", "lo"))
+    bad = " or ".join(
+        [f"coalesce(cast(10000 as double) * ({num} - {MARGIN[m]}) > cast({m}_hi + {SLACK[m]} as double) * {den}, false)" for m, (num, den) in part.items()]
+        + [f"coalesce(cast(10000 as double) * (word_chars + {MARGIN['word_len']}) < cast(word_len_lo as double) * n_words, false)"]
+    )
     return rf"""
 with t as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as text from documents),
 w as (select *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
@@ -160,14 +176,16 @@ m as (select w.r, doc_id, lang, source, cast(len(w) as bigint) as n_words, cast(
   cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines,
   cast(len(l) as bigint) as n_lines, cast(coalesce(hit.n, 0) as bigint) as n_repeat_words from w left join hit on w.r = hit.r),
 f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m),
-vals as ({unions}),
-sketch as (select lang, source, metric, v - v % (cast(1 as bigint) << greatest(length(bin(v)) - 6, 0)) as b, count(*) as n from vals group by all),
+vals as ({vals}),
+sketch as (select lang, source, metric, v - v % {width.format('v')} as b, count(*) as n from vals group by all),
 {level(0, "lang, source, ")},
 {level(1, "lang, ")},
-{level(2, "")}
+{level(2, "")},
+l as (select f1.lang, f1.metric, {mean("f1", "f1.hi", "f2.hi")} as hi, {mean("f1", "f1.lo", "f2.lo")} as lo from f1 join f2 using (metric)),
+g as (select f0.lang, f0.source, f0.metric, {mean("f0", "f0.hi", "l.hi")} as hi, {mean("f0", "f0.lo", "l.lo")} as lo from f0 join l on f0.metric = l.metric and f0.lang is not distinct from l.lang),
+fences as (select lang, source, {wide} from g group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or {bad}) as kept
-from f left join f0 on f.lang is not distinct from f0.lang and f.source is not distinct from f0.source
-left join f1 on f.lang is not distinct from f1.lang cross join f2
+from f left join fences on f.lang is not distinct from fences.lang and f.source is not distinct from fences.source
 """
 
 

@@ -188,3 +188,38 @@ def test_decontamination_query_equals_sql_on_repeated_rows(spark, tmp_path):
     spark.createDataFrame(items(), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = decontaminate.op10_benchmark_decontamination(spark, str(tmp_path)).collect()
     same(got, *duck(decontaminate.ORACLE, documents=pd.DataFrame(rows, columns=["doc_id", "text"]), benchmark=pd.DataFrame(items(), columns=["item_id", "text"])))
+
+
+def prose(rng, n, repeated=0, word=lambda rng: "w" * rng.randrange(2, 7)):
+    """n words in lines of ten, the first `repeated` of them a passage of eight words over and over."""
+    w = [word(rng) + str(rng.randrange(10**6)) for _ in range(n)]
+    passage = [f"p{i}" for i in range(8)]
+    w[:repeated] = [passage[i % 8] for i in range(repeated)]
+    return "\n".join(" ".join(w[i : i + 10]) for i in range(0, n, 10))
+
+
+def test_quality_fences_differ_by_source_and_repeats_decide(spark):
+    rng = random.Random(3)
+    plain = [(i, prose(rng, 400), "en", "plain", 1, "") for i in range(300)]
+    songs = [(1000 + i, prose(rng, 400, rng.randrange(0, 80)), "en", "songs", 1, "") for i in range(300)]
+    probe = [(9001, prose(rng, 400, 72), "en", "plain", 1, ""), (9002, prose(rng, 400, 72), "en", "songs", 1, "")]
+    maths = [(2000 + i, prose(rng, 200).replace(" ", " | ", rng.randrange(0, 60)), "en", "maths", 1, "") for i in range(300)]
+    probe += [(9003, prose(rng, 200).replace(" ", " | ", 50), "en", "maths", 1, ""), (9004, prose(rng, 200).replace(" ", " | ", 50), "en", "plain", 1, "")]
+    docs = spark.createDataFrame([*plain, *songs, *maths, *probe], DOCS).repartition(4)
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    # The same share of repeated words (18 percent, under the base rule) or symbols is out of place in one source only.
+    assert not got[9001].base_failed and not got[9001].kept and got[9002].kept
+    assert got[9003].kept and not got[9004].kept
+    assert all(r.kept for d, r in got.items() if d < 9000)
+    same(list(got.values()), *duck(quality_rules.ORACLES["op7_quality_rules"], documents=docs.toPandas()))
+    sketch = quality_rules.sketches(docs.select("lang", "source", quality_rules.measures("text").alias("m")), "m")
+    fences = {r.source: r for r in quality_rules.thresholds(sketch).collect()}
+    assert fences["songs"].repeats_hi > fences["plain"].repeats_hi and fences["maths"].symbols_hi > fences["plain"].symbols_hi
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    rows = [(i, prose(random.Random(i), 60), "en", None, 7, 11) for i in range(30)] + [(99, "x " * 500, "en", None, 7, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __m long, `a.b` long")
+    kept = quality_rules.keep(docs)
+    assert kept.columns == docs.columns and kept.count() == 30
+    assert [tuple(r) for r in kept.select("__m", "`a.b`").distinct().collect()] == [(7, 11)]
