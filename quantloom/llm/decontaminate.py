@@ -3,27 +3,31 @@
 An item becomes windows of `window` consecutive words (an item of fewer words is one window), equal windows are one.
 Containing a window means containing all its shingles of `shingle` words, so one necessary token a window is enough:
 its prefix, the shingle that is rarest in the documents (their counts come from a pass over all documents; ties by
-hash). Documents keep the positions whose shingle is some window's prefix, each with the few words around it; those
-rows join the windows on the shingle, the length and positional bounds say where a window would have to start, and
-the words are compared exactly there. No text is shuffled; a document without such a position costs no row beyond
-its own.
+hash). Each document position meets the windows whose prefix is its shingle in a broadcast hash join; length and
+positional bounds say where the window would have to start, and the words are compared exactly there, all in the task
+that reads the document. Only verified occurrences and a row for each document (its id, a hash and a count) are
+shuffled, never a text or a context.
 
-Bounds: the benchmark's windows are counted first. Up to `max_inline` of them their hashes are a set inside the
-filter and the window table is broadcast; beyond it, all positions join by shuffle, with the same result.
+Bounds: shingles and windows are joined in blocks of at most about `block_bytes`, estimated from their own sizes; a
+larger benchmark takes several passes over the documents with the same plan. Nothing is pasted into a plan, and no
+size changes what is computed.
 
 Defined cases. Null or empty text has no words and is clean; null items likewise. A row's document is (doc_id, text):
-rows equal in both give one row. Empty benchmark: every document is clean. An item repeated under several ids counts
-once for each id. Other columns are ignored by `find` and passed through by `remove`.
+rows equal in both give one row of `find`, or one each with `each_row`. Empty benchmark: every document is clean. An
+item repeated under several ids counts once for each id. Other columns, whatever their names, are ignored by `find` and
+passed through by `remove`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, staged, table
+from .common import LOWER, UPPER, columns, named, quoted, staged, table
 
-WINDOW, SHINGLE, MAX_INLINE = 10, 3, 100_000
+WINDOW, SHINGLE, BLOCK_BYTES, MAX_BROADCAST = 10, 3, 64 << 20, 2_000_000
 NOT_WORD = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -34,115 +38,94 @@ def _words(text: str) -> str:
 
 
 def _hash(words: str, at: str, k: int) -> str:
-    return f"xxhash64({', '.join(f'get({words}, {at} + {j})' for j in range(k))})"
+    """The k-word shingle at a position; k is hashed too, so that lengths don't meet."""
+    return f"xxhash64({', '.join(f'get({words}, {at} + {j})' for j in range(k))}, {k})"
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """Distinct windows: win (words), len, k (words a shingle), items (ids), shingles (offset, hash)."""
     w = benchmark.selectExpr("item_id", f"{_words('text')} as w").where("size(w) > 0")
     w = w.selectExpr("item_id", f"transform(sequence(0, greatest(size(w) - {window}, 0)), i -> slice(w, i + 1, {window})) as ws")
-    w = w.selectExpr("item_id", "explode(ws) as win").groupBy("win").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    w = w.selectExpr("item_id", "explode_outer(ws) as win").groupBy("win").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     w = w.selectExpr("*", "size(win) as len", f"least(size(win), {shingle}) as k")
     by_k = " ".join(f"when k = {k} then {_hash('win', 'o', k)}" for k in range(1, shingle + 1))
     return w.selectExpr("*", f"transform(sequence(0, len - k), o -> named_struct('o', o, 'h', case {by_k} end)) as shingles")
 
 
-def _hits(words: str, k: int, hashes: list[int] | None) -> str:
-    """Positions of a document whose k-word shingle is among hashes (None: all positions)."""
-    inside = "true" if hashes is None else f"{_hash(words, 'i', k)} in ({', '.join(f'{h}L' if h != -(2**63) else '-9223372036854775807L - 1L' for h in hashes)})" if hashes else "false"
-    return f"if(size({words}) < {k}, array(), filter(sequence(0, size({words}) - {k}), i -> {inside}))"
+def _positions(docs: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
+    """keep, w (words), n, and a row for each shingle of the lengths: i (its word), h; last a row with h null."""
+    docs = docs.selectExpr(*keep, f"{_words('text')} as w")
+    each = [f"if(size(w) < {k}, cast(array() as array<bigint>), transform(sequence(0, size(w) - {k}), i -> {_hash('w', 'i', k)}))" for k in lengths]
+    docs = docs.selectExpr(*keep, "w", "cast(size(w) as long) as n", f"array_append({f'concat({chr(44).join(each)})' if each else 'cast(array() as array<bigint>)'}, null) as hs")
+    # The array is never empty; the outer form keeps the optimiser from testing that by computing it a second time.
+    docs = docs.selectExpr(*keep, "w", "n", "posexplode_outer(hs) as (at, h)")
+    before, place = "0", ""
+    for k in lengths:
+        place += f" when at < {before} + greatest(size(w) - {k - 1}, 0) then at - ({before})"
+        before += f" + greatest(size(w) - {k - 1}, 0)"
+    return docs.selectExpr(*keep, "w", "n", "h", f"case{place} end as i" if lengths else "0 as i")
 
 
-def _inline(hashes: DataFrame, limit: int) -> dict[int, list[int]] | None:
-    """{k: hashes} of the (k, h) rows if there are at most limit, else None."""
-    rows = hashes.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    found: dict[int, list[int]] = {}
-    for k, h in rows:
-        found.setdefault(k, []).append(h)
-    return {k: sorted(v) for k, v in sorted(found.items())}
+def _blocks(df: DataFrame, size: str, key: str, block_bytes: int) -> list[DataFrame]:
+    """df in parts of about block_bytes each, by a hash of key; at least one."""
+    total = df.agg(F.sum(F.expr(size))).first()[0] or 0
+    parts = max(-(-total // block_bytes), 1)
+    return [df.where(f"pmod(xxhash64({key}), {parts}) = {p}") if parts > 1 else df for p in range(parts)]
 
 
-def prefixes(docs: DataFrame, wins: DataFrame, shingle: int, max_inline: int) -> DataFrame:
+def prefixes(docs: DataFrame, wins: DataFrame, lengths: list[int], block_bytes: int) -> DataFrame:
     """wins with the offset `o` and hash `h` of each window's rarest shingle."""
-    each = wins.selectExpr("win", "k", "explode(shingles) as s").selectExpr("win", "k", "s.o as o", "s.h as h")
-    wanted = each.select("k", "h").distinct()
-    inline = _inline(wanted, max_inline)
-    lengths = list(inline) if inline is not None else [r[0] for r in wins.select("k").distinct().collect()]
-    counts = None
-    for k in lengths:
-        hashed = f"transform({_hits('w', k, inline[k] if inline is not None else None)}, i -> {_hash('w', 'i', k)})"
-        of_k = docs.selectExpr(f"transform(array({_words('text')}), w -> {hashed})[0] as hs").selectExpr(f"{k} as k", "explode(hs) as h")
-        of_k = of_k.groupBy("k", "h").agg(F.count("*").alias("df"))
-        counts = of_k if counts is None else counts.unionAll(of_k)
-    rare = each.join(counts, ["k", "h"], "left") if counts is not None else each.withColumn("df", F.lit(0))
+    each = wins.selectExpr("win", "explode(shingles) as s").selectExpr("win", "s.o as o", "s.h as h")
+    wanted = each.select("h").distinct()
+    counts = [_positions(docs, lengths).select("h").join(F.broadcast(b), "h").groupBy("h").agg(F.count("*").alias("df")) for b in _blocks(wanted, "32", "h", block_bytes)]
+    rare = each.join(reduce(DataFrame.unionAll, counts), "h", "left")
     rare = rare.groupBy("win").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "o")).alias("p"))
-    return wins.drop("shingles").join(rare, "win").selectExpr("win", "len", "k", "items", "p.h as h", "p.o as o")
+    return wins.drop("shingles").join(rare, "win").selectExpr("win", "len", "items", "p.h as h", "p.o as o")
 
 
-def candidates(docs: DataFrame, table_: DataFrame, window: int, shingle: int, max_inline: int) -> tuple[DataFrame, bool]:
-    """docs with __n (words) and __c: (k, i, h, near, from) of each position that a window's prefix fits."""
-    inline = _inline(table_.select("k", "h").distinct(), max_inline)
-    lengths = list(inline) if inline is not None else [r[0] for r in table_.select("k").distinct().collect()]
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_bytes: int, with_rows: bool) -> DataFrame:
+    """doc_id, key, n (words), start, len, items of each occurrence of a window in docs (doc_id, text, key); with_rows:
+    also a row with start null for every document row."""
+    wins = staged(windows(benchmark.select("item_id", "text"), window, shingle), "bench-windows")
+    lengths = sorted((r["k"] for r in wins.select("k").distinct().collect()), reverse=True)  # at most `shingle` rows
+    rare = staged(prefixes(docs, wins, lengths, block_bytes), "bench-prefixes")
     parts = []
-    for k in lengths:
-        reach = window - k
-        parts.append(
-            f"transform({_hits('w', k, inline[k] if inline is not None else None)}, i -> named_struct('k', {k}, 'i', i, 'h', {_hash('w', 'i', k)}, "
-            f"'near', slice(w, greatest(i - {reach}, 0) + 1, {reach + window}), 'from', greatest(i - {reach}, 0)))"
-        )
-    empty = "cast(array() as array<struct<k:int,i:int,h:bigint,near:array<string>,from:int>>)"
-    body = f"named_struct('n', cast(size(w) as long), 'c', concat({', '.join([empty, *parts])}))"
-    found = docs.withColumn("__d", F.expr(f"transform(array({_words('text')}), w -> {body})[0]"))
-    return found.withColumns({"__n": F.col("__d.n"), "__c": F.col("__d.c")}).drop("__d"), inline is not None
-
-
-def _verified(rows: DataFrame, table_: DataFrame, small: bool) -> DataFrame:
-    """Rows (__e: a candidate) joined with the windows, and __at: where a window occurs, else null."""
-    t = table_.withColumnsRenamed({c: f"__w_{c}" for c in table_.columns})
-    joined = rows.join(F.broadcast(t) if small else t, (F.col("__e.h") == F.col("__w_h")) & (F.col("__e.k") == F.col("__w_k")), "left")
-    start = "(__e.i - __w_o)"
-    fits = f"{start} >= 0 and {start} + __w_len <= __n and slice(__e.near, {start} - __e.from + 1, __w_len) = __w_win"
-    return joined.withColumn("__at", F.expr(f"case when {start} >= 0 then case when {fits} then {start} end end"))
-
-
-def _prepared(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, max_inline: int) -> DataFrame:
-    wins = staged(windows(benchmark, window, shingle), "bench-windows")
-    return staged(prefixes(docs.select("text"), wins, shingle, max_inline), "bench-prefixes")
+    for block in _blocks(rare, "160 + 24 * len + octet_length(array_join(win, '')) + 8 * size(items)", "win", block_bytes):
+        block = block.select("win", "len", "items", "o", F.col("h").alias("wh"))
+        rows = _positions(docs, lengths, "doc_id", "key").join(F.broadcast(block), F.col("h") == F.col("wh"), "left")
+        fits = "i >= o and i - o + len <= n and slice(w, i - o + 1, len) = win"
+        row = "h is null" if with_rows and not parts else "false"
+        rows = rows.where(f"{row} or (wh is not null and {fits})")
+        parts.append(rows.selectExpr("doc_id", "key", "n", "case when wh is not null then i - o end as start", "len", "items"))
+    return reduce(DataFrame.unionAll, parts)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, max_inline: int = MAX_INLINE, each_row: bool = False) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES, each_row: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated. Equal rows give one, or as many as they
     are with each_row."""
-    docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
-    table_ = _prepared(docs, benchmark, window, shingle, max_inline)
-    found, small = candidates(docs.withColumn("__k", F.xxhash64("text")), table_, window, shingle, max_inline)
-    # The null at the end of the candidates stands for the row itself, so that equal rows are counted.
-    rows = _verified(found.drop("text").select("doc_id", "__k", "__n", F.explode(F.expr("array_append(__c, null)")).alias("__e")), table_, small)
-    per = rows.groupBy("doc_id", "__k", "__n").agg(
-        F.sort_array(F.collect_set(F.expr("case when __at is not null then named_struct('s', __at, 'e', __at + __w_len) end"))).alias("spans"),
-        F.collect_set(F.expr("case when __at is not null then __w_items end")).alias("items"),
-        F.count_if(F.col("__e").isNull()).alias("copies"),
+    found = occurrences(docs.select("doc_id", "text", F.xxhash64("text").alias("key")), benchmark, window, shingle, block_bytes, True)
+    per = found.groupBy("doc_id", "key", "n").agg(
+        F.sort_array(F.collect_set(F.expr("case when start is not null then named_struct('s', start, 'e', start + len) end"))).alias("spans"),
+        F.collect_set(F.expr("case when start is not null then items end")).alias("items"),
+        F.count_if(F.col("start").isNull()).alias("copies"),
     )
     covered = "aggregate(spans, named_struct('end', 0, 'sum', 0), (a, v) -> named_struct('end', greatest(a.end, v.e), 'sum', a.sum + greatest(v.e - greatest(a.end, v.s), 0)), a -> cast(a.sum as long))"
-    per = per.selectExpr("doc_id", "__n as n_words", f"{covered} as n_hit", "array_distinct(flatten(items)) as items", "explode(array_repeat(0, cast(copies as int))) as __row" if each_row else "0 as __row")
+    per = per.selectExpr("doc_id", "n as n_words", f"{covered} as n_hit", "array_distinct(flatten(items)) as items", "explode(array_repeat(0, cast(copies as int))) as __row" if each_row else "0 as __row")
     return per.selectExpr(
         "doc_id", "n_words", "n_hit", "cast(size(items) as long) as n_items",
         "sha2(array_join(array_sort(transform(items, x -> cast(x as string))), ','), 256) as items_sha256", "n_hit > 0 as contaminated",
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, max_inline: int = MAX_INLINE) -> DataFrame:
-    """The rows of docs in which no window occurs, with docs' columns. Only rows with candidate positions are joined."""
-    benchmark = benchmark.select("item_id", "text")
-    table_ = _prepared(docs, benchmark, window, shingle, max_inline)
-    found, small = candidates(docs, table_, window, shingle, max_inline)
-    clean = found.where("size(__c) = 0").select(*docs.columns)
-    some = staged(found.where("size(__c) > 0").withColumn("__key", F.expr("struct(doc_id, sha2(coalesce(text, ''), 256) as h)")), "decontaminate-some")
-    hit = _verified(some.select("__key", "__n", F.explode("__c").alias("__e")), table_, small).where("__at is not null").select(F.col("__key").alias("__hit")).distinct()
-    kept = some.join(hit, F.col("__key").eqNullSafe(F.col("__hit")), "left_anti").select(*docs.columns)
-    return clean.unionAll(kept)
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs in which no window occurs, with docs' columns. The contaminated documents' ids and hashes are
+    broadcast behind a count (up to MAX_BROADCAST rows of 16 bytes), else joined by shuffle."""
+    d, h, key = named(docs, "__hit", "__hit_key", "__key")
+    hits = occurrences(docs.select("doc_id", "text", F.xxhash64("text").alias("key")), benchmark, window, shingle, block_bytes, False)
+    hits = staged(hits.select(F.col("doc_id").alias(d), F.col("key").alias(h)).distinct(), "decontaminate-hits")
+    small = hits.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    same = F.col("doc_id").eqNullSafe(F.col(quoted(d))) & (F.col(quoted(key)) == F.col(quoted(h)))
+    return docs.withColumn(key, F.xxhash64("text")).join(F.broadcast(hits) if small else hits, same, "left_anti").select(*columns(docs))
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

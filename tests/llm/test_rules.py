@@ -90,22 +90,21 @@ def brute_hits(text, bench, window=10):
     return len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("inline", [100_000, 0])
-def test_decontamination(spark, inline):
+@pytest.mark.parametrize("block", [64 << 20, 3000])
+def test_decontamination(spark, block):
     rows = texts() + [(500, "pre " + items()[0][1].upper() + " post", "en", "s", 1, ""), (501, "zz " * 30, "en", "s", 1, ""), (502, "zz " * 9, "en", "s", 1, "")]
     docs, bench = spark.createDataFrame(rows, DOCS).repartition(2), spark.createDataFrame(items(), "item_id long, text string")
-    got = decontaminate.find(docs, bench, max_inline=inline).collect()
+    got = decontaminate.find(docs, bench, block_bytes=block).collect()
     want = {(d, *brute_hits(t, items())) for d, t, *_ in rows}
     assert {(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got} == want and len(got) == len(want)
     assert all(r.contaminated == (r.n_hit > 0) for r in got)
-    kept = decontaminate.remove(docs, bench, max_inline=inline)
+    kept = decontaminate.remove(docs, bench, block_bytes=block)
     assert kept.columns == docs.columns
     clean = [(d if d is not None else -1, t) for d, t, *_ in rows if brute_hits(t, items())[1] == 0]
     assert Counter(((r.doc_id if r.doc_id is not None else -1), r.text) for r in kept.collect()) == Counter(clean)
-    if inline:
-        pdf = pd.DataFrame([r[:2] for r in rows if r[0] is not None and rows.count(r) == 1], columns=["doc_id", "text"])
-        ids = set(pdf.doc_id)
-        same([r for r in got if r.doc_id in ids], *duck(decontaminate.ORACLE, documents=pdf, benchmark=pd.DataFrame(items(), columns=["item_id", "text"])))
+    pdf = pd.DataFrame([r[:2] for r in rows if r[0] is not None and rows.count(r) == 1], columns=["doc_id", "text"])
+    ids = set(pdf.doc_id)
+    same([r for r in got if r.doc_id in ids], *duck(decontaminate.ORACLE, documents=pdf, benchmark=pd.DataFrame(items(), columns=["item_id", "text"])))
 
 
 def test_decontamination_empty(spark):
@@ -174,11 +173,11 @@ def test_warc_ranges_coalesce(spark):
     assert got == [("a", 0, 20), ("a", 200, 205), ("b", 0, 4)]
 
 
-@pytest.mark.parametrize("inline", [200_000, 0])
-def test_decontamination_answers_for_every_row(spark, inline):
+@pytest.mark.parametrize("block", [64 << 20, 3000])
+def test_decontamination_answers_for_every_row(spark, block):
     rows = [(1, "pre " + items()[0][1] + " post")] * 3 + [(2, "zz " * 30)] * 2 + [(3, None)] * 2 + [(4, "one")]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(2), spark.createDataFrame(items(), "item_id long, text string")
-    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.find(docs, bench, max_inline=inline, each_row=True).collect())
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.find(docs, bench, block_bytes=block, each_row=True).collect())
     assert got == Counter((d, *brute_hits(t, items())) for d, t in rows)
 
 
@@ -223,3 +222,27 @@ def test_quality_keeps_columns_of_any_name(spark):
     kept = quality_rules.keep(docs)
     assert kept.columns == docs.columns and kept.count() == 30
     assert [tuple(r) for r in kept.select("__m", "`a.b`").distinct().collect()] == [(7, 11)]
+
+
+def test_decontamination_with_many_windows_shuffles_only_hits(spark):
+    rng = random.Random(9)
+    word = lambda: f"v{rng.randrange(40_000)}"
+    bench = [(i, " ".join(word() for _ in range(3000))) for i in range(105)]  # over 300,000 windows
+    docs = [(i, " ".join(word() for _ in range(200))) for i in range(40)]
+    for i in range(0, 40, 4):
+        docs[i] = (i, docs[i][1] + " " + " ".join(bench[i][1].split()[100:113]))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    items_ = spark.createDataFrame(bench, "item_id long, text string").repartition(4)
+    got = decontaminate.find(frame, items_)
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in got.collect()} == {i: (13, 1) if i % 4 == 0 else (0, 0) for i in range(40)}
+    found = decontaminate.occurrences(frame.selectExpr("doc_id", "text", "xxhash64(text) as key"), items_, 10, 3, 96 << 20, True)
+    assert found.count() == 40 + 10 * 4  # a row a document and one an occurrence: nothing else leaves its task
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "pre " + items()[0][1], 7, 8), (None, None, 7, 8), (3, "fine words", 7, 8)], "doc_id long, text string, __n long, `a.b` long")
+    kept = decontaminate.remove(docs, spark.createDataFrame(items(), "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "None"]
+    assert [tuple(r) for r in kept.select("__n", "`a.b`").distinct().collect()] == [(7, 8)]
