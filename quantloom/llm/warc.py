@@ -1,14 +1,20 @@
 """WARC archives, index first.
 
-Every page becomes a record, a gzip member of its own (WARC/1.1): `response` with its payload, or `revisit` of the
-record that holds an equal payload. Of records with equal payloads of at least `min_bytes` bytes the one with the
-largest page_id is the response. Who refers to whom is settled on (page_id, digest) alone, by a partial maximum for
-each digest; payloads are dealt out once, by page_id, so a payload that a third of all pages share makes no hot task.
+Every page becomes a record, a gzip member of its own (WARC/1.1): a `response` whose block is an HTTP head and the
+payload, or a `revisit` (HTTP head only) of the record that holds an equal payload. Of records with equal payloads of
+at least `min_bytes` bytes the one with the largest page_id is the response. An archive begins with a `warcinfo`
+record. Record ids are UUIDs of folder, task and offset, so repeated or null page_ids have ids of their own; the page
+and the page referred to are in extension fields.
+
+Who refers to whom is settled on (page_id, digest) alone: a partial maximum for each digest, then a join in which the
+digests of more than `HEAVY` pages (at most pages / HEAVY of them) are broadcast and only the others shuffled. Payloads
+are dealt out once, by page_id. So a payload that a third of all pages share makes no hot task.
 
 Writing gives an index row for each record: archive, offset, length, URL, digest. Reading selects index rows, sorts
-them by archive and offset, coalesces neighbours (gaps up to `gap`, ranges up to `most` bytes) and reads each range at
-once. An archive's name holds the task attempt that wrote it, and the index names the attempts that were committed, so
-what a lost executor left behind is never read.
+them by archive and offset, coalesces neighbours (gaps up to `gap`, ranges up to `most` bytes), deals the ranges out to
+as many tasks as their bytes need (`TASK_BYTES` each, but a task a core where there are that many ranges) and reads
+each range at once. An archive's name holds the task attempt that wrote it, and the index names the attempts that were
+committed, so what a lost executor left behind is never read.
 
 Defined cases. Null html: an empty payload. Null URL: no target URI. A null page_id is a response that refers to
 nothing. Rows that repeat a page_id and payload have the same type. Empty table: no archives, an empty result. Other
@@ -19,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -31,7 +38,8 @@ from .common import new_folder, open_fs, scratch, staged, table
 
 INDEX = "archive string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-DATE = "2024-01-01T00:00:00Z"  # a fixed date: writing again gives the same bytes
+DATE = "2024-01-01T00:00:00Z"  # pages have no date of their own
+TASK_BYTES, HEAVY = 64 << 20, 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -39,41 +47,50 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, level: int = 1) -> tuple[bytes, str]:
-    """(gzip member, digest). A revisit has no block; its extension field keeps the payload's length."""
-    digest, block = sha1_base32(payload), b"" if refers_to is not None else payload
-    head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}",
-        f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}",
-    ]
+def member(kind: str, fields: list[str], block: bytes, seed: str, level: int = 1) -> bytes:
+    """A record as a gzip member."""
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, seed)}>", f"WARC-Date: {DATE}", *fields, f"Content-Length: {len(block)}"]
+    pack = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
+
+
+def info(seed: str) -> bytes:
+    return member("warcinfo", ["Content-Type: application/warc-fields"], b"software: quantloom\r\nformat: WARC File Format 1.1\r\n", seed)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, seed: str) -> tuple[bytes, str]:
+    """(gzip member, digest) of a page."""
+    digest = sha1_base32(payload)
+    fields = ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    if page_id is not None:
+        fields.append(f"X-Page-ID: {page_id}")
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe='%:/?#[]@!$&()*+,;=~' + chr(39))}")
+        fields.append(f"WARC-Target-URI: {quote(url, safe='%:/?#[]@!$&()*+,;=~' + chr(39))}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
-    head.append(f"Content-Length: {len(block)}")
-    pack = zlib.compressobj(level, zlib.DEFLATED, 31)
-    return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush(), digest
+        fields += [f"X-Refers-To-Page-ID: {refers_to}", f"WARC-Profile: {PROFILE}"]
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    return member("response" if refers_to is None else "revisit", fields, http + (payload if refers_to is None else b""), seed), digest
 
 
-def parse(member: bytes) -> tuple[int | None, int, str, str, int | None]:
-    """(page_id, payload bytes, digest, type, refers_to) of a record; a response's are taken from its payload."""
-    data = zlib.decompress(member, 31)
-    head, _, rest = data.partition(b"\r\n\r\n")
+def parse(data: bytes) -> tuple[int | None, int, str, str, int | None]:
+    """(page_id, payload bytes, digest, type, refers_to) of a page's record; a response's are taken from its payload."""
+    head, _, rest = zlib.decompress(data, 31).partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    number = lambda s: int(x) if (x := s.removeprefix("<urn:page:").removesuffix(">")) else None
-    block = rest[: int(fields["Content-Length"])]
-    kind, page = fields["WARC-Type"], number(fields["WARC-Record-ID"])
-    if kind == "response":
-        return page, len(block), sha1_base32(block), kind, None
-    return page, int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), kind, number(fields["WARC-Refers-To"])
+    number = lambda name: int(fields[name]) if name in fields else None
+    if fields["WARC-Type"] == "response":
+        payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
+        return number("X-Page-ID"), len(payload), sha1_base32(payload), "response", None
+    return number("X-Page-ID"), int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], number("X-Refers-To-Page-ID")
 
 
-def referrals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def referrals(pages: DataFrame, min_bytes: int = 0, heavy: int = HEAVY) -> DataFrame:
     """(__id, __to): the pages that revisit another, and which."""
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     keyed = staged(pages.where(F.col("page_id").isNotNull() & (F.octet_length(payload) >= min_bytes)).select("page_id", F.unhex(F.sha1(payload)).alias("d")), "warc-digests")
-    largest = keyed.groupBy("d").agg(F.max("page_id").alias("__to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(largest, "d").where("page_id < __to").select(F.col("page_id").alias("__id"), "__to").distinct()
+    largest = staged(keyed.groupBy("d").agg(F.max("page_id").alias("__to"), F.count("*").alias("n")).where("n > 1"), "warc-largest")
+    many = F.broadcast(largest.where(F.col("n") > heavy).select("d", "__to"))
+    few = keyed.join(many, "d", "left_anti").join(largest.where(F.col("n") <= heavy).select("d", "__to"), "d")
+    return keyed.join(many, "d").unionByName(few).where("page_id < __to").select(F.col("page_id").alias("__id"), "__to").distinct()
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
@@ -85,16 +102,19 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
 
         out, name, at = None, f"{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}.warc.gz", 0
         fs, root = open_fs(folder)
+        seed = f"{folder}/{TaskContext.get().partitionId()}"
         for b in batches:
             rows = []
             for page, url, html, to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)  # members are packed here
-                member, digest = record(page, url, (html or "").encode("utf-8", "surrogatepass"), to)
-                out.write(member)
-                rows.append((name, at, len(member), page, url, digest, "response" if to is None else "revisit"))
-                at += len(member)
+                    out.write(first := info(f"{seed}:info"))
+                    at = len(first)
+                packed, digest = record(page, url, (html or "").encode("utf-8", "surrogatepass"), to, f"{seed}:{at}")
+                out.write(packed)
+                rows.append((name, at, len(packed), page, url, digest, "response" if to is None else "revisit"))
+                at += len(packed)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
         if out is not None:
@@ -130,7 +150,10 @@ def read(index: DataFrame, folder: str, gap: int = 1 << 16, most: int = 4 << 20)
                 rows = [parse(data[p["offset"] - start : p["offset"] - start + p["length"]]) for p in parts]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return ranges(index, gap, most).mapInArrow(run, RESULT)
+    found = staged(ranges(index, gap, most), "warc-ranges")
+    n, size = found.agg(F.count("*"), F.sum(F.col("to") - F.col("from"))).first()
+    tasks = max(-(-(size or 0) // TASK_BYTES), min(n, index.sparkSession.sparkContext.defaultParallelism), 1)
+    return found.repartition(tasks).mapInArrow(run, RESULT)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

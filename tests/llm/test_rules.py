@@ -246,3 +246,32 @@ def test_decontamination_keeps_columns_of_any_name(spark):
     kept = decontaminate.remove(docs, spark.createDataFrame(items(), "item_id long, text string"))
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "None"]
     assert [tuple(r) for r in kept.select("__n", "`a.b`").distinct().collect()] == [(7, 8)]
+
+
+def test_warc_records_are_whole_and_reading_is_dealt_out(spark, monkeypatch):
+    rows = [(i % 40 if i else None, f"http://a/{i}", "<p>hot</p>" if i % 3 else f"<p>{i}</p>", "") for i in range(120)]
+    pages = spark.createDataFrame(rows, PAGES).repartition(3)
+    folder = new_folder(spark, "test-warc")
+    index = warc.write(pages, folder)
+    fs, root = open_fs(folder)
+    ids = []
+    for name in {r.archive for r in index.collect()}:
+        with fs.open_input_file(f"{root}/{name}") as f:
+            data = gzip.decompress(f.read())
+        assert data.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            size = int(fields["Content-Length"])
+            assert rest[size : size + 4] == b"\r\n\r\n" and fields["Content-Type"]
+            ids.append(fields["WARC-Record-ID"])
+            if fields["WARC-Type"] == "response":
+                http, _, payload = rest[:size].partition(b"\r\n\r\n")
+                assert http.startswith(b"HTTP/1.1 200 OK\r\n") and warc.sha1_base32(payload) == fields["WARC-Payload-Digest"][5:]
+            data = rest[size + 4 :]
+    assert len(ids) == len(set(ids)) and len(ids) == 120 + len({r.archive for r in index.collect()})
+    monkeypatch.setattr(warc, "TASK_BYTES", 500)
+    got = warc.read(index, folder, gap=0, most=200)
+    assert got.rdd.getNumPartitions() > 4 and got.count() == 120
+    key = lambda r: (r["__id"], r["__to"])
+    assert sorted(map(key, warc.referrals(pages, heavy=2).collect())) == sorted(map(key, warc.referrals(pages).collect()))
