@@ -370,13 +370,48 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return shared.withColumn("w", F.expr(wanted)).where("w > 0").selectExpr("node", "key", "n", "explode(slice(s, 1, cast(w as int))) as e").selectExpr("e.token as token", "node", "key", "n")
 
 
+def _runs(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(token, head, lo, hi, a): within a task's rows of a shingle, runs of compatible sizes. A row with a: node a and
+    the run's first; a row without: the run and the sizes it spans. So a shingle that many nodes share sends one row a
+    task, not one a node."""
+
+    def settled(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        token, node, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((node, n, token))
+        token, node, n = token[order], node[order], n[order]
+        new = np.append(True, (token[1:] != token[:-1]) | (percent * n[1:] > 100 * n[:-1]))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(n)) - 1
+        head = node[first][np.cumsum(new) - 1]
+        other = np.flatnonzero(node != head)
+        cols = [np.concatenate([token[first], token[other]]), np.concatenate([node[first], head[other]]), np.concatenate([n[first], n[other]]), np.concatenate([n[last], n[other]])]
+        a = pa.array(np.concatenate([first * 0, node[other]]), pa.int64(), mask=np.arange(len(first) + len(other)) < len(first))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), a], names=["token", "head", "lo", "hi", "a"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for b in batches:
+            parts.append(tuple(c.to_numpy() for c in b.columns))
+            held += b.num_rows
+            if held >= _FLUSH:
+                yield settled(parts)
+                parts, held = [], 0
+        if held:
+            yield settled(parts)
+
+    return prefixes.select("token", "node", "n").mapInArrow(run, "token long, head long, lo long, hi long, a long")
+
+
 def _edges(prefixes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each node with the first of its run of compatible sizes, for each prefix shingle."""
-    w = Window.partitionBy("token").orderBy("n", "node", "key")
-    rows = prefixes.withColumn("before", F.lag("n").over(w))
-    rows = rows.withColumn("head", F.expr(f"case when before is null or {percent} * n > 100 * before then node end"))
-    rows = rows.withColumn("head", F.last("head", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    """(a, b): nodes with the first of their run of compatible sizes, for each prefix shingle: within tasks first, then
+    between the tasks' runs, which are one where the sizes they span meet or are compatible."""
+    runs = staged(_runs(prefixes, percent), "ngram-runs")
+    w = Window.partitionBy("token").orderBy("lo", "hi", "head")
+    heads = runs.where("a is null").withColumn("before", F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    heads = heads.withColumn("first", F.expr(f"case when before is null or {percent} * lo > 100 * before then head end"))
+    heads = heads.withColumn("first", F.last("first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    found = runs.where("a is not null").select("a", F.col("head").alias("b")).unionAll(heads.where("head <> first").select(F.col("head").alias("a"), F.col("first").alias("b")))
+    return found.distinct()
 
 
 def _blocks(prefixes: DataFrame, labels: DataFrame, max_block: int, chunk: int) -> DataFrame:
