@@ -1,10 +1,11 @@
 """URL filter over a sorted digest array.
 
-The list (keys like `example.org/es/`: host, then path prefix) becomes shards in the shared folder, each an array of
-64-bit xxhash keys in ascending order, the full key strings in that order and their verdicts. Executors memory-map a
-shard's arrays (a shard in a store that can't be mapped is read once a task), probe all candidate keys of a batch of
-URLs by vectorised binary search, and confirm every digest hit against the stored string, so that a collision never
-decides. A URL's candidates are its host and all parent domains, each with the path prefixes of those lengths that
+The list (keys like `example.org/es/`: host, then path prefix) becomes shards in the shared folder, one for each
+`shard_rows` keys, dealt by ranges of the digest: each an array of 64-bit xxhash keys (seed 42, as Spark's xxhash64) in
+ascending order, the full key strings in that order and their verdicts. Executors memory-map a shard's arrays when a
+candidate first falls into its range, once a process (a shard in a store that can't be mapped is read then), probe all
+candidate keys of a batch of URLs in the shards of their ranges by vectorised binary search, and confirm every digest
+hit against the stored string, so that a collision never decides. A URL's candidates are its host and all parent domains, each with the path prefixes of those lengths that
 occur in the list. The longest confirmed key wins; without one the verdict is `default`.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path: from there up to `?`, `#` or the end.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, new_folder, open_fs, scratch, table
 
+SHARD_ROWS = 1_000_000
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
 #: The production list: the stated rules, then invented block entries.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -38,14 +40,19 @@ def _put(fs, path: str, data: bytes) -> None:
         out.write(data)
 
 
-def build(entries: DataFrame, folder: str, shards: int = 1) -> DataFrame:
-    """Write the digest array of entries (key, verdict); returns its manifest (shard path, lowest, n, path lengths)."""
+def digest(key: bytes) -> int:
+    return xxhash.xxh64_intdigest(key, 42)
+
+
+def build(entries: DataFrame, folder: str, shards: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Write the digest array of entries (key, verdict); returns its manifest (shard path, lowest and highest digest, n,
+    path lengths)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         if not rows:
             return
-        rows = sorted((xxhash.xxh64_intdigest(k.encode()), k, v) for k, v in dict(sorted(rows, reverse=True)).items())
+        rows = sorted((digest(k.encode()), k, v) for k, v in dict(sorted(rows, reverse=True)).items())
         from pyspark import TaskContext
 
         fs, root = open_fs(folder)
@@ -56,16 +63,30 @@ def build(entries: DataFrame, folder: str, shards: int = 1) -> DataFrame:
             np.save(out := io.BytesIO(), x)
             _put(fs, f"{base}.{name}.npy", out.getvalue())
         lengths = sorted({len(k) - k.index("/") for _, k, _ in rows})
-        yield pa.RecordBatch.from_pydict({"base": [base], "n": [len(rows)], "lengths": [lengths]})
+        bounds = [pa.array(np.array([rows[k][0]], np.uint64).view(np.int64)) for k in (0, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array([base]), *bounds, pa.array([len(rows)]), pa.array([lengths], pa.list_(pa.int64()))], names=["base", "lo", "hi", "n", "lengths"])
 
     keyed = entries.select("key", "verdict").withColumn("h", F.xxhash64("key"))
-    dealt = keyed.repartitionByRange(shards, "h") if shards > 1 else keyed.repartition(1)
-    return dealt.select("key", "verdict").mapInArrow(write, "base string, n long, lengths array<long>")
+    shards = shards or -(-keyed.count() // shard_rows)
+    # Signed order, halved around zero, is not the digests' own: the sign bit is flipped, so ranges are of unsigned digests.
+    dealt = keyed.repartitionByRange(shards, F.expr("h ^ -9223372036854775808L")) if shards > 1 else keyed.repartition(1)
+    return dealt.select("key", "verdict").mapInArrow(write, "base string, lo long, hi long, n long, lengths array<long>")
 
 
 class Shard:
     """The arrays of one shard, mapped where the folder is a local mount."""
 
+    _held: dict[str, Shard] = {}
+
+    @classmethod
+    def of(cls, folder: str, base: str) -> Shard:
+        """A shard of the folder in use; shards of another folder are let go."""
+        if not all(k.startswith(f"{folder}|") for k in cls._held):
+            cls._held.clear()
+        if (key := f"{folder}|{base}") not in cls._held:
+            cls._held[key] = cls(open_fs(folder)[0], base)
+        return cls._held[key]
+
     def __init__(self, fs, base: str) -> None:
         from pyarrow import fs as pafs
 
@@ -96,16 +117,15 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (m[1].translate(str.maketrans(UPPER, LOWER)), m[2]) if m else ("", "")
 
 
-def judge(urls: DataFrame, entries: DataFrame, default: str = "allow", shards: int = 1) -> DataFrame:
+def judge(urls: DataFrame, entries: DataFrame, default: str = "allow", shards: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of urls (page_id, url) under entries (key, verdict)."""
     folder = new_folder(urls.sparkSession, "url-digests")
-    manifest = build(entries, folder, shards).collect()  # a row a shard
+    manifest = build(entries, folder, shards).toArrow().to_pydict()  # a row a shard
     scratch(urls.sparkSession, folder)
-    bases, lengths = [r["base"] for r in manifest], sorted({x for r in manifest for x in r["lengths"]})
+    bases, lengths = manifest["base"], sorted({x for row in manifest["lengths"] for x in row})
+    lo, hi = (np.array(manifest[c], np.int64).view(np.uint64) for c in ("lo", "hi"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = open_fs(folder)
-        loaded = [Shard(fs, b) for b in bases]
         for batch in batches:
             parts = [split_url(u) for u in batch.column(1).to_pylist()]
             names, owner = [], []
@@ -117,10 +137,12 @@ def judge(urls: DataFrame, entries: DataFrame, default: str = "allow", shards: i
                         if n <= len(path):
                             names.append((domain + path[:n]).encode())
                             owner.append(i)
-            digests = np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64)
+            digests = np.array([digest(x) for x in names], np.uint64)
             best: dict[int, tuple[int, bytes, bool]] = {}
-            for s in loaded if names else []:
-                for c, blocked in s.find(digests, names):
+            for base, low, high in zip(bases, lo, hi, strict=True) if names else ():
+                mine = np.flatnonzero((digests >= low) & (digests <= high))
+                for k, blocked in Shard.of(folder, base).find(digests[mine], [names[c] for c in mine]) if len(mine) else ():
+                    c = int(mine[k])
                     best[owner[c]] = max(best.get(owner[c], (-1, b"", False)), (len(names[c].decode()), names[c], blocked))
             rule = [best[i][1].decode() if i in best else None for i in range(len(parts))]
             verdict = [("block" if best[i][2] else "allow") if i in best else default for i in range(len(parts))]
