@@ -169,8 +169,12 @@ def fit(rows: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Gam:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (_remainder() != 0)).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     share = min(1.0, max_rows / max(known.count(), 1))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    got = sorted(tuple(r) for r in rows.join(known, "doc_id").select("doc_id", "quality", "x").collect())
-    return Gam(np.array([r[2] for r in got]).reshape(len(got), len(MEASURES)), np.array([r[1] for r in got], float))
+    # The sample's ids and labels are broadcast (max_rows bounds them), so measured rows stay where they are.
+    got = rows.join(F.broadcast(known), "doc_id").select("doc_id", F.col("quality").cast("double").alias("y"), "x").toArrow().combine_chunks()
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, len(MEASURES))
+    y, ids = got.column("y").to_numpy(), got.column("doc_id").to_numpy()
+    order = np.lexsort((*x.T[::-1], y, ids))
+    return Gam(x[order], y[order])
 
 
 def score(rows: DataFrame, model: Gam) -> DataFrame:

@@ -191,3 +191,24 @@ def test_pipeline_awkward_and_empty_tables(spark, tmp_path):
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
         assert {r.doc_id for r in packed} == set(got) and len(got) == len(set(got))
         assert bool(got) == bool(data) and 102 not in got and 103 not in got
+
+
+def test_quality_scores_against_plain_lookups(spark):
+    from bisect import bisect_right
+
+    sf = "/root/testdata/sf0.01"
+    rows = quality_classifier.measured(table(spark, sf, "documents"))
+    model = quality_classifier.fit(rows, table(spark, sf, "labels"))
+    assert model.tables and model.pairs
+    got = {r.doc_id: r for r in quality_classifier.score(rows, model).collect()}
+    for r in rows.collect():
+        total = model.base + sum(t[bisect_right(model.edges[j].tolist(), r.x[j])] for j, t in enumerate(model.tables))
+        total += sum(t[bisect_right(model.coarse[i].tolist(), r.x[i])][bisect_right(model.coarse[j].tolist(), r.x[j])] for i, j, t in model.pairs)
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-total))) < 1e-9 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3)
+
+
+def test_quality_measures_by_hand():
+    m = dict(zip(quality_classifier.MEASURES, quality_classifier.measures("Ab cde, 12\nAb cde, 12\nx | y\n"), strict=True))
+    assert m["word_len"] == (2 + 4 + 2) * 2 / 9 + 3 / 9 and m["pipes"] == 1 / 28 and m["digits"] == 4 / 28 and m["upper"] == 2 / 28
+    assert m["distinct"] == 6 / 9 and m["dup_lines"] == 1 - 2 / 3 and m["longest"] == 4 and m["first_upper"] == 2 / 3 and m["top_word"] == 2 / 9
+    assert quality_classifier.measures(None) == quality_classifier.measures(" ") == [0.0] * len(quality_classifier.MEASURES)

@@ -275,3 +275,18 @@ def test_warc_records_are_whole_and_reading_is_dealt_out(spark, monkeypatch):
     assert got.rdd.getNumPartitions() > 4 and got.count() == 120
     key = lambda r: (r["__id"], r["__to"])
     assert sorted(map(key, warc.referrals(pages, heavy=2).collect())) == sorted(map(key, warc.referrals(pages).collect()))
+
+
+def test_url_filter_with_a_long_list_in_shards(spark):
+    keys = spark.range(20_000).selectExpr("concat('h', id, '.site', id % 7, '.example/', if(id % 3 = 0, 'p/', '')) as key", "if(id % 2 = 0, 'block', 'allow') as verdict")
+    urls = [(i, f"https://www.H{i * 37}.site{(i * 37) % 7}.example/p/x?y") for i in range(400)] + [(1000, "https://h1.site2.example/"), (1001, "https://h2.site2.example/q")]
+    folder = new_folder(spark, "test-digests")
+    manifest = url_filter.build(keys, folder, shard_rows=3000).collect()
+    assert len(manifest) > 4 and sum(r.n for r in manifest) == 20_000
+    bounds = sorted((r.lo % (1 << 64), r.hi % (1 << 64)) for r in manifest)
+    assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:]))
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), keys, shards=6).collect()}
+    for i in range(400):
+        n = i * 37
+        assert got[i] == (f"h{n}.site{n % 7}.example/{'p/' if n % 3 == 0 else ''}", "allow" if n % 2 else "block")
+    assert got[1000] == (None, "allow") and got[1001] == ("h2.site2.example/", "block")
