@@ -3,8 +3,8 @@
 A text of printable characters up to U+024F and line breaks is cut by the vocabulary's pre-token pattern, and each
 distinct pre-token goes through the library's BPE model once. In any other text a single space between two non-space
 characters always starts a new pre-token, whatever stands around it: the text is cut there into units, and units with
-other characters go through the library's whole encoder. Special tokens' strings in a text are ordinary text. The
-memo has two generations of bounded size: when one is full it becomes the old one, from which what is seen again is
+other characters go through the library's whole encoder. A string of an added token (`<|endoftext|>`) in a text is that
+token, as the library has it: texts are split there first. The memo has two generations of bounded size: when one is full it becomes the old one, from which what is seen again is
 taken over.
 """
 
@@ -31,15 +31,17 @@ _MAPPED = {b: chr(b) for b in _KEPT} | {b: chr(256 + k) for k, b in enumerate(x
 class _Memo(dict):
     """Plain pre-token or other unit -> its number; its ids are ids[ends[number] : ends[number + 1]]."""
 
-    def __init__(self, whole, old: _Memo | None) -> None:
+    def __init__(self, whole, added: dict[str, int], old: _Memo | None) -> None:
         super().__init__()
-        self.whole, self.model, self.old = whole, whole.model, old
+        self.whole, self.model, self.added, self.old = whole, whole.model, added, old
         self.ids, self.ends = array("I"), array("q", [0])
 
     def __missing__(self, text: str) -> int:
         old = self.old
         if old is not None and (k := old.get(text)) is not None:
             self.ids.extend(old.ids[old.ends[k] : old.ends[k + 1]])
+        elif text in self.added:
+            self.ids.append(self.added[text])
         elif _PLAIN.fullmatch(text):
             mapped = text.replace(" ", "Ġ") if text.isascii() and "\n" not in text else text.encode().decode("latin-1").translate(_MAPPED)
             self.ids.extend([t.id for t in self.model.tokenize(mapped)])
@@ -62,8 +64,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.memo = _Memo(self.whole, None)
+        added = self.whole.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError("added tokens of this kind are not supported")
+        self.added = {t.content: i for i, t in added.items()}
+        self.at_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if added else None
+        self.memo = _Memo(self.whole, self.added, None)
 
     @classmethod
     def of(cls, path: str | None = None) -> Encoder:
@@ -73,6 +79,13 @@ class Encoder:
         return cls._made[path]
 
     def codes(self, text: str) -> list[int]:
+        get = self.memo.__getitem__
+        if self.at_added is not None and any(t in text for t in self.added):
+            parts = [x for x in self.at_added.split(text) if x]
+            return list(chain.from_iterable([get(x)] if x in self.added else self._codes(x) for x in parts))
+        return self._codes(text)
+
+    def _codes(self, text: str) -> list[int]:
         get = self.memo.__getitem__
         if _PLAIN.fullmatch(text):
             return list(map(get, _PIECES.findall(text)))
@@ -91,7 +104,7 @@ class Encoder:
         for lo in range(0, len(texts), 64):
             if len(self.memo) > MAX_MEMO:
                 self.memo.old = None
-                self.memo = _Memo(self.whole, self.memo)
+                self.memo = _Memo(self.whole, self.added, self.memo)
             each = [self.codes(t) if t else [] for t in texts[lo : lo + 64]]
             codes = np.fromiter(chain.from_iterable(each), np.int64, sum(map(len, each)))
             ids, ends = np.frombuffer(self.memo.ids, np.uint32) if self.memo.ids else np.zeros(0, np.uint32), np.frombuffer(self.memo.ends, np.int64)
@@ -114,4 +127,6 @@ class Encoder:
         out = np.zeros(self.whole.get_vocab_size(with_added_tokens=True), np.int64)
         for token, i in self.whole.get_vocab(with_added_tokens=False).items():
             out[i] = len(token)
+        for token, i in self.added.items():
+            out[i] = len(token.encode())
         return out

@@ -14,7 +14,6 @@ from quantloom.llm.common import new_folder
 from quantloom.llm.tokens import Encoder
 
 WHOLE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-WHOLE.encode_special_tokens = True
 SCHEMA = "doc_id long, text string, n_tokens int, ids string"
 
 
@@ -121,13 +120,13 @@ def test_fill_is_the_best_subset_sum(counts, room):
 
 
 def by_hand(text, rule):
-    """(start, end, n_tokens, n_crossing) of each line, from the library's own ids and the bytes they decode to."""
+    """(start, end, n_tokens, n_crossing) of each line, from the library's own tokens (a character of one is a byte)."""
     raw = (text or "").encode()
     starts = [0, *(i + 1 for i, b in enumerate(raw) if b == 10 and i + 1 < len(raw))]
     ends = [*starts[1:], len(raw)]
-    lengths, at, n, cross = Encoder.of().byte_lengths(), 0, [0] * len(starts), [0] * len(starts)
-    for i in ids_of(text):
-        end = at + int(lengths[i])
+    at, n, cross = 0, [0] * len(starts), [0] * len(starts)
+    for token in WHOLE.encode(text or "", add_special_tokens=False).tokens:
+        end = at + len(token)
         share = [max(0, min(e, end) - max(s, at)) for s, e in zip(starts, ends, strict=True)]
         k = next(i for i, x in enumerate(share) if x) if rule == "first" else share.index(max(share))
         n[k] += 1
@@ -148,3 +147,43 @@ def test_token_counts(spark, rule):
         want = sorted([(k, *x) for k, x in enumerate(by_hand(t, rule))] * sum(1 for e, *_ in rows if e == d))
         assert sorted(got[d]) == want, (d, t)
     assert token_counts.attribute(spark.createDataFrame([], SCHEMA), rule).count() == 0
+
+
+def test_added_tokens_are_the_library_s(spark):
+    texts = ["<|endoftext|>", "a <|endoftext|>", "a  <|endoftext|>  b\n", "x<|endoftext|><|endoftext|>y", "日 <|endoftext|> 本", "<|endoftext", "<|endoftext|>" * 500]
+    ids, ends = Encoder.of().batch(texts)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [ids_of(t) for t in texts]
+    assert 50256 in ids_of(texts[1]) and 50256 not in ids_of(texts[5])
+
+
+def test_orc_stripes_row_groups_and_skipping(spark):
+    """Several files, stripes and row groups; a filter on doc_id reads only the row groups that can hold it."""
+    from pyarrow import orc
+
+    from quantloom.llm.common import open_fs
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)), 0, "") for i in range(6000)]
+    path = new_folder(spark, "test-stripes")
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    token_output.write(docs, path, stride=1000, stripe_bytes=200_000)
+    fs, root = open_fs(path)
+    from pyarrow.fs import FileSelector
+
+    files = [f.path for f in fs.get_file_info(FileSelector(root)) if f.path.endswith(".orc")]
+    footers = []
+    for name in files:
+        with fs.open_input_file(name) as f:
+            footers.append(orc.ORCFile(f))
+            footers[-1] = (footers[-1].nrows, footers[-1].nstripes, footers[-1].row_index_stride)
+    assert sum(n for n, *_ in footers) == 6000 and sum(k for _, k, _ in footers) > len(files) and {s for *_, s in footers} == {1000}
+    read = token_output.read(spark, path)
+    ranges = sorted((r.lo, r.hi) for r in read.groupBy("file").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "lo").join(read.groupBy("file").agg({"doc_id": "max"}).withColumnRenamed("max(doc_id)", "hi"), "file").collect())
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    one = read.where("doc_id = 4321").select("ids")
+    assert [r.ids for r in one.collect()] == [[*ids_of(rows[4321][1]), 2]]
+    assert "EqualTo(doc_id,4321)" in one._jdf.queryExecution().executedPlan().toString()
+    seen = spark.read.schema("doc_id long, ids array<int>").orc(path).where("doc_id = 4321")
+    seen._jdf.collectToPython()
+    leaf = seen._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert leaf.metrics().apply("numOutputRows").value() <= 2 * 1000  # of 6,000 rows: the row groups that may hold it
