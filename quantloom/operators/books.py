@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,7 +28,7 @@ def traded(held: DataFrame, keys: list[str] | None = None) -> DataFrame:
     lead along the name: one shuffle by name, no self-join and no pivot."""
     keys = keys or []
     dates = held.select(*keys, "date").distinct().withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("date")))
-    rows = held.join(F.broadcast(dates), [*keys, "date"]).select(*keys, "symbol", "k", "w")
+    rows = held.join(dates, [*keys, "date"]).select(*keys, "symbol", "k", "w")
     own = Window.partitionBy(*keys, "symbol").orderBy("k")
     rows = rows.withColumns({"k0": F.lag("k").over(own), "w0": F.lag("w").over(own), "k1": F.lead("k").over(own)})
     change = F.struct(F.col("k"), F.abs(F.col("w") - F.when(F.col("k0") == F.col("k") - 1, F.col("w0")).otherwise(0.0)).alias("m"))
@@ -98,3 +98,39 @@ def name_turnover(panel: DataFrame, score: str, ret: str, cap: str, n: int) -> D
     moves = traded(weights(rows, ["fractile", "date"]), ["fractile"])
     later = moves.withColumn("k", F.row_number().over(Window.partitionBy("fractile").orderBy("date"))).where("k > 1")
     return later.groupBy("fractile").agg((F.avg("traded") / 2).alias("turnover"))
+
+
+def fractile_report(panel: DataFrame, score: str, ret: str, cap: str, n: int, cap_weighted: bool, keys: list[str], per_year: int = 12) -> DataFrame:
+    """(keys, row, n, total, active, te, ir, t, success, vol, sharpe, beta, alpha, turnover) for the fractiles (Q or D, 1
+    the highest scores), the spread of first and last, and the market of all names. Fractiles are held against the
+    market, spread and market stand for themselves; beta is sample covariance over population variance."""
+    rows = bucketed(panel, score, ret, cap, n, [*keys, "date"]).withColumn("fractile", F.lit(n) - F.col("bucket"))
+    mean = ratio(F.sum(F.col(ret) * F.col(cap)), F.sum(cap)) if cap_weighted else F.avg(ret)
+    prefix = "Q" if n == 5 else "D"
+    legs = rows.groupBy(*keys, "date", "fractile").agg(mean.alias("r"))
+    market = rows.groupBy(*keys, "date").agg(mean.alias("m"))
+    null = F.lit(None).cast("double")
+    each = legs.join(market, [*keys, "date"]).select(*keys, F.concat(F.lit(prefix), F.col("fractile")).alias("row"), "date", "r", "m", (F.col("r") - F.col("m")).alias("a"))
+    end = lambda k: F.max(F.when(F.col("fractile") == k, F.col("r")))
+    spread = legs.groupBy(*keys, "date").agg((end(1) - end(n)).alias("r")).select(*keys, F.lit(f"{prefix}1-{prefix}{n}").alias("row"), "date", "r", null.alias("m"), F.col("r").alias("a"))
+    whole = market.select(*keys, F.lit("Market").alias("row"), "date", F.col("m").alias("r"), null.alias("m"), F.col("m").alias("a"))
+    year, root = F.lit(float(per_year)), F.sqrt(F.lit(float(per_year)))
+
+    def annual(c: str) -> Column:
+        grown = F.product(1 + F.col(c))
+        return F.when(grown > 0, F.pow(grown, year / F.count(c)) - 1)
+
+    of_market = market.where(F.col("m").isNotNull()).groupBy(*keys).agg(annual("m").alias("__market"), F.count("*").alias("__months"))
+    long = each.unionByName(spread).unionByName(whole).where(F.col("r").isNotNull())
+    beta = F.when(F.count("m") >= 12, ratio(F.covar_samp("r", "m"), F.var_pop("m")))
+    out = long.groupBy(*keys, "row").agg(
+        F.count("*").alias("n"), annual("r").alias("total"), (F.stddev_samp("a") * root).alias("te"), (ratio(F.avg("a"), F.stddev_samp("a")) * root).alias("ir"), F.avg(F.when(F.col("a") > 0, 1.0).otherwise(0.0)).alias("success"),
+        (F.stddev_samp("r") * root).alias("vol"), (ratio(F.avg("r"), F.stddev_samp("r")) * root).alias("sharpe"), beta.alias("beta"), ((F.avg("r") - beta * F.avg("m")) * per_year).alias("alpha"),
+    )
+    out = out.join(of_market, keys) if keys else out.crossJoin(of_market)  # without keys: one row
+    out = out.withColumn("active", F.when(F.col("row") == "Market", 0.0).when(F.col("row").contains("-"), F.col("total")).otherwise(F.col("total") - F.col("__market")))
+    out = out.withColumn("t", F.col("ir") * F.sqrt(F.col("__months") / year)).drop("__market", "__months")
+    own = [*keys, "fractile"]
+    moves = traded(weights(rows, [*own, "date"]), own).withColumn("__k", F.row_number().over(Window.partitionBy(*own).orderBy("date"))).where("__k > 1")
+    moves = moves.groupBy(*keys, F.concat(F.lit(prefix), F.col("fractile")).alias("row")).agg((F.avg("traded") / 2).alias("turnover"))
+    return out.join(moves, [*keys, "row"], "left")

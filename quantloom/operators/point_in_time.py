@@ -103,3 +103,61 @@ def refreshed_value(panel: DataFrame, px_now: str, px_filing: str, mcap: str, yi
         live_ev = F.col("mcap_live") + (F.col(ev) - F.col(mcap))
         out = out.withColumn("ebitda_to_ev", ratio(ebitda, F.col(ev)) * ratio(F.col(ev), live_ev))
     return out.withColumn("size", -F.ln("mcap_live"))
+
+
+def refreshed_prices(panel: DataFrame, prices: DataFrame, period_end: str, within_days: int = 7) -> DataFrame:
+    """panel (symbol, date, period_end, ...) with px_now and px_filing: the newest price at most `within_days` before
+    the rebalance date and before the period's end."""
+    px = prices.where(F.col("price").isNotNull()).select("symbol", F.col("date").alias("__day"), "price")
+    now = asof_join(panel, px, ["symbol"], "date", "__day", ["price"], within_days=within_days).drop("__day").withColumnRenamed("price", "px_now")
+    ends = panel.where(F.col(period_end).isNotNull()).select("symbol", period_end).distinct()
+    filed = asof_join(ends, px, ["symbol"], period_end, "__day", ["price"], within_days=within_days).drop("__day").withColumnRenamed("price", "px_filing")
+    return now.join(filed, ["symbol", period_end], "left")
+
+
+def event_returns(events: DataFrame, prices: DataFrame, months: tuple[int, ...] = (1, 3, 6)) -> DataFrame:
+    """events (symbol, date, ...) with the return from the newest close on or before the date to the newest one on or
+    before the date some months later."""
+    px = prices.where(F.col("price").isNotNull()).select("symbol", F.col("date").alias("__day"), "price")
+    out = asof_join(events, px, ["symbol"], "date", "__day", ["price"]).drop("__day").withColumnRenamed("price", "__base")
+    for m in months:
+        out = asof_join(out.withColumn("__then", F.add_months("date", m)), px, ["symbol"], "__then", "__day", ["price"])
+        out = out.withColumn(f"ret_fwd_{m}", ratio("price", "__base") - 1).drop("__then", "__day", "price")
+    return out.drop("__base")
+
+
+def benchmark_returns(prices: DataFrame) -> DataFrame:
+    """(date, ret) of a daily series (date, price): last close of each month, next / this - 1; a row a month."""
+    months = prices.groupBy(F.last_day("date").alias("date")).agg(F.max_by("price", "date").alias("price"))
+    return months.withColumn("__s", F.lit(1)).withColumn("ret", forward_return("price", 1, ["__s"])).select("date", "ret")
+
+
+def master(grid: DataFrame, prices: DataFrame, filings: DataFrame, sectors: DataFrame, dates: DataFrame, accepted: str, fields: list[str]) -> DataFrame:
+    """The master table: members' grid (symbol, date), month-end prices with forward returns, the newest accepted filing,
+    sector (else Unknown) and flags."""
+    px = with_forward_returns(month_end_prices(prices, dates)).drop("px_date")
+    out = grid.join(px, ["symbol", "date"], "left")
+    out = asof_join(out, filings, ["symbol"], "date", accepted, fields)
+    out = out.join(sectors, "symbol", "left").withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
+    return investable_flags(out, "price", accepted)
+
+
+def local_panel(prices: DataFrame, filings: DataFrame, caps: DataFrame, floats: DataFrame, fields: list[str], fallback_days: int = 90, stale_days: int = 540, top: int = 200, least: int = 50) -> DataFrame:
+    """A local market's monthly panel: last close by month, clipped returns over observed months, the newest filing by
+    acceptance (else period end + `fallback_days`) unless stale, float-adjusted capitalisation, the `top` largest names
+    of a date, and only dates with `least` complete names."""
+    from ..functions import clip, complete
+    from .cross_section import top_n
+
+    last = lambda df, value: df.groupBy("symbol", F.last_day("date").alias("date")).agg(F.max_by(value, "date").alias(value))
+    p = last(prices, "price").withColumns({"ret_fwd_1": clip(forward_return("price", 1, ["symbol"]), -1.0, 1.0), "ret_fwd_3": clip(forward_return("price", 3, ["symbol"]), -1.0, 2.0)})
+    f = filings.withColumn("pit_date", F.coalesce("accepted", F.date_add("fiscal_date", fallback_days)))
+    p = asof_join(p, f, ["symbol"], "date", "pit_date", fields, tie=["fiscal_date"])
+    stale = F.coalesce(F.datediff("date", "pit_date") > stale_days, F.lit(False))
+    p = p.withColumns({c: F.when(~stale, F.col(c)) for c in fields})
+    share = floats.select("symbol", clip(F.coalesce("ratio", F.lit(1.0)), 0.1, 1.0).alias("__share"))
+    p = p.join(last(caps, "mcap"), ["symbol", "date"], "left").join(share, "symbol", "left")
+    p = p.withColumn("mcap", F.col("mcap") * F.coalesce("__share", F.lit(1.0))).drop("__share").where(complete("mcap", "price"))
+    p = top_n(p, "mcap", ["date"], "symbol", top).drop("rank")
+    enough = p.groupBy("date").agg(F.count_if(complete("ret_fwd_1", *fields)).alias("__n")).where(F.col("__n") >= least).select("date")
+    return p.join(enough, "date", "left_semi")

@@ -31,13 +31,22 @@ def rank_ic(df: DataFrame, score: str, ret: str, keys: list[str], min_names: int
 
 
 def pooled_rank_ic(df: DataFrame, score: str, ret: str, keys: list[str], min_obs: int = 30) -> DataFrame:
-    """Spearman over all rows of each key, its t statistic, and how often ret and score lie on the same side of their
-    medians."""
-    pairs = df.where(complete(score, ret))
-    medians = pairs.groupBy(*keys).agg(F.percentile(score, F.lit(0.5)).alias("__mx"), F.percentile(ret, F.lit(0.5)).alias("__my"))
-    hit = (F.col(score) > F.col("__mx")) == (F.col(ret) > F.col("__my"))
-    ranked = pairs.withColumn("__x", avg_rank(score, keys)).withColumn("__y", avg_rank(ret, keys)).join(F.broadcast(medians), keys)
-    out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), corr("__x", "__y").alias("ic"), F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("hit")).where(F.col("n") >= min_obs)
+    """Spearman over all rows of each key, its t statistic, and how often the score lies above its median where the
+    return is above zero. Rows are counted by distinct pair first, so ranks come from windows over distinct values."""
+    pairs = df.where(complete(score, ret)).groupBy(*keys, F.col(score).alias("__s"), F.col(ret).alias("__r")).agg(F.count("*").alias("__c"))
+    median = pairs.groupBy(*keys).agg(F.percentile("__s", F.lit(0.5), F.col("__c")).alias("__m"))
+    ranked = pairs.join(median, keys)
+    for value, out in (("__s", "__x"), ("__r", "__y")):
+        upto = F.sum("__k").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        counts = pairs.groupBy(*keys, value).agg(F.sum("__c").alias("__k"))
+        counts = counts.withColumn(out, upto - (F.col("__k") - 1).cast("double") / F.lit(2.0)).drop("__k")
+        ranked = ranked.join(counts, [*keys, value])
+    c, x, y = F.col("__c"), F.col("__x"), F.col("__y")
+    n, sx, sy = F.sum(c), F.sum(c * x), F.sum(c * y)
+    vx, vy = n * F.sum(c * x * x) - sx * sx, n * F.sum(c * y * y) - sy * sy
+    hit = F.when((F.col("__s") > F.col("__m")) == (F.col("__r") > 0), c.cast("double")).otherwise(0.0)
+    ic = ratio(n * F.sum(c * x * y) - sx * sy, F.sqrt(F.greatest(vx * vy, F.lit(0.0))))
+    out = ranked.groupBy(*keys).agg(n.alias("n"), ic.alias("ic"), ratio(F.sum(hit), n).alias("hit")).where(F.col("n") >= min_obs)
     return out.withColumn("t", ratio(F.col("ic") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("ic") * F.col("ic"))))
 
 
@@ -88,3 +97,14 @@ def demeaned_slope(df: DataFrame, y: str, x: list[str], keys: list[str], group:
 def slope(df: DataFrame, y: str, x: str, keys: list[str], min_names: int = 30) -> DataFrame:
     """Univariate least squares slope for each key."""
     return df.where(complete(y, x)).groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("coef")).where(F.col("n") >= min_names)
+
+
+def pure_and_raw_returns(df: DataFrame, ret: str, factor: str, controls: list[str], keys: list[str], group: str, min_names: int = 30) -> DataFrame:
+    """(keys, n, pure, raw): for each key the coefficient of the factor's z-score (ddof 0, over the key's complete rows)
+    in least squares of ret on it, the controls' z-scores and dummies of `group`, and on it alone."""
+    from .cross_section import zscore
+
+    rows = df.where(complete(ret, factor, *controls, group))
+    rows = rows.select(*keys, group, ret, *(zscore(c, keys, 0).alias(c) for c in [factor, *controls]))
+    pure = demeaned_slope(rows, ret, [factor, *controls], keys, group, min_names).withColumnRenamed("coef", "pure")
+    return pure.join(slope(rows, ret, factor, keys, min_names).select(*keys, F.col("coef").alias("raw")), keys)

@@ -38,3 +38,18 @@ def parsed_reply(df: DataFrame, reply: str, schema: T.StructType = REPLY) -> Dat
 def truncated(df: DataFrame, text: str, limit: int = 30_000) -> DataFrame:
     """The text as it is put to a model: white space collapsed, at most `limit` characters."""
     return df.withColumn(text, F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, limit))
+
+
+def stripped_suffix(symbol: str, suffix: str) -> F.Column:
+    """A symbol without its market's suffix."""
+    return F.replace(F.col(symbol), F.lit(suffix), F.lit(""))
+
+
+def ordinary_ticker(symbol: str, suffix: str) -> F.Column:
+    """True for symbols of two to four letters before the suffix."""
+    return stripped_suffix(symbol, suffix).rlike("^[A-Za-z]{2,4}$")
+
+
+def slug(text: str) -> F.Column:
+    """Lower-case words joined by underscores, for names of files and columns."""
+    return F.trim(F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", "_"), F.lit("_"))

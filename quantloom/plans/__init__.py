@@ -1,5 +1,6 @@
 """Named queries over the sample tables, and the DuckDB SQL each is held against."""
 
+from . import reports  # noqa: F401  (registers its queries)
 from .catalog import ORACLES, QUERIES, flagship
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -345,7 +345,7 @@ def _(s, d):
     return six(stats.rank_ic(c, "score", "r", ["date"]), ["date", "n"], "ic")
 
 
-@add("pooled_ic", f"with b as (select d.doc_id, n_chars, cast(quality as double) as quality, d.lang from documents d join labels using (doc_id)), m as (select lang, quantile_cont(cast(n_chars as double), 0.5) as mx, quantile_cont(quality, 0.5) as my from b group by lang), rk as (select b.lang, {rank('n_chars', 'b.lang')} as rx, {rank('quality', 'b.lang')} as ry, (n_chars > mx) = (quality > my) as h from b join m using (lang)), g as (select lang, count(*) as n, (count(*)*sum(rx*ry)-sum(rx)*sum(ry))/nullif(sqrt((count(*)*sum(rx*rx)-sum(rx)*sum(rx))*(count(*)*sum(ry*ry)-sum(ry)*sum(ry))),0) as ic, avg(case when h then 1.0::double else 0.0::double end) as hit from rk group by lang having count(*) >= 30) select lang, n, {r6('ic')} as ic, {r6('hit')} as hit, {r6('ic*sqrt(n-2)/nullif(sqrt(1-ic*ic),0)')} as t from g")
+@add("pooled_ic", f"with b as (select d.doc_id, n_chars, cast(quality as double) as quality, d.lang from documents d join labels using (doc_id)), m as (select lang, quantile_cont(cast(n_chars as double), 0.5) as mx from b group by lang), rk as (select b.lang, {rank('n_chars', 'b.lang')} as rx, {rank('quality', 'b.lang')} as ry, (n_chars > mx) = (quality > 0) as h from b join m using (lang)), g as (select lang, count(*) as n, (count(*)*sum(rx*ry)-sum(rx)*sum(ry))/nullif(sqrt((count(*)*sum(rx*rx)-sum(rx)*sum(rx))*(count(*)*sum(ry*ry)-sum(ry)*sum(ry))),0) as ic, avg(case when h then 1.0::double else 0.0::double end) as hit from rk group by lang having count(*) >= 30) select lang, n, {r6('ic')} as ic, {r6('hit')} as hit, {r6('ic*sqrt(n-2)/nullif(sqrt(1-ic*ic),0)')} as t from g")
 def _(s, d):
     b = sample.table(s, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), "lang").join(sample.table(s, d, "labels").select("doc_id", F.col("quality").cast("double").alias("quality")), "doc_id")
     return six(stats.pooled_rank_ic(b, "n_chars", "quality", ["lang"]), ["lang", "n"], "ic", "hit", "t")
@@ -401,19 +401,28 @@ def _(s, d):
     return six(_screen(s, d).where((F.abs(rounded("t")) >= 1.5) | (rounded("spread_pa") >= 0.3)), ["factor", "n"], "mean", "ir", "t", "top_pa", "bot_pa", "spread_pa")
 
 
-_DM = "dm as (select date, ret-avg(ret) over w as y, f1-avg(f1) over w as x0, lm-avg(lm) over w as x1, f2-avg(f2) over w as x2 from (select *, ln(mcap) as lm from lab join sec using (symbol) where ret is not null and f1 is not null and f2 is not null) window w as (partition by date, sector)), sm as (select date, count(*) as n, sum(x0*x0) as a00, sum(x0*x1) as a01, sum(x0*x2) as a02, sum(x1*x1) as a11, sum(x1*x2) as a12, sum(x2*x2) as a22, sum(x0*y) as b0, sum(x1*y) as b1, sum(x2*y) as b2 from dm group by date having count(*) >= 30)"
+_Z0 = ", ".join(f"({x}-avg({x}) over w)/nullif(stddev_pop({x}) over w,0) as {x}" for x in ("f1", "lm", "f2"))
+_DM = (
+    f"zs as (select date, sector, ret, {_Z0} from (select *, ln(greatest(mcap, 1)) as lm from lab join sec using (symbol) where ret is not null and f1 is not null and f2 is not null and mcap is not null) window w as (partition by date)), "
+    "dm as (select date, ret-avg(ret) over w as y, f1-avg(f1) over w as x0, lm-avg(lm) over w as x1, f2-avg(f2) over w as x2 from zs window w as (partition by date, sector)), "
+    "sm as (select date, count(*) as n, sum(x0*x0) as a00, sum(x0*x1) as a01, sum(x0*x2) as a02, sum(x1*x1) as a11, sum(x1*x2) as a12, sum(x2*x2) as a22, sum(x0*y) as b0, sum(x1*y) as b1, sum(x2*y) as b2 from dm group by date having count(*) >= 30)"
+)
 _DET = "a00*(a11*a22-a12*a12)-a01*(a01*a22-a12*a02)+a02*(a01*a12-a11*a02)"
 
 
+def _pure_raw(s: SparkSession, d: str) -> DataFrame:
+    rows = sample.labelled(s, d).join(sample.sectors(s, d), "symbol").withColumn("lm", F.ln(F.greatest("mcap", F.lit(1.0))))
+    return stats.pure_and_raw_returns(rows, "ret", "f1", ["lm", "f2"], ["date"], "sector")
+
+
 @add("pure_factor_return", _more(query(f"select date, n, case when abs({_DET}) > 1e-12*abs(a00*a11*a22) then {r6(f'(b0*(a11*a22-a12*a12)-a01*(b1*a22-a12*b2)+a02*(b1*a12-a11*b2))/nullif({_DET},0)')} end as coef from sm", "lab", "sec"), _DM))
 def _(s, d):
-    rows = sample.labelled(s, d).join(sample.sectors(s, d), "symbol").withColumn("lm", F.ln("mcap"))
-    return six(stats.demeaned_slope(rows, "ret", ["f1", "lm", "f2"], ["date"], "sector"), ["date", "n"], "coef")
+    return out(_pure_raw(s, d), "date", "n", coef="pure")
 
 
-@add("raw_factor_return", query(f"select date, count(*) as n, {r6('regr_slope(ret, f1)')} as coef from lab where ret is not null and f1 is not null group by date having count(*) >= 30", "lab"))
+@add("raw_factor_return", _more(query(f"select date, count(*) as n, {r6('regr_slope(ret, f1)')} as coef from zs group by date having count(*) >= 30", "lab", "sec"), _DM.partition(", dm as (")[0]))
 def _(s, d):
-    return six(stats.slope(sample.labelled(s, d), "ret", "f1", ["date"]), ["date", "n"], "coef")
+    return out(_pure_raw(s, d), "date", "n", coef="raw")
 
 
 @add("z_composite", query(f"select date, symbol, {r6('score')} as score from comp", "comp"))
@@ -445,13 +454,20 @@ def _(s, d):
     return six(books.long_short(composite(s, d), "score", "ret", "mcap", 5, False), ["date"], "long_leg", "short_leg", "gross", "top_traded", "bot_traded", "traded")
 
 
-_BN = "bn0 as (select b.*, m.ret as mkt from book b join mkt m using (date)), bn1 as (select *, case when count(*) over v >= 24 then covar_samp(long_leg, mkt) over v/nullif(var_samp(mkt) over v,0) end as bl, case when count(*) over v >= 24 then covar_samp(short_leg, mkt) over v/nullif(var_samp(mkt) over v,0) end as bs from bn0 window v as (order by date rows between 23 preceding and current row)), bn2 as (select *, lag(case when bl/nullif(bs,0) is not null then least(greatest(bl/nullif(bs,0), 0.25), 4) end) over (order by date) as scale from bn1)"
+def _bn(months: int) -> str:
+    return (
+        "bn0 as (select b.*, m.ret as mkt from book b join mkt m using (date)), "
+        f"bn1 as (select *, case when count(*) over v >= {months} then covar_samp(long_leg, mkt) over v/nullif(var_samp(mkt) over v,0) end as bl, case when count(*) over v >= {months} then covar_samp(short_leg, mkt) over v/nullif(var_samp(mkt) over v,0) end as bs from bn0 window v as (order by date rows between {months - 1} preceding and current row)), "
+        "bn2 as (select *, lag(case when bl/nullif(bs,0) is not null then least(greatest(bl/nullif(bs,0), 0.25), 4) end) over (order by date) as scale from bn1)"
+    )
 
 
-@add("beta_neutral", _more(query(f"select date, {r6('scale')} as scale, {r6('long_leg-scale*short_leg')} as gross, {r6('top_traded+bot_traded*abs(coalesce(scale,1))')} as traded from bn2", "book", "mkt"), _BN))
-def _(s, d):
-    p = sample.labelled(s, d)
-    return six(books.beta_neutral(books.long_short(composite(s, d), "score", "ret", "mcap", 5, False), books.universe_return(p, "ret", "mcap"), 24), ["date"], "scale", "gross", "traded")
+for _name, _months in (("beta_neutral", 24), ("beta_neutral_36", 36)):
+
+    @add(_name, _more(query(f"select date, {r6('scale')} as scale, {r6('long_leg-scale*short_leg')} as gross, {r6('top_traded+bot_traded*abs(coalesce(scale,1))')} as traded from bn2", "book", "mkt"), _bn(_months)))
+    def _(s, d, months=_months):
+        p = sample.labelled(s, d)
+        return six(books.beta_neutral(books.long_short(composite(s, d), "score", "ret", "mcap", 5, False), books.universe_return(p, "ret", "mcap"), months), ["date"], "scale", "gross", "traded")
 
 
 _SN = (f"sb as (select *, {bucket('score', 'date, sector', 5)} as bk from comp join sec using (symbol) where score is not null and ret is not null)", "sx as (select date, symbol, sector, ret, case when bk = 0 then 'bot' else 'top' end as side from sb where bk in (0, 4))",

@@ -87,3 +87,29 @@ def changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     today = e.where("user_id % 2 = 0").select(F.col("u").alias("symbol")).distinct()
     log = e.where("event_type in ('signup', 'error')").select("date", F.when(F.col("event_type") == "signup", F.col("u")).alias("added"), F.when(F.col("event_type") == "error", F.col("u")).alias("removed"))
     return today, log
+
+
+def benchmark_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, price): the average price of a day over all symbols."""
+    return lines(spark, sf_dir).groupBy(F.col("day").alias("date")).agg((ratio(F.sum("c"), F.sum("q")) / 100).alias("price"))
+
+
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly filings: symbol, fiscal_date (quarter's end), accepted (null for every third), g1, g2."""
+    end = F.last_day(F.add_months(F.trunc("day", "quarter"), 2))
+    rows = lines(spark, sf_dir).groupBy("symbol", end.alias("fiscal_date")).agg(ratio(F.sum("d"), F.count("*")).alias("g1"), ratio(F.sum("x"), F.count("*")).alias("g2"))
+    late = F.when((F.col("symbol") + F.month("fiscal_date") / 3) % 3 != 0, F.date_add("fiscal_date", 40))
+    return rows.withColumn("accepted", late.cast("date"))
+
+
+def free_float(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, ratio: null for every fourth symbol, some outside 0.1 .. 1."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol"))
+    return s.withColumn("ratio", F.when(F.col("symbol") % 4 != 0, (F.col("symbol") % 13) / F.lit(10.0)))
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as transcripts of fifty symbols: doc_id, symbol, date, size, words."""
+    d = table(spark, sf_dir, "documents")
+    day = F.date_add(F.lit("1993-01-01").cast("date"), (F.col("doc_id") * 37 % 1800).cast("int"))
+    return d.select("doc_id", (F.col("doc_id") % 50 + 1).alias("symbol"), day.alias("date"), F.col("n_chars").cast("double").alias("size"), (F.col("n_chars") % 97).cast("double").alias("tone"))

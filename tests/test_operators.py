@@ -152,7 +152,7 @@ def test_sector_neutral_drops_small_cells(spark):
 def test_trailing_window_clamps_month_ends(spark):
     ics = spark.createDataFrame([("f", month(i), 0.01 * i) for i in range(31)], "factor string, date date, ic double")
     got = signals.trailing_ic(ics, ics.select("date")).orderBy("anchor").collect()
-    assert got[0].anchor == D("2012-04-30") and got[0].n == 26 or got[0].anchor <= D("2012-04-30")
+    assert got[0].anchor == D("2012-02-29") and got[0].n == 24
     row = next(r for r in got if r.anchor == D("2012-04-30"))
     assert row.n == sum(D("2009-03-30") <= month(i) < D("2012-03-30") for i in range(31))
 
@@ -311,3 +311,99 @@ def test_streaming_actions(spark, tmp_path):
     done = {(r.symbol, r.start, r.net) for r in spark.table("acts").collect()}
     batch = {(r.symbol, r.start, r.net) for r in sliding_actions(df, "ts", "s", "a").collect()}
     assert done and done <= batch
+
+
+def test_pooled_hit_is_against_zero_not_the_median(spark):
+    # Returns are all positive: against their median half would be hits by sign, against zero a hit is a high score.
+    rows = [("k", float(i), 0.1 + 0.001 * ((7 * i) % 40)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, score double, ret double")
+    r = stats.pooled_rank_ic(df, "score", "ret", ["k"]).collect()[0]
+    above = [s > 19.5 for _, s, _ in rows]
+    median = sorted(x for *_, x in rows)[19:21]
+    assert r.n == 40 and r.hit == sum(above) / 40 == 0.5
+    mixed = [(k, s, x - 0.105) for k, s, x in rows]
+    r = stats.pooled_rank_ic(spark.createDataFrame(mixed, "k string, score double, ret double"), "score", "ret", ["k"]).collect()[0]
+    want = sum((s > 19.5) == (x > 0) for _, s, x in mixed) / 40
+    other = sum((s > 19.5) == (x + 0.105 > sum(median) / 2) for _, s, x in mixed) / 40
+    assert r.hit == pytest.approx(want) and want != other
+
+
+def test_pooled_ranks_of_ties_by_hand(spark):
+    rows = [("k", x, y) for x, y in [(1.0, 2.0), (1.0, 2.0), (2.0, 1.0), (3.0, 4.0), (3.0, 3.0)]]
+    r = stats.pooled_rank_ic(spark.createDataFrame(rows, "k string, score double, ret double"), "score", "ret", ["k"], min_obs=5).collect()[0]
+    rx, ry = [1.5, 1.5, 3, 4.5, 4.5], [2.5, 2.5, 1, 5, 4]
+    mx, my = sum(rx) / 5, sum(ry) / 5
+    want = sum((a - mx) * (b - my) for a, b in zip(rx, ry)) / math.sqrt(sum((a - mx) ** 2 for a in rx) * sum((b - my) ** 2 for b in ry))
+    assert r.ic == pytest.approx(want) and r.t == pytest.approx(want * math.sqrt(3) / math.sqrt(1 - want * want))
+
+
+def test_pure_return_is_for_one_standard_deviation(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    f, size = rng.normal(5, 3, 60), rng.normal(10, 2, 60)
+    sector = [["a", "b", "c"][i % 3] for i in range(60)]
+    y = 0.01 * f + 0.02 * size + np.array([{"a": 0.1, "b": 0.2, "c": 0.0}[x] for x in sector]) + rng.normal(0, 0.01, 60)
+    df = spark.createDataFrame([(1, float(a), float(b), s, float(r)) for a, b, s, r in zip(f, size, sector, y)], "date int, f double, size double, sector string, ret double")
+    r = stats.pure_and_raw_returns(df, "ret", "f", ["size"], ["date"], "sector").collect()[0]
+    z = lambda x: (x - x.mean()) / x.std()
+    dummies = np.array([[s == "b", s == "c"] for s in sector], float)
+    x = np.column_stack([np.ones(60), z(f), z(size), dummies])
+    assert r.n == 60 and r.pure == pytest.approx(np.linalg.lstsq(x, y, rcond=None)[0][1])
+    assert r.raw == pytest.approx(np.linalg.lstsq(x[:, :2], y, rcond=None)[0][1])
+
+
+def test_fractile_report_by_hand(spark):
+    rows = [(month(k), f"s{i}", float(i), 0.01 * i + 0.002 * k * (i % 3), 1.0 + i) for k in range(14) for i in range(10)]
+    df = spark.createDataFrame(rows, "date date, symbol string, score double, ret double, cap double")
+    got = {r.row: r for r in books.fractile_report(df, "score", "ret", "cap", 5, False, []).collect()}
+    assert set(got) == {"Q1", "Q2", "Q3", "Q4", "Q5", "Q1-Q5", "Market"} and got["Market"].active == 0 and got["Market"].turnover is None
+    by = {d: [r for r in rows if r[0] == d] for d in {r[0] for r in rows}}
+    mean = lambda xs: sum(xs) / len(xs)
+    top = [mean([r[3] for r in sorted(by[d], key=lambda r: r[2])[-2:]]) for d in sorted(by)]
+    market = [mean([r[3] for r in by[d]]) for d in sorted(by)]
+    act = [a - b for a, b in zip(top, market)]
+    std = lambda xs: math.sqrt(sum((x - mean(xs)) ** 2 for x in xs) / (len(xs) - 1))
+    ann = lambda xs: math.prod(1 + x for x in xs) ** (12 / len(xs)) - 1
+    q = got["Q1"]
+    assert q.total == pytest.approx(ann(top)) and q.active == pytest.approx(ann(top) - ann(market)) and q.te == pytest.approx(std(act) * math.sqrt(12))
+    assert q.t == pytest.approx(mean(act) / std(act) * math.sqrt(12) * math.sqrt(14 / 12)) and q.turnover == 0
+    mt, mm = mean(top), mean(market)
+    beta = sum((a - mt) * (b - mm) for a, b in zip(top, market)) / 13 / (sum((b - mm) ** 2 for b in market) / 14)
+    assert q.beta == pytest.approx(beta) and q.alpha == pytest.approx((mt - beta * mm) * 12)
+
+
+def test_master_and_local_panel_rules(spark):
+    px = spark.createDataFrame([("A", D("2020-01-30"), 10.0), ("A", D("2020-03-31"), 30.0), ("B", D("2020-01-20"), 5.0)], "symbol string, date date, price double")
+    dates = spark.createDataFrame([(D("2020-01-31"),), (D("2020-02-29"),), (D("2020-03-31"),)], "date date")
+    grid = dates.crossJoin(spark.createDataFrame([("A",), ("B",), ("C",)], "symbol string"))
+    filed = spark.createDataFrame([("A", D("2018-12-01"), 1.0), ("A", D("2020-02-10"), 2.0)], "symbol string, accepted date, g double")
+    got = {(r.symbol, str(r.date)): r for r in point_in_time.master(grid, px, filed, spark.createDataFrame([("A", "Tech")], "symbol string, sector string"), dates, "accepted", ["g"]).collect()}
+    a = got["A", "2020-01-31"]
+    assert a.price == 10.0 and a.ret_fwd_1 is None and a.g == 1.0 and a.filing_lag_days == 426 and not a.fresh_filing and not a.investable and a.sector == "Tech"
+    assert got["A", "2020-03-31"].investable and got["A", "2020-03-31"].g == 2.0 and got["A", "2020-02-29"].price is None
+    assert got["B", "2020-01-31"].price is None and got["C", "2020-01-31"].sector == "Unknown" and not got["C", "2020-01-31"].has_fundamentals
+    fund = spark.createDataFrame([("A", D("2019-12-31"), None, 7.0), ("B", D("2018-01-31"), D("2018-03-01"), 8.0)], "symbol string, fiscal_date date, accepted date, g double")
+    caps = spark.createDataFrame([(s, d, c) for s, c in (("A", 100.0), ("B", 90.0)) for d in (D("2020-01-15"), D("2020-03-31"))], "symbol string, date date, mcap double")
+    share = spark.createDataFrame([("A", 0.01), ("B", None)], "symbol string, ratio double")
+    rows = {(r.symbol, str(r.date)): r for r in point_in_time.local_panel(px, fund, caps, share, ["g"], top=1, least=0).collect()}
+    # A's float is held to 0.1, so B is the largest in January; its filing is older than 540 days. A's is known 90 days on.
+    assert set(rows) == {("B", "2020-01-31"), ("A", "2020-03-31")} and rows["B", "2020-01-31"].g is None
+    assert rows["A", "2020-03-31"].mcap == pytest.approx(10.0) and rows["A", "2020-03-31"].g == 7.0 and str(rows["A", "2020-03-31"].pit_date) == "2020-03-30"
+    both = point_in_time.local_panel(px, fund, caps, share, ["g"], top=2, least=0).collect()
+    assert [r.ret_fwd_1 for r in both if r.symbol == "A"][0] == 1.0  # 200 percent over two observed months, held to 100
+    assert point_in_time.local_panel(px, fund, caps, share, ["g"], least=1).count() == 0
+
+
+def test_event_returns_look_back_to_the_newest_close(spark):
+    px = spark.createDataFrame([("A", D("2020-01-30"), 10.0), ("A", D("2020-02-27"), 12.0), ("A", D("2020-06-30"), 15.0)], "symbol string, date date, price double")
+    ev = spark.createDataFrame([("A", D("2020-01-31"), 1), ("A", D("2020-01-29"), 2), ("Z", D("2020-01-31"), 3)], "symbol string, date date, id int")
+    got = {r.id: r for r in point_in_time.event_returns(ev, px).collect()}
+    assert got[1].ret_fwd_1 == pytest.approx(0.2) and got[1].ret_fwd_3 == pytest.approx(0.2) and got[1].ret_fwd_6 == pytest.approx(0.5)
+    assert got[2].ret_fwd_1 is None and got[3].ret_fwd_1 is None
+
+
+def test_slugs_and_tickers(spark):
+    rows = spark.createDataFrame([("BHP.AX",), ("A.AX",), ("AB1.AX",), ("ABCDE.AX",), ("xyz",)], "s string")
+    assert [r.s for r in rows.where(text.ordinary_ticker("s", ".AX")).collect()] == ["BHP.AX", "xyz"]
+    assert spark.createDataFrame([(" Free Cash-Flow Yield! ",)], "s string").select(text.slug("s")).collect()[0][0] == "free_cash_flow_yield"
