@@ -26,8 +26,9 @@ def revisions(actions: DataFrame, grid: DataFrame, spans: dict[str, int], breadt
     with the grid dates whose widest window it lies in."""
     first = actions.groupBy("symbol").agg(F.min("date").alias("first"))
     widest = max([*spans.values(), breadth_days])
-    reached = actions.where(F.col("action").isin("upgrade", "downgrade")).select("symbol", F.col("date").alias("at"), "action")
-    reached = reached.join(F.broadcast(grid), (F.col("at") <= F.col("date")) & (F.date_add("at", widest) > F.col("date")))
+    days = F.explode(F.sequence("date", F.date_add("date", widest - 1)))  # the days that the event reaches
+    reached = actions.where(F.col("action").isin("upgrade", "downgrade") & F.col("date").isNotNull()).select("symbol", F.col("date").alias("at"), "action", days.alias("day"))
+    reached = reached.withColumnRenamed("day", "date").join(F.broadcast(grid.select("date")), "date")
     rows = first.crossJoin(F.broadcast(grid)).join(reached, ["symbol", "date"], "left")
     signed = F.when(F.col("action") == "upgrade", 1).when(F.col("action") == "downgrade", -1)
     inside = lambda days: (F.col("at") <= F.col("date")) & (F.col("at") > F.date_sub("date", days))
