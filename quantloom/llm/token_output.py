@@ -46,7 +46,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, end: int | None = END
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int | None = END, stride: int = 10_000, stripe_bytes: int = 64 << 20) -> None:
     """Write docs' ids to path in ascending doc_id order."""
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    options = {"orc.create.index": "true", "orc.row.index.stride": str(stride), "orc.stripe.size": str(stripe_bytes), "orc.rows.between.memory.checks": "500", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
+    options = {"orc.create.index": "true", "orc.row.index.stride": str(stride), "orc.stripe.size": str(stripe_bytes), "orc.rows.between.memory.checks": "500", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "lz4"}
     encode(ordered, vocabulary, end).write.options(**options).orc(path)
 
 

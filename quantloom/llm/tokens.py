@@ -22,7 +22,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _PLAIN = re.compile(r"[\x20-\x7E\n¡-ɏ]*")
 #: The vocabulary's pre-token pattern for plain characters.
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ \n{_L}{_N}]+|[ \n]+(?![^ \n])|[ \n]+")
+#: Letters come first, as no contraction begins with one.
+_PIECES = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'(?:[stmd]|re|ve|ll)| ?[^ \n{_L}{_N}]+|[ \n]+(?![^ \n])|[ \n]+")
 #: The byte-to-character table of byte-level BPE vocabularies.
 _KEPT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _MAPPED = {b: chr(b) for b in _KEPT} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(_KEPT))}
@@ -36,9 +37,11 @@ class _Memo(dict):
         self.whole, self.model, self.added, self.old = whole, whole.model, added, old
         self.ids, self.ends = array("I"), array("q", [0])
 
-    def __missing__(self, text: str) -> int:
+    def __missing__(self, text: str | int) -> int:
         old = self.old
-        if old is not None and (k := old.get(text)) is not None:
+        if isinstance(text, int):  # an id as it is
+            self.ids.append(text)
+        elif old is not None and (k := old.get(text)) is not None:
             self.ids.extend(old.ids[old.ends[k] : old.ends[k + 1]])
         elif text in self.added:
             self.ids.append(self.added[text])
@@ -106,6 +109,10 @@ class Encoder:
                 self.memo.old = None
                 self.memo = _Memo(self.whole, self.added, self.memo)
             each = [self.codes(t) if t else [] for t in texts[lo : lo + 64]]
+            if end is not None:
+                last = self.memo[end]
+                for x in each:
+                    x.append(last)
             codes = np.fromiter(chain.from_iterable(each), np.int64, sum(map(len, each)))
             ids, ends = np.frombuffer(self.memo.ids, np.uint32) if self.memo.ids else np.zeros(0, np.uint32), np.frombuffer(self.memo.ends, np.int64)
             starts = ends[codes]
@@ -113,9 +120,6 @@ class Encoder:
             upto = np.cumsum(sizes)
             flat = ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts - (upto - sizes), sizes)]
             cuts = np.concatenate([[0], upto])[np.cumsum([len(x) for x in each])]
-            if end is not None:
-                flat = np.insert(flat, cuts, end)
-                cuts = cuts + np.arange(1, len(each) + 1)
             parts.append(flat.astype(np.uint32, copy=False))
             bounds.append(cuts + total)
             total += len(flat)
