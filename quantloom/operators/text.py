@@ -53,3 +53,15 @@ def ordinary_ticker(symbol: str, suffix: str) -> F.Column:
 def slug(text: str) -> F.Column:
     """Lower-case words joined by underscores, for names of files and columns."""
     return F.trim(F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", "_"), F.lit("_"))
+
+
+def sentiment_by_table(docs: DataFrame, key: str, text: str, lexicon: DataFrame, categories: list[str], positive: str, negative: str) -> DataFrame:
+    """As `sentiment`, with the lexicon a table (word, category) of any size: words are counted within a document first,
+    then joined. Documents without a listed word have zeros."""
+    rows = docs.select(key, tokens(text).alias("w")).withColumn("word_count", F.size("w").cast("long"))
+    words = rows.select(key, F.explode("w").alias("word")).groupBy(key, "word").agg(F.count("*").alias("__k"))
+    hits = words.join(lexicon.select("word", "category").distinct(), "word").groupBy(key)
+    hits = hits.agg(*(F.sum(F.when(F.col("category") == c, F.col("__k"))).alias(c) for c in categories))
+    out = rows.drop("w").join(hits, key, "left")
+    share = {c: F.coalesce(ratio(F.col(c) * F.lit(100.0), F.col("word_count")), F.lit(0.0)) for c in categories}
+    return out.withColumns(share).withColumn("net", F.col(positive) - F.col(negative)).select(key, "word_count", *categories, "net")

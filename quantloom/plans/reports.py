@@ -209,3 +209,42 @@ def _(s, d):
     name = F.when(F.col("s_suppkey") % 3 == 0, F.substring(F.lit("ABCDEFGH"), F.lit(1), (F.col("s_suppkey") % 7).cast("int"))).otherwise(F.col("s_name"))
     rows = sample.table(s, d, "supplier").select("s_suppkey", F.concat(name, F.lit(".AX")).alias("symbol"))
     return rows.where(ordinary_ticker("symbol", ".AX")).select("s_suppkey", stripped_suffix("symbol", ".AX").alias("base"))
+
+
+# ---- fetched parts, semi-joins, corpus index, lexicon as a table -------------------------------------------------
+@add("bulk_fetch", "select symbol, date, cents from (select o_custkey as symbol, case when o_orderkey % 97 <> 0 then cast(o_orderdate as date) end as date, cast(round(o_totalprice*100) as bigint) as cents from orders where o_orderstatus in ('O', 'F')) where date is not null")
+def _(s, d):
+    from pyspark.sql import types as T
+
+    from ..sources import bulk
+
+    o = sample.table(s, d, "orders")
+    text = F.when(F.col("o_orderkey") % 97 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("n/a")
+    part = lambda st: o.where(F.col("o_orderstatus") == st).select(F.col("o_custkey").alias("symbol"), text.alias("date"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    schema = T.StructType([T.StructField("symbol", T.LongType()), T.StructField("date", T.StringType()), T.StructField("cents", T.LongType())])
+    return bulk([part("O"), part("F")], schema, ["date"], ["symbol", "date"])
+
+
+@add("covered_names", query("select symbol, date from p where symbol in (select s_suppkey from supplier where s_acctbal > 0)", "p"))
+def _(s, d):
+    held = sample.table(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("symbol"))
+    return sample.panel(s, d).select("symbol", "date").join(held, "symbol", "left_semi")
+
+
+@add("transcript_index", "with tr as (select doc_id % 50 + 1 as symbol, date '1993-01-01' + cast(doc_id * 37 % 1800 as integer) as date, n_chars from documents) select symbol, cast(year(date) as integer) as year, cast(quarter(date) as integer) as quarter, count(*) as documents, cast(sum(n_chars) as bigint) as chars, max(date) as last from tr group by all")
+def _(s, d):
+    t = sample.transcripts(s, d)
+    return t.groupBy("symbol", F.year("date").alias("year"), F.quarter("date").alias("quarter")).agg(F.count("*").alias("documents"), F.sum("size").cast("long").alias("chars"), F.max("date").alias("last"))
+
+
+_CATS = ["positive", "negative", "uncertain", "litigious", "constraining", "modal"]
+_WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x <> '')"
+
+
+@add("doc_sentiment_table", f"with lx as (select distinct word, length(word) % 6 as c from (select unnest({_WORDS}) as word from benchmark)), t as (select doc_id, {_WORDS} as w from documents), h as (select doc_id, " + ", ".join(f"count(*) filter (c = {i}) as h{i}" for i in range(6)) + f" from (select doc_id, unnest(w) as word from t) join lx using (word) group by doc_id), s as (select t.doc_id, cast(len(w) as bigint) as word_count, " + ", ".join(f"coalesce(cast(h{i} as double)*100/nullif(len(w),0),0) as {c}" for i, c in enumerate(_CATS)) + f" from t left join h on h.doc_id = t.doc_id) select doc_id, word_count, {sixed(*_CATS)}, {r6('positive-negative')} as net from s")
+def _(s, d):
+    from ..operators import text
+
+    words = sample.table(s, d, "benchmark").select(F.explode(text.tokens("text")).alias("word")).distinct()
+    lexicon = words.withColumn("category", F.get(F.array(*map(F.lit, _CATS)), F.length("word") % 6))
+    return six(text.sentiment_by_table(sample.table(s, d, "documents"), "doc_id", "text", lexicon, _CATS, "positive", "negative"), ["doc_id", "word_count"], *_CATS, "net")

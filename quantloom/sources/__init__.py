@@ -1,6 +1,6 @@
 """Readers, writers and date grids."""
 
 from .grid import month_ends, quarter_ends
-from .io import cache_key, dedup_prices, parse_cached, read_csv, read_parquet, read_present, write_csv, write_json, write_parquet
+from .io import bulk, cache_key, compute_once, dedup_prices, parse_cached, read_csv, read_parquet, read_present, write_csv, write_json, write_parquet
 
-__all__ = ["cache_key", "dedup_prices", "month_ends", "parse_cached", "quarter_ends", "read_csv", "read_parquet", "read_present", "write_csv", "write_json", "write_parquet"]
+__all__ = ["bulk", "cache_key", "compute_once", "dedup_prices", "month_ends", "parse_cached", "quarter_ends", "read_csv", "read_parquet", "read_present", "write_csv", "write_json", "write_parquet"]

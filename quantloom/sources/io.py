@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +40,24 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def compute_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path, built and written first if no finished write is there."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def bulk(parts: list[DataFrame], schema: T.StructType, dates: list[str], order: list[str]) -> DataFrame:
+    """Fetched parts as one table of the schema: dates that don't parse make a row drop out; sorted within partitions by
+    ranges of `order`."""
+    rows = reduce(DataFrame.unionByName, (read_present(p, schema) for p in parts))
+    rows = rows.withColumns({d: F.try_to_timestamp(d).cast("date") for d in dates})
+    for d in dates:
+        rows = rows.where(F.col(d).isNotNull())
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def cache_key(*parts: str | Column) -> Column:
     """16 hex digits of the SHA-1 of the parts (endpoint and parameters; never a secret)."""
     return F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 16)

@@ -407,3 +407,19 @@ def test_slugs_and_tickers(spark):
     rows = spark.createDataFrame([("BHP.AX",), ("A.AX",), ("AB1.AX",), ("ABCDE.AX",), ("xyz",)], "s string")
     assert [r.s for r in rows.where(text.ordinary_ticker("s", ".AX")).collect()] == ["BHP.AX", "xyz"]
     assert spark.createDataFrame([(" Free Cash-Flow Yield! ",)], "s string").select(text.slug("s")).collect()[0][0] == "free_cash_flow_yield"
+
+
+def test_compute_once_and_bulk(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from quantloom.sources import bulk, compute_once
+
+    calls = []
+    build = lambda: calls.append(1) or spark.range(3)
+    for _ in range(2):
+        assert compute_once(spark, f"file://{tmp_path}/once", build).count() == 3
+    assert len(calls) == 1
+    schema = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("date", T.StringType()), T.StructField("x", T.DoubleType())])
+    a = spark.createDataFrame([("b", "2020-01-02", 1.0), ("a", "bad", 2.0)], schema)
+    b = spark.createDataFrame([("a", "2020-01-01")], "symbol string, date string")
+    assert [(r.symbol, str(r.date), r.x) for r in bulk([a, b], schema, ["date"], ["symbol"]).collect()] == [("a", "2020-01-01", None), ("b", "2020-01-02", 1.0)]
