@@ -196,13 +196,15 @@ def _(s, d):
     return six(point_in_time.vendor_report(_observed(s, d)[1]), ["symbol", "n", "flag"], "median_diff", "p95_diff", "max_diff", "corr")
 
 
-@add("clean_panel", _more(query(f"select k.symbol, k.date, k.suspect_month, {r6('k.price')} as price, {sixed('ret_fwd_1', 'ret_fwd_3', 'ret_fwd_6')} from k join f on k.symbol = f.symbol and k.date = f.date", "p", "grid"), _VEND, _REP,
-     "k0 as (select p.symbol, p.date, coalesce(ob.abs_diff > 0.5, false) as suspect_month, p.price from p left join ob using (symbol, date) where p.symbol not in (select symbol from rep where corr < 0.8 and median_diff > 0.05))", "k as (select symbol, date, suspect_month, case when not suspect_month then price end as price from k0)",
-     f"f as (select symbol, date, {_FWD} from (select s.symbol, g.date, k.price from (select distinct symbol from k) s cross join grid g left join k on k.symbol = s.symbol and k.date = g.date) window w as (partition by symbol order by date))"))
-def _(s, d):
-    p, ob = _observed(s, d)
-    c = point_in_time.cleaned(p, ob, point_in_time.vendor_report(ob), sample.grid(sample.lines(s, d)), corrupt=(F.col("corr") < 0.8) & (F.col("median_diff") > 0.05))
-    return six(c, ["symbol", "date", "suspect_month"], "price", "ret_fwd_1", "ret_fwd_3", "ret_fwd_6")
+for _name, _least in (("clean_panel", 0.8), ("clean_panel_default", 0.5)):
+
+    @add(_name, _more(query(f"select k.symbol, k.date, k.suspect_month, {r6('k.price')} as price, {sixed('ret_fwd_1', 'ret_fwd_3', 'ret_fwd_6')} from k join f on k.symbol = f.symbol and k.date = f.date", "p", "grid"), _VEND, _REP,
+         f"k0 as (select p.symbol, p.date, coalesce(ob.abs_diff > 0.5, false) as suspect_month, p.price from p left join ob using (symbol, date) where p.symbol not in (select symbol from rep where corr < {_least} and median_diff > 0.05))", "k as (select symbol, date, suspect_month, case when not suspect_month then price end as price from k0)",
+         f"f as (select symbol, date, {_FWD} from (select s.symbol, g.date, k.price from (select distinct symbol from k) s cross join grid g left join k on k.symbol = s.symbol and k.date = g.date) window w as (partition by symbol order by date))"))
+    def _(s, d, least=_least):
+        p, ob = _observed(s, d)
+        c = point_in_time.cleaned(p, ob, point_in_time.vendor_report(ob), sample.grid(sample.lines(s, d)), corrupt=(F.col("corr") < least) & (F.col("median_diff") > 0.05))
+        return six(c, ["symbol", "date", "suspect_month"], "price", "ret_fwd_1", "ret_fwd_3", "ret_fwd_6")
 
 
 # ---- cross section -----------------------------------------------------------------------------------------------
