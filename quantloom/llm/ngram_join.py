@@ -16,12 +16,14 @@ A document's set holds its distinct shingles of `width` words (A-Z lower-cased;
    sets with a common beginning share its partial overlap, and a subtree is left when its sizes don't fit or when the
    overlap so far plus what can remain on either side is too little. Links found join a union-find; a block gives back
    a spanning forest. A block of more than `max_block` nodes is split by shingle, and a shingle's nodes into tiles of
-   two chunks, so that no task holds more than a tile; no pair is skipped.
+   two chunks, so that no task holds more than a tile; no pair is skipped. Every link is counted where it is found; a
+   pair of several tiles counts in that of its least common prefix shingle.
 4. The components of the forests are the result.
 
-Result: doc_id, n_shingles, component_id (least doc_id reachable, itself included). Defined cases. Null, empty or
-blank text: 0 shingles, its own component. Null doc_id: no component. Rows that repeat a doc_id are one vertex, each
-with its own n_shingles. Empty table: no rows. Other columns are ignored by `join` and passed through by `keep_one`.
+Result: doc_id, n_shingles, component_id (least doc_id reachable, itself included), n_links (other rows with a doc_id
+whose sets link with the row's, equal ones included). Defined cases. Null, empty or blank text: 0 shingles, no links, its
+own component. Null doc_id: no component, n_links null. Rows that repeat a doc_id are one vertex, each with its own
+n_shingles and n_links. Empty table: no rows. Other columns are ignored by `join` and passed through by `keep_one`.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from .components import components
 
 WIDTH, PERCENT, SMALL, MAX_BLOCK, CHUNK = 3, 90, 200, 2048, 1024
 _FLUSH = 1 << 19
-MAX_BROADCAST = 200_000  # rows of 24 bytes
+MAX_BROADCAST = 200_000  # rows of 32 bytes
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -197,23 +199,24 @@ def _shared_counts(postings: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """node, key, n, tokens of docs (doc_id, text, fp) whose text gives fp."""
+    """node, key, n, tokens, copies of docs (doc_id, text, fp, copies) whose text gives fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 rows = []
-                for d, t, fp in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for d, t, fp, copies in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     s = shingles(t, width)
                     if fingerprint(s) == fp:
-                        rows.append((d, _key(fp), len(s), s.view(np.int64)))
+                        rows.append((d, _key(fp), len(s), s.view(np.int64), copies))
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *cols[2]]), pa.int32()), pa.array(np.concatenate(cols[3])))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), lists], names=["node", "key", "n", "tokens"])
+                    plain = [pa.array(cols[k], pa.int64()) for k in (0, 1, 2, 4)]
+                    yield pa.RecordBatch.from_arrays([*plain[:3], lists, plain[3]], names=["node", "key", "n", "tokens", "copies"])
 
-    return docs.mapInArrow(run, "node long, key long, n long, tokens array<long>").dropDuplicates(["node", "key"])
+    return docs.mapInArrow(run, "node long, key long, n long, tokens array<long>, copies long").dropDuplicates(["node", "key"])
 
 
 class Trie:
@@ -306,9 +309,11 @@ class Trie:
         mask[q] = False
 
 
-def block_links(members: list[tuple[int, int, np.ndarray, int]], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning forest of the links among members (node, n, tokens, side). Pairs of one side are looked at only if
-    all members are of that side."""
+def block_links(members: list[tuple], percent: int = PERCENT, partners: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among members (node, n, tokens, side, ...). Pairs of one side are looked at only if
+    all members are of that side. With partners (a zero for each member; members go on with copies, below) every link
+    adds each end's copies to the other's place, unless both ends have a shingle in their `below`: such a pair is met
+    again in the tile of that shingle and counts there."""
     tokens = np.concatenate([m[2] for m in members])
     vocabulary, at, counts = np.unique(tokens, return_inverse=True, return_counts=True)
     rank = np.empty(len(vocabulary), np.int64)
@@ -328,37 +333,56 @@ def block_links(members: list[tuple[int, int, np.ndarray, int]], percent: int =
         return x
 
     for i in range(len(order)):
+        x = members[order[i]]
         for j in trie.matches(i, mask, percent):
-            if (not cross or sides[i] != sides[j]) and (a := find(i)) != (b := find(j)):
+            if cross and sides[i] == sides[j]:
+                continue
+            y = members[order[j]]
+            if partners is not None and x[5].isdisjoint(y[5]):
+                partners[order[i]] += y[4]
+                partners[order[j]] += x[4]
+            if (a := find(i)) != (b := find(j)):
                 root[a] = b
-                links.append((members[order[i]][0], members[order[j]][0]))
+                links.append((x[0], y[0]))
     return links
 
 
 def _verified(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of rows (block, node, n, tokens, side): each block in one task."""
+    """(a, b, key, links) of rows (block, node, key, n, tokens, side, copies, below), each block in one task: links
+    (a, b) of a spanning forest, and for nodes (a, key) how many rows of other sets they link with there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, members = None, []
+        block, members, keys = None, [], []
 
         def done() -> pa.RecordBatch:
-            links = block_links(members, percent) if len(members) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            partners = [0] * len(members)
+            links = block_links(members, percent, partners) if len(members) > 1 else []
+            some = [i for i, k in enumerate(partners) if k]
+            none = [None] * len(links)
+            cols = [
+                [x[0] for x in links] + [members[i][0] for i in some],
+                [x[1] for x in links] + [None] * len(some),
+                none + [keys[i] for i in some],
+                none + [partners[i] for i in some],
+            ]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "key", "links"])
 
         for batch in batches:
-            lists = batch.column(3)
+            lists = batch.column(4)
             ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for r, (key, node, n, side) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4)), strict=True)):
-                if key != block:
+            plain = (batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5, 6, 7))
+            for r, (name, node, key, n, side, copies, below) in enumerate(zip(*plain, strict=True)):
+                if name != block:
                     if members:
                         yield done()
-                    block, members = key, []
-                members.append((node, n, values[ends[r] : ends[r + 1]].copy(), side))
+                    block, members, keys = name, [], []
+                members.append((node, n, values[ends[r] : ends[r + 1]].copy(), side, copies, frozenset(below or ())))
+                keys.append(key)
         if members:
             yield done()
 
-    dealt = rows.select("block", "node", "n", "tokens", "side").repartition("block").sortWithinPartitions("block", "node", "side")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = rows.select("block", "node", "key", "n", "tokens", "side", "copies", "below").repartition("block")
+    return dealt.sortWithinPartitions("block", "node", "key", "side").mapInArrow(run, "a long, b long, key long, links long")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -414,45 +438,55 @@ def _edges(prefixes: DataFrame, percent: int) -> DataFrame:
     return found.distinct()
 
 
-def _blocks(prefixes: DataFrame, labels: DataFrame, max_block: int, chunk: int) -> DataFrame:
-    """(block, node, side): a block for each component, or for each tile of a shingle of a too large one."""
+def _blocks(prefixes: DataFrame, sets: DataFrame, labels: DataFrame, max_block: int, chunk: int) -> DataFrame:
+    """(block, node, key, side, below): a block for each component, or for each tile of a shingle of a too large one.
+    below: the node's lesser prefix shingles, by which a pair that several tiles hold is counted in one only."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
     large = sizes.where(F.col("size") > max_block).select("label")
-    small = labels.join(large, "label", "left_anti").select(F.concat(F.lit("c"), F.col("label")).alias("block"), "node", F.lit(0).alias("side"))
-    rows = prefixes.select("token", "node", "n").distinct().join(labels.join(large, "label", "left_semi"), "node")
-    w = Window.partitionBy("token").orderBy("n", "node")
+    small = labels.join(large, "label", "left_anti").join(sets.select("node", "key"), "node")
+    small = small.select(F.concat(F.lit("c"), F.col("label")).alias("block"), "node", "key", F.lit(0).alias("side"), F.lit(None).cast("array<long>").alias("below"))
+    rows = prefixes.join(labels.join(large, "label", "left_semi"), "node")
+    rows = rows.withColumn("all", F.collect_list("token").over(Window.partitionBy("node", "key")))  # no more than a prefix
+    rows = rows.select("token", "node", "key", "n", F.expr("filter(all, x -> x < token)").alias("below"))
+    w = Window.partitionBy("token").orderBy("n", "node", "key")
     rows = rows.withColumn("c", ((F.row_number().over(w) - 1) / chunk).cast("int")).withColumn("last", F.max("c").over(Window.partitionBy("token")))
     rows = rows.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    tiles = rows.select(F.concat_ws(":", F.lit("t"), "token", F.least("c", "d"), F.greatest("c", "d")).alias("block"), "node", F.col("c").alias("side"))
-    return small.unionAll(tiles)
+    name = F.concat_ws(":", F.lit("t"), "token", F.least("c", "d"), F.greatest("c", "d"))
+    return small.unionAll(rows.select(name.alias("block"), "node", "key", F.col("c").alias("side"), "below"))
 
 
 def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_block: int = MAX_BLOCK, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n, label of every row of docs (doc_id, text)."""
+    """doc_id, n, label, links of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_ = staged(nodes(docs, width, percent), "ngram-nodes")
-    reps = all_.where("doc_id is not null and n > 0").groupBy("fp", "key", "n", "need").agg(F.min("doc_id").alias("rep"))
+    reps = all_.where("doc_id is not null and n > 0").groupBy("fp", "key", "n", "need").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     shared = _shared_counts(_postings(docs.where("doc_id is not null"), width, percent))
-    alive = reps.join(shared, "key", "left").where("need <= 0 or coalesce(shared, 0) >= need").select(F.col("rep").alias("doc_id"), "fp")
+    alive = reps.join(shared, "key", "left").where("need <= 0 or coalesce(shared, 0) >= need").select(F.col("rep").alias("doc_id"), "fp", "copies")
     alive = staged(alive, "ngram-alive")
     few = alive.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST  # then texts needn't be shuffled
-    sets = staged(_sets(docs.join(F.broadcast(alive) if few else alive, "doc_id").select("doc_id", "text", "fp"), width), "ngram-sets")
+    sets = staged(_sets(docs.join(F.broadcast(alive) if few else alive, "doc_id").select("doc_id", "text", "fp", "copies"), width), "ngram-sets")
     prefixes = staged(_prefixes(sets, percent), "ngram-prefixes")
-    blocks = _blocks(prefixes, components(_edges(prefixes, percent)), max_block, chunk)
-    links = staged(_verified(blocks.join(sets, "node"), percent), "ngram-links")
+    blocks = _blocks(prefixes, sets, components(_edges(prefixes, percent)), max_block, chunk)
+    found = staged(_verified(blocks.join(sets, ["node", "key"]), percent), "ngram-links")
+    links = found.where("b is not null").select("a", "b")
+    others = found.where("b is null").groupBy(F.col("a").alias("rep"), "key").agg(F.sum("links").alias("others"))
     # Rows of one doc_id are one vertex, so a node that stands for copies links to the doc_ids that share its set.
-    reps = staged(reps.select("fp", "rep"), "ngram-reps")
-    of = all_.where("doc_id is not null and n > 0").join(reps, "fp").select("doc_id", "rep").where("doc_id <> rep").distinct()
+    reps = reps.join(others, ["rep", "key"], "left").selectExpr("fp", "rep", "copies - 1 + coalesce(others, 0) as links")
+    reps = staged(reps, "ngram-reps")
+    of = all_.where("doc_id is not null and n > 0").join(reps.select("fp", "rep"), "fp").select("doc_id", "rep").where("doc_id <> rep").distinct()
     repeated = all_.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.countDistinct("fp").alias("k")).where("k > 1").select("doc_id")
     odd = of.join(repeated, "doc_id", "left_semi")  # such rows tie several sets together
     found = components(links.unionAll(odd.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     rows = all_.join(reps, "fp", "left").withColumn("__v", F.coalesce("rep", "doc_id"))
-    return rows.join(found, F.col("__v") == F.col("node"), "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "__v")).alias("label"))
+    rows = rows.join(found, F.col("__v") == F.col("node"), "left")
+    named_ = F.col("doc_id").isNotNull()
+    return rows.select("doc_id", "n", F.when(named_, F.coalesce("label", "__v")).alias("label"), F.when(named_, F.coalesce("links", F.lit(0))).alias("links"))
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_block: int = MAX_BLOCK, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
-    return labelled(docs, width, percent, max_block, chunk).select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"))
+    """doc_id, n_shingles, component_id, n_links."""
+    found = labelled(docs, width, percent, max_block, chunk)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), F.col("links").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -483,8 +517,9 @@ e as materialized (select x.doc_id as a, y.doc_id as b from s x join s y on x.g
   group by x.doc_id, y.doc_id, p.n, q.n having 100 * count(*) >= 90 * (p.n + q.n - count(*))),
 both_ as materialized (select a, b from e union all select b, a from e),
 r as (with recursive reach(a, b) as (select a, b from both_ union select reach.a, both_.b from reach join both_ on reach.b = both_.a) select * from reach)
-select t.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, least(t.doc_id, coalesce(min(r.b), t.doc_id)) as component_id
-from t left join n on t.doc_id = n.doc_id left join r on r.a = t.doc_id group by t.doc_id, n.n
+select t.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, least(t.doc_id, coalesce(min(r.b), t.doc_id)) as component_id, coalesce(k.k, 0) as n_links
+from t left join n on t.doc_id = n.doc_id left join r on r.a = t.doc_id left join (select a, count(*) as k from both_ group by a) k on k.a = t.doc_id
+group by t.doc_id, n.n, k.k
 """
 QUERIES = {"op6_ngram_join": op6_ngram_join}
 ORACLES = {"op6_ngram_join": ORACLE}

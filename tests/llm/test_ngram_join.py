@@ -119,3 +119,21 @@ def test_keep_one_keeps_one_of_rows_that_repeat_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, __drop long, `a.b` string")
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("kw", [{}, {"max_block": 3, "chunk": 2}, {"max_block": 1, "chunk": 3}, {"max_block": 1, "chunk": 50}])
+def test_links_are_counted_once_for_every_other_row(spark, kw):
+    def shingle_set(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 3]) for i in range(max(len(w) - 2, 1))} if w else set()
+
+    rows = corpus(4, 8, 8) + [(1000, "a b c d", 0, ""), (1000, "A b c d", 0, "")]
+    out = ngram_join.join(spark.createDataFrame(rows, SCHEMA).repartition(3), **kw).collect()
+    got = sorted((r.doc_id, r.n_shingles, r.n_links) for r in out if r.doc_id is not None)
+    sets = [(d, shingle_set(t)) for d, t, *_ in rows if d is not None]
+    want = []
+    for i, (d, x) in enumerate(sets):
+        links = sum(100 * len(x & y) >= 90 * len(x | y) for j, (_, y) in enumerate(sets) if j != i) if x else 0
+        want.append((d, len(x), links))
+    assert got == sorted(want) and max(k for *_, k in want) > 3
+    assert [r.n_links for r in out if r.doc_id is None] == [None]
