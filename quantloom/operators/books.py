@@ -55,6 +55,25 @@ def long_short(panel: DataFrame, score: str, ret: str, cap: str, n: int, cap_wei
     return out.withColumn("gross", F.col("long_leg") - F.col("short_leg")).withColumn("traded", F.coalesce("top_traded", F.lit(0.0)) + F.coalesce("bot_traded", F.lit(0.0)))
 
 
+def book_series(panel: DataFrame, score: str, ret: str, cap: str, legs: list[tuple[str, str, int, int, bool]]) -> DataFrame:
+    """(series, date, gross, traded) of several books in one plan. legs: (series, side, n, bucket, cap_weighted), side
+    'top' held long or 'bot' short. Names are ranked once a date for all n, and each goes, with its raw weight, to the
+    legs whose bucket it is in; weights, returns and traded notional are then of (series, side, date). A series with a
+    short leg has no gross where one of its legs is empty."""
+    rows = panel.where(complete(score, ret, cap))
+    rows = rows.withColumns({f"__b{n}": bucket(score, ["date"], "symbol", n) for n in sorted({leg[2] for leg in legs})})
+    raw = {True: F.col(cap).cast("double"), False: F.lit(1.0)}
+    into = [F.when(F.col(f"__b{n}") == b, F.struct(F.lit(k).alias("series"), F.lit(side).alias("side"), raw[weighted].alias("raw"))) for k, side, n, b, weighted in legs]
+    rows = rows.select("date", "symbol", F.col(ret).alias("ret"), F.explode(F.array_compact(F.array(*into))).alias("e"))
+    held = weights(rows.select("date", "symbol", "ret", "e.*"), ["series", "side", "date"], "raw")
+    ends = held.groupBy("series", "side", "date").agg(F.sum(F.col("w") * F.col("ret")).alias("leg"))
+    ends = ends.join(traded(held, ["series", "side"]), ["series", "side", "date"])
+    top, bot = F.max(F.when(F.col("side") == "top", F.col("leg"))), F.max(F.when(F.col("side") == "bot", F.col("leg")))
+    two_legged = F.col("series").isin([k for k, side, *_ in legs if side == "bot"])
+    out = ends.groupBy("series", "date").agg(top.alias("__top"), bot.alias("__bot"), F.sum("traded").alias("traded"))
+    return out.select("series", "date", F.when(two_legged, F.col("__top") - F.col("__bot")).otherwise(F.col("__top")).alias("gross"), "traded")
+
+
 def beta_neutral(legs: DataFrame, market: DataFrame, months: int = 36, low: float = 0.25, high: float = 4.0) -> DataFrame:
     """Short leg scaled by last month's ratio of the legs' rolling betas, held to bounds; no gross before there is one."""
     rows = legs.join(market.select("date", F.col("ret").alias("mkt")), "date").withColumn("__s", F.lit(1))

@@ -58,10 +58,13 @@ def monthly_ic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def series(spark: SparkSession, d: str) -> DataFrame:
-    c = composite(spark, d)
-    each = {"top_quintile_cw": books.long_book(c, "score", "ret", "mcap", 5, True), "top_decile_ew": books.long_book(c, "score", "ret", "mcap", 10, False), "ls_quintile_ew": books.long_short(c, "score", "ret", "mcap", 5, False)}
-    frames = [b.select(F.lit(k).alias("series"), "date", "gross", "traded") for k, b in each.items()]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    legs = [
+        ("top_quintile_cw", "top", 5, 4, True),
+        ("top_decile_ew", "top", 10, 9, False),
+        ("ls_quintile_ew", "top", 5, 4, False),
+        ("ls_quintile_ew", "bot", 5, 0, False),
+    ]
+    return books.book_series(composite(spark, d), "score", "ret", "mcap", legs)
 
 
 COSTS = [0.0, 5.0, 10.0, 25.0]

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -423,3 +424,21 @@ def test_compute_once_and_bulk(spark, tmp_path):
     a = spark.createDataFrame([("b", "2020-01-02", 1.0), ("a", "bad", 2.0)], schema)
     b = spark.createDataFrame([("a", "2020-01-01")], "symbol string, date string")
     assert [(r.symbol, str(r.date), r.x) for r in bulk([a, b], schema, ["date"], ["symbol"]).collect()] == [("a", "2020-01-01", None), ("b", "2020-01-02", 1.0)]
+
+
+def test_book_series_equal_the_books_one_by_one(spark):
+    rng = random.Random(8)
+    rows = [(dt.date(2020, 1 + m, 1), i, rng.choice([None, rng.gauss(0, 1), 0.5]), rng.gauss(0, 0.1), rng.uniform(1, 9)) for m, k in enumerate([23, 7, 4, 23, 11]) for i in range(k)]
+    panel = spark.createDataFrame(rows, "date date, symbol long, score double, ret double, mcap double")
+    legs = [("q", "top", 5, 4, True), ("d", "top", 10, 9, False), ("ls", "top", 5, 4, False), ("ls", "bot", 5, 0, False)]
+    args = ("score", "ret", "mcap")
+    want = {
+        "q": books.long_book(panel, *args, 5, True),
+        "d": books.long_book(panel, *args, 10, False),
+        "ls": books.long_short(panel, *args, 5, False),
+    }
+    got = {(r.series, r.date): (r.gross, r.traded) for r in books.book_series(panel, *args, legs).collect()}
+    one_by_one = {(k, r.date): (r.gross, r.traded) for k, b in want.items() for r in b.select("date", "gross", "traded").collect()}
+    assert got.keys() == one_by_one.keys() and len(got) > 5
+    for k, v in one_by_one.items():
+        assert got[k] == pytest.approx(v)
