@@ -42,14 +42,23 @@ def scratch(spark: SparkSession, path: str) -> None:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and lost executors don't matter. The table lasts
     as long as the driver."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    schema = df.schema
+    return staged_in(df, new_folder(df.sparkSession, name))
+
+
+def staged_in(df: DataFrame, path: str) -> DataFrame:
+    """`staged` under a path of the caller's, who may `discard` it sooner."""
+    spark, schema = df.sparkSession, df.schema
     df.write.parquet(path)
     scratch(spark, path)
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a staged table that no later table is made from."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,5 +1,6 @@
 import random
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -113,6 +114,18 @@ def test_components(spark):
     assert got == label
 
 
+def test_components_leave_one_table(spark, monkeypatch):
+    from quantloom.llm import components as module
+    from quantloom.llm.common import shared_dir
+
+    paths = []
+    monkeypatch.setattr(module, "new_folder", lambda s, name: paths.append(f"{shared_dir(s)}/once-{len(paths)}-{name}") or paths[-1])
+    got = components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long"))
+    assert {r.label for r in got.collect()} == {0}
+    left = [p for p in paths if Path(p.removeprefix("file://")).exists()]
+    assert len(paths) > 3 and left == [paths[-1]]
+
+
 def test_keep_one_keeps_one_of_rows_that_repeat_an_id(spark):
     long = "one two three four five six seven eight nine ten"
     rows = [(1, long, 1, "x"), (1, long, 1, "x"), (1, "quite another text of more than five words", 2, "y"), (2, long, 3, "z"), (3, None, 0, ""), (3, None, 0, "")]
