@@ -152,10 +152,9 @@ def _verified(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return first(left) + first(right) >= width
 
 
-def near_pairs(band: int, size: int, names: list[str], length: np.ndarray, mask: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(band: int, size: int, cross: bool, names: list[str], length: np.ndarray, mask: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of near words of a tile whose first equal band is `band`, each once: of length `size` both, or j's
-    shorter by one. Words of one side meet only if there is one side."""
-    cross = len(np.unique(side)) > 1
+    shorter by one. With cross words of one side don't meet: they do in a tile of their own."""
     others = [BAND[k] for k in range(BANDS) if k != band]
     parity = sum((np.bitwise_count(mask & m).astype(np.int64) & 1) << k for k, m in enumerate(others))
     group = {(s, p): np.flatnonzero((length == s) & (parity == p)) for s in (size, size - 1) for p in range(4)}
@@ -217,9 +216,9 @@ def near(found: DataFrame, chunk: int = CHUNK) -> DataFrame:
             if t.num_rows < 2:
                 return
             names, n = t.column("word").to_pylist(), t.column("n").to_numpy()
-            band, size = t.column("band")[0].as_py(), t.column("size")[0].as_py()
+            band, size, c, d = (t.column(k)[0].as_py() for k in ("band", "size", "c", "d"))
             arrays = (t.column("length").to_numpy(), t.column("mask").to_numpy().view(np.uint64), t.column("side").to_numpy())
-            pairs = list(near_pairs(band, size, names, *arrays))
+            pairs = list(near_pairs(band, size, c != d, names, *arrays))
             if any(len(x) for x, _ in pairs):
                 word, k, best = _best(names, n, *(np.concatenate(x) for x in zip(*pairs, strict=True)))
                 cols = [pa.array([names[x] for x in word], pa.string()), pa.array(k, pa.int64()), pa.array(n[best]), pa.array([names[x] for x in best], pa.string())]
