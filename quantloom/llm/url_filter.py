@@ -5,12 +5,15 @@ The list (keys like `example.org/es/`: host, then path prefix) becomes shards in
 ascending order, the full key strings in that order and their verdicts. Executors memory-map a shard's arrays when a
 candidate first falls into its range, once a process (a shard in a store that can't be mapped is read then), probe all
 candidate keys of a batch of URLs in the shards of their ranges by vectorised binary search, and confirm every digest
-hit against the stored string, so that a collision never decides. A URL's candidates are its host and all parent domains, each with the path prefixes of those lengths that
-occur in the list. The longest confirmed key wins; without one the verdict is `default`.
+hit against the stored string, so that a collision never decides. A URL's candidates are its host and parent domains of
+no more labels and letters than the list's hosts have, each with the path prefixes of those lengths that occur in the
+list. The longest confirmed key wins; without one the verdict is `default`.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path: from there up to `?`, `#` or the end.
-Defined cases. Null URL or no `://`: empty host and path, no rule, the default. Equal keys in the list: block wins.
-Repeated rows are judged one by one; other columns are ignored. Empty list: every URL gets the default.
+Defined cases. Null URL or no `://`: empty host and path, no rule, the default. Equal keys in the list: block wins. List
+entries with a null key or verdict are ignored; a key without a slash is a host: it is read as if `/` followed. Hosts of
+any number of labels. Repeated rows are judged one by one; other columns are ignored. Empty list: every URL gets the
+default.
 """
 
 from __future__ import annotations
@@ -46,31 +49,37 @@ def digest(key: bytes) -> int:
 
 def build(entries: DataFrame, folder: str, shards: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Write the digest array of entries (key, verdict); returns its manifest (shard path, lowest and highest digest, n,
-    path lengths)."""
+    path lengths, most labels and letters of a host)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         if not rows:
             return
-        rows = sorted((digest(k.encode()), k, v) for k, v in dict(sorted(rows, reverse=True)).items())
+        rows = sorted((digest(k.encode()), k, v) for k, v in rows)
         from pyspark import TaskContext
 
         fs, root = open_fs(folder)
         base = f"{root}/shard-{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"
         fs.create_dir(root, recursive=True)
         names = [k.encode() for _, k, _ in rows]
-        for name, x in (("keys", np.array([h for h, _, _ in rows], np.uint64)), ("ends", np.cumsum([len(k) for k in names])), ("block", np.array([v == "block" for _, _, v in rows])), ("text", np.frombuffer(b"".join(names), np.uint8))):
+        for name, x in (("keys", np.array([h for h, _, _ in rows], np.uint64)), ("ends", np.cumsum([len(k) for k in names])), ("block", np.array([v for _, _, v in rows])), ("text", np.frombuffer(b"".join(names), np.uint8))):
             np.save(out := io.BytesIO(), x)
             _put(fs, f"{base}.{name}.npy", out.getvalue())
         lengths = sorted({len(k) - k.index("/") for _, k, _ in rows})
         bounds = [pa.array(np.array([rows[k][0]], np.uint64).view(np.int64)) for k in (0, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array([base]), *bounds, pa.array([len(rows)]), pa.array([lengths], pa.list_(pa.int64()))], names=["base", "lo", "hi", "n", "lengths"])
-
-    keyed = entries.select("key", "verdict").withColumn("h", F.xxhash64("key"))
+        hosts = [k[: k.index("/")] for _, k, _ in rows]
+        most = [pa.array([max(x)]) for x in ([h.count(".") + 1 for h in hosts], list(map(len, hosts)))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([base]), *bounds, pa.array([len(rows)]), pa.array([lengths], pa.list_(pa.int64())), *most],
+            names=["base", "lo", "hi", "n", "lengths", "labels", "letters"],
+        )
+
+    keyed = entries.where("key is not null and verdict is not null").withColumn("key", F.expr("if(instr(key, '/') = 0, key || '/', key)"))
+    keyed = keyed.groupBy("key").agg(F.max(F.col("verdict") == "block").alias("blocked")).withColumn("h", F.xxhash64("key"))
     shards = shards or -(-keyed.count() // shard_rows)
     # Signed order, halved around zero, is not the digests' own: the sign bit is flipped, so ranges are of unsigned digests.
     dealt = keyed.repartitionByRange(shards, F.expr("h ^ -9223372036854775808L")) if shards > 1 else keyed.repartition(1)
-    return dealt.select("key", "verdict").mapInArrow(write, "base string, lo long, hi long, n long, lengths array<long>")
+    return dealt.select("key", "blocked").mapInArrow(write, "base string, lo long, hi long, n long, lengths array<long>, labels long, letters long")
 
 
 class Shard:
@@ -123,6 +132,7 @@ def judge(urls: DataFrame, entries: DataFrame, default: str = "allow", shards: i
     manifest = build(entries, folder, shards).toArrow().to_pydict()  # a row a shard
     scratch(urls.sparkSession, folder)
     bases, lengths = manifest["base"], sorted({x for row in manifest["lengths"] for x in row})
+    most_labels, most_letters = (max(manifest[c], default=1) for c in ("labels", "letters"))
     lo, hi = (np.array(manifest[c], np.int64).view(np.uint64) for c in ("lo", "hi"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,10 +140,10 @@ def judge(urls: DataFrame, entries: DataFrame, default: str = "allow", shards: i
             parts = [split_url(u) for u in batch.column(1).to_pylist()]
             names, owner = [], []
             for i, (host, path) in enumerate(parts):
-                labels = host.split(".") if host else []
-                for k in range(len(labels)):
+                labels = host.rsplit(".", most_labels) if host else []
+                for k in range(len(labels) > most_labels, len(labels)):
                     domain = ".".join(labels[k:])
-                    for n in lengths:
+                    for n in lengths if len(domain) <= most_letters else ():
                         if n <= len(path):
                             names.append((domain + path[:n]).encode())
                             owner.append(i)
