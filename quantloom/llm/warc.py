@@ -3,12 +3,14 @@
 Every page becomes a record, a gzip member of its own (WARC/1.1): a `response` whose block is an HTTP head and the
 payload, or a `revisit` (HTTP head only) of the record that holds an equal payload. Of records with equal payloads of
 at least `min_bytes` bytes the one with the largest page_id is the response. An archive begins with a `warcinfo`
-record. Record ids are UUIDs of folder, task and offset, so repeated or null page_ids have ids of their own; the page
-and the page referred to are in extension fields.
+record. A response's id is a UUID of its folder, page_id and digest, so a revisit names the record it stands for
+(`WARC-Refers-To`) without looking it up. Ids of revisits, of records without page_id and of responses that rows equal in
+page_id and payload repeat are made from task and offset; a revisit of such a response names the page alone. Page and
+page referred to are in extension fields too.
 
 Who refers to whom is settled on (page_id, digest) alone: a partial maximum for each digest, then a join in which the
 digests of more than `HEAVY` pages (at most pages / HEAVY of them) are broadcast and only the others shuffled. Payloads
-are dealt out once, by page_id. So a payload that a third of all pages share makes no hot task.
+are dealt out once, by page_id and digest. So a payload that a third of all pages share makes no hot task.
 
 Writing gives an index row for each record: archive, offset, length, URL, digest. Reading selects index rows, sorts
 them by archive and offset, coalesces neighbours (gaps up to `gap`, ranges up to `most` bytes), deals the ranges out to
@@ -17,7 +19,8 @@ each range at once. An archive's name holds the task attempt that wrote it, and
 committed, so what a lost executor left behind is never read.
 
 Defined cases. Null html: an empty payload. Null URL: no target URI. A null page_id is a response that refers to
-nothing. Rows that repeat a page_id and payload have the same type. Empty table: no archives, an empty result. Other
+nothing. Rows that repeat a page_id and payload have the same type; a page_id with several payloads has a record for
+each, settled apart. Empty table: no archives, an empty result. Other
 columns are ignored. The archive folder must have a scheme that pyarrow.fs opens.
 """
 
@@ -49,7 +52,7 @@ def sha1_base32(payload: bytes) -> str:
 
 def member(kind: str, fields: list[str], block: bytes, seed: str, level: int = 1) -> bytes:
     """A record as a gzip member."""
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, seed)}>", f"WARC-Date: {DATE}", *fields, f"Content-Length: {len(block)}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(seed)}", f"WARC-Date: {DATE}", *fields, f"Content-Length: {len(block)}"]
     pack = zlib.compressobj(level, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
@@ -58,9 +61,18 @@ def info(seed: str) -> bytes:
     return member("warcinfo", ["Content-Type: application/warc-fields"], b"software: quantloom\r\nformat: WARC File Format 1.1\r\n", seed)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, seed: str) -> tuple[bytes, str]:
-    """(gzip member, digest) of a page."""
-    digest = sha1_base32(payload)
+def record_id(seed: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, seed)}>"
+
+
+def response_seed(folder: str, page_id: int, digest: str) -> str:
+    return f"{folder}/{page_id}/{digest}"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, repeated: bool, folder: str, place: str) -> tuple[bytes, str]:
+    """(gzip member, digest) of a page; repeated: several rows hold the response; place: what else a record is named by."""
+    digest, kind = sha1_base32(payload), "response" if refers_to is None else "revisit"
+    seed = place if page_id is None or repeated or kind == "revisit" else response_seed(folder, page_id, digest)
     fields = ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if page_id is not None:
         fields.append(f"X-Page-ID: {page_id}")
@@ -68,8 +80,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         fields.append(f"WARC-Target-URI: {quote(url, safe='%:/?#[]@!$&()*+,;=~' + chr(39))}")
     if refers_to is not None:
         fields += [f"X-Refers-To-Page-ID: {refers_to}", f"WARC-Profile: {PROFILE}"]
+        if not repeated:
+            fields.append(f"WARC-Refers-To: {record_id(response_seed(folder, refers_to, digest))}")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    return member("response" if refers_to is None else "revisit", fields, http + (payload if refers_to is None else b""), seed), digest
+    return member(kind, fields, http + (payload if refers_to is None else b""), seed), digest
 
 
 def parse(data: bytes) -> tuple[int | None, int, str, str, int | None]:
@@ -83,14 +97,26 @@ def parse(data: bytes) -> tuple[int | None, int, str, str, int | None]:
     return number("X-Page-ID"), int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], number("X-Refers-To-Page-ID")
 
 
-def referrals(pages: DataFrame, min_bytes: int = 0, heavy: int = HEAVY) -> DataFrame:
-    """(__id, __to): the pages that revisit another, and which."""
+def _digest():
+    return F.unhex(F.sha1(F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))))
+
+
+def _settled(pages: DataFrame, min_bytes: int, heavy: int) -> DataFrame:
+    """(__id, __d, __to, __repeated): page and digest, the page that holds the response, and whether several rows do; a
+    row where these are two pages, or several rows."""
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    keyed = staged(pages.where(F.col("page_id").isNotNull() & (F.octet_length(payload) >= min_bytes)).select("page_id", F.unhex(F.sha1(payload)).alias("d")), "warc-digests")
-    largest = staged(keyed.groupBy("d").agg(F.max("page_id").alias("__to"), F.count("*").alias("n")).where("n > 1"), "warc-largest")
-    many = F.broadcast(largest.where(F.col("n") > heavy).select("d", "__to"))
-    few = keyed.join(many, "d", "left_anti").join(largest.where(F.col("n") <= heavy).select("d", "__to"), "d")
-    return keyed.join(many, "d").unionByName(few).where("page_id < __to").select(F.col("page_id").alias("__id"), "__to").distinct()
+    keyed = pages.where(F.col("page_id").isNotNull() & (F.octet_length(payload) >= min_bytes)).select("page_id", _digest().alias("d"))
+    keyed = staged(keyed.groupBy("page_id", "d").agg(F.count("*").alias("k")), "warc-digests")
+    largest = keyed.groupBy("d").agg(F.max(F.struct("page_id", "k")).alias("m"), F.count("*").alias("n"))
+    largest = staged(largest.where("n > 1 or m.k > 1").selectExpr("d", "n", "m.page_id as __to", "m.k > 1 as __repeated"), "warc-largest")
+    many = F.broadcast(largest.where(F.col("n") > heavy).drop("n"))
+    few = keyed.join(many, "d", "left_anti").join(largest.where(F.col("n") <= heavy).drop("n"), "d")
+    return keyed.join(many, "d").unionByName(few).selectExpr("page_id as __id", "d as __d", "__to", "__repeated").where("__id < __to or __repeated")
+
+
+def referrals(pages: DataFrame, min_bytes: int = 0, heavy: int = HEAVY) -> DataFrame:
+    """(__id, __d, __to): the pages and digests that revisit another page, and which."""
+    return _settled(pages, min_bytes, heavy).where("__id < __to").drop("__repeated")
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
@@ -105,13 +131,14 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
         seed = f"{folder}/{TaskContext.get().partitionId()}"
         for b in batches:
             rows = []
-            for page, url, html, to in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page, url, html, to, repeated in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)  # members are packed here
                     out.write(first := info(f"{seed}:info"))
                     at = len(first)
-                packed, digest = record(page, url, (html or "").encode("utf-8", "surrogatepass"), to, f"{seed}:{at}")
+                to = None if to == page else to
+                packed, digest = record(page, url, (html or "").encode("utf-8", "surrogatepass"), to, repeated, folder, f"{seed}:{at}")
                 out.write(packed)
                 rows.append((name, at, len(packed), page, url, digest, "response" if to is None else "revisit"))
                 at += len(packed)
@@ -120,7 +147,8 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
         if out is not None:
             out.close()
 
-    joined = pages.join(referrals(pages, min_bytes), F.col("page_id") == F.col("__id"), "left").select("page_id", "url", "html", "__to")
+    same = (F.col("page_id") == F.col("__id")) & (_digest() == F.col("__d"))
+    joined = pages.join(_settled(pages, min_bytes, HEAVY), same, "left").selectExpr("page_id", "url", "html", "__to", "coalesce(__repeated, false)")
     return staged(joined.mapInArrow(run, INDEX), "warc-index")
 
 

@@ -290,3 +290,38 @@ def test_url_filter_with_a_long_list_in_shards(spark):
         n = i * 37
         assert got[i] == (f"h{n}.site{n % 7}.example/{'p/' if n % 3 == 0 else ''}", "allow" if n % 2 else "block")
     assert got[1000] == (None, "allow") and got[1001] == ("h2.site2.example/", "block")
+
+
+def test_warc_keeps_every_payload_of_a_repeated_page_id(spark):
+    for some in ([(1, "A"), (1, "B"), (2, "A"), (3, "B")], [(1, "A"), (1, "C"), (2, "A")], [(1, "A"), (1, "A"), (5, "B"), (5, "B"), (4, "B"), (None, "A"), (None, None), (7, ""), (6, None)]):
+        pages = spark.createDataFrame([(i, f"http://a/{i}", h, "") for i, h in some], PAGES).repartition(2)
+        folder = new_folder(spark, "test-warc")
+        index = warc.write(pages, folder)
+        top = {h: max((i for i, x in some if i is not None and (x or "") == h), default=None) for h in {x or "" for _, x in some}}
+        want = []
+        for i, x in some:
+            h = x or ""
+            to = top[h] if i is not None and i < top[h] else None
+            want.append((i, len(h), warc.sha1_base32(h.encode()), "response" if to is None else "revisit", to))
+        key = lambda r: tuple(str(x) for x in r)
+        assert sorted(map(tuple, warc.read(index, folder).collect()), key=key) == sorted(want, key=key)
+        fs, root = open_fs(folder)
+        ids, refers = {}, []
+        for r in index.collect():
+            with fs.open_input_file(f"{root}/{r.archive}") as f:
+                f.seek(r.offset)
+                head, _, rest = gzip.decompress(f.read(r.length)).partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            ids[fields["WARC-Record-ID"]] = (fields["WARC-Type"], fields["WARC-Payload-Digest"], rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2].decode())
+            refers += [(fields["WARC-Refers-To"], fields["WARC-Payload-Digest"])] if "WARC-Refers-To" in fields else []
+        assert len(ids) == len(some) and {h for kind, _, h in ids.values() if kind == "response"} == {x or "" for _, x in some}
+        assert all(ids[to][:2] == ("response", d) for to, d in refers)
+
+
+def test_url_filter_list_ties_nulls_and_long_hosts(spark):
+    entries = [("a.x/", "allow"), ("a.x/", "block"), ("b.x/", "block"), ("b.x/", "allow"), (None, "block"), ("c.x/", None), ("bare.x", "block"), ("y/p", "block"), ("y/p", "block")]
+    long = ".".join(["l"] * 300_000)
+    urls = [(1, "http://a.x/q"), (2, "http://s.b.x/"), (3, "http://c.x/"), (4, "http://www.bare.x/z"), (5, f"http://{long}.y/page"), (6, f"http://{'h' * 500_000}.a.x/" + "p" * 300_000), (7, f"http://{long}/"), (8, "://" + "." * 1000 + "y/p")]
+    for rows in (entries, entries[::-1]):
+        got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rows, "key string, verdict string"), shards=2).collect()}
+        assert got == {1: ("a.x/", "block"), 2: ("b.x/", "block"), 3: (None, "allow"), 4: ("bare.x/", "block"), 5: ("y/p", "block"), 6: ("a.x/", "block"), 7: (None, "allow"), 8: ("y/p", "block")}
