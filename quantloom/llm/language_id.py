@@ -7,14 +7,16 @@ that cosine is below a share of a low quantile of the cosines seen in training f
 of two of letters). Short classes are filled with cuts of 8 to 256 characters of the training texts, so that short
 texts have a floor as well. A text without letters is `und` and rejected.
 
-Training takes a sample of the labelled rows, bounded by `per_language` expected rows a language and `max_sample` in all (rows are chosen by a
-hash of doc_id and text, so the choice is the same everywhere). Texts stay on the executors: the sample is a staged
-table, its gram counts are taken in tasks, document frequencies are a Spark sum, each language's clusters are fitted
-in a task of its own (at most about `per_language` sparse rows), and the floors are aggregates. The driver gets the
+Training takes, of each language, the k distinct texts of least hash among the labelled rows that have letters: k is
+`per_language`, or less where `max_sample` texts in all would be passed, but one at least. So repeated rows count once, the
+choice is the same everywhere, it is bounded exactly, and no language is left out. Tasks keep k hashes a language, so
+only these are shuffled. Texts stay on the executors: the sample is a staged table, its gram counts are taken in tasks,
+document frequencies are a Spark sum, each language's clusters are fitted in a task of its own (at most k sparse rows),
+and the floors are aggregates. The driver gets the
 frequencies (`dim` numbers), the centroids (`clusters` vectors of `dim` floats a language) and a floor for each length
 class. Prediction takes every row and every character, long texts in slices.
 
-Every non-null lang with a text that has letters is learnt. Above `MAX_LANGUAGES` of them `fit` raises ValueError: a
+Every non-null lang with a text that has letters is learnt (a null doc_id's row is not learnt from). Above `MAX_LANGUAGES` of them `fit` raises ValueError: a
 column with so many values holds no languages, and none is left out silently.
 
 Result: doc_id, held_out (crc32 of doc_id as text mod 3 is 1; a null id is not), lang_pred, score (softmax share of the
@@ -31,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import staged, table
 
@@ -132,22 +135,41 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def _least(rows: DataFrame, k: int) -> DataFrame:
+    """(lang, key): the k least distinct keys of each language of rows (lang, key); tasks keep k a language first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            coded = b.column(0).dictionary_encode()
+            codes, keys = coded.indices.to_numpy(), b.column(1).to_numpy()
+            for c, lang in enumerate(coded.dictionary.to_pylist()):
+                mine = keys[codes == c]
+                held[lang] = np.unique(np.concatenate([held[lang], mine]) if lang in held else mine)[:k]
+        for lang, keys in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys)], names=["lang", "key"])
+
+    w = Window.partitionBy("lang").orderBy("key")
+    found = rows.mapInArrow(run, "lang string, key long").distinct()
+    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+
+
 def _sample(docs: DataFrame, per_language: int, max_sample: int) -> DataFrame:
-    """doc_id, text, lang of the training rows, staged."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_remainder(3) != 1))
-    labelled = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = staged(labelled.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
-    languages = counts.limit(MAX_LANGUAGES + 1).count()
+    """lang, key, text of the training texts, staged."""
+    # Code points that the JVM doesn't know may be letters of a newer alphabet.
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"[\p{L}\p{Cn}]") & (_remainder(3) != 1))
+    labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("key"), "text")
+    languages = labelled.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
     if languages > MAX_LANGUAGES:
         raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
-    expected = min(per_language, max(max_sample // max(languages, 1), 1))
-    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(1_000_000.0) * expected / F.col("n")
-    rows = labelled.join(F.broadcast(counts), "lang").where(chosen)  # at most MAX_LANGUAGES rows are broadcast
-    return staged(rows.select("doc_id", "text", "lang"), "language-sample")
+    k = min(per_language, max(max_sample // max(languages, 1), 1))
+    chosen = staged(_least(labelled.select("lang", "key"), k), "language-keys")
+    rows = labelled.join(F.broadcast(chosen), ["lang", "key"])  # at most max_sample rows, or one for each of MAX_LANGUAGES
+    return staged(rows.groupBy("lang", "key").agg(F.min("text").alias("text")), "language-sample")
 
 
 def _counted(sample: DataFrame, dim: int) -> DataFrame:
-    """lang, doc_id, key, dims, counts: the grams of each sampled text with letters."""
+    """lang, key, dims, counts: the grams of each sampled text with letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,17 +183,16 @@ def _counted(sample: DataFrame, dim: int) -> DataFrame:
             if keep:
                 lists = [pa.array(x, pa.list_(t)) for x, t in ((dims, pa.int32()), (counts, pa.float32()))]
                 at = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(3).take(at), *lists], names=["lang", "doc_id", "key", "dims", "counts"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *lists], names=["lang", "key", "dims", "counts"])
 
-    rows = sample.select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
-    return rows.mapInArrow(run, "lang string, doc_id long, key long, dims array<int>, counts array<float>")
+    return sample.select("lang", "key", "text").mapInArrow(run, "lang string, key long, dims array<int>, counts array<float>")
 
 
 def _clustered(counted: DataFrame, idf: np.ndarray, clusters: int, dim: int) -> DataFrame:
     """lang, k, centroid: each language's clusters, fitted in one task over its sampled rows."""
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("doc_id", "ascending"), ("key", "ascending")]).combine_chunks()
+        rows = rows.sort_by("key").combine_chunks()
         counts = np.zeros((rows.num_rows, dim), np.float32)
         for i, (d, c) in enumerate(zip(rows.column("dims"), rows.column("counts"), strict=True)):
             counts[i, d.values.to_numpy()] = c.values.to_numpy()
@@ -201,7 +222,7 @@ def _floors(sample: DataFrame, model: Model) -> np.ndarray:
                     hit = np.flatnonzero(cos.argmax(1) == np.array(right))
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(sizes, np.int32)[hit]), pa.array(cos.max(1).astype(np.float64)[hit])], names=["size", "cos"])
 
-    rows = sample.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("key")).mapInArrow(run, "size int, cos double")
+    rows = sample.select("lang", "text", F.pmod("key", F.lit(1 << 30)).alias("key")).mapInArrow(run, "size int, cos double")
     least = {r["size"]: r["q"] for r in rows.groupBy("size").agg(F.count("*").alias("n"), F.percentile("cos", F.lit(LOW)).alias("q")).where(F.col("n") >= LEAST).collect()}
     out, last = np.zeros(64), 0.0
     for s in range(64):
