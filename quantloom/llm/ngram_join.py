@@ -23,7 +23,8 @@ A document's set holds its distinct shingles of `width` words (A-Z lower-cased;
 Result: doc_id, n_shingles, component_id (least doc_id reachable, itself included), n_links (other rows with a doc_id
 whose sets link with the row's, equal ones included). Defined cases. Null, empty or blank text: 0 shingles, no links, its
 own component. Null doc_id: no component, n_links null. Rows that repeat a doc_id are one vertex, each with its own
-n_shingles and n_links. Empty table: no rows. Other columns are ignored by `join` and passed through by `keep_one`.
+n_shingles and n_links. Empty table: no rows. Other columns are ignored by `join` and passed through by `keep_one`, which
+groups rows by their sets alone: two texts under one doc_id are two documents, and a null doc_id is like any other.
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def _need(s: np.ndarray, percent: int) -> int:
 
 
 def nodes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, fp, key, n, need of docs (doc_id, text); fp is null for empty sets."""
+    """doc_id, th, fp, key, n, need of docs (doc_id, text); th: a hash of the text, fp is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,9 +115,10 @@ def nodes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 keys.append(_key(fp) if fp else None)
                 ns.append(len(s))
                 needs.append(_need(s, percent))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), pa.array(needs, pa.int64())], names=["doc_id", "fp", "key", "n", "need"])
+            plain = [pa.array(x, pa.int64()) for x in (keys, ns, needs)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.binary()), *plain], names=["doc_id", "th", "fp", "key", "n", "need"])
 
-    return docs.mapInArrow(run, "doc_id long, fp binary, key long, n long, need long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, fp binary, key long, n long, need long")
 
 
 def _shared_here(tokens: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -455,19 +457,31 @@ def _blocks(prefixes: DataFrame, sets: DataFrame, labels: DataFrame, max_block:
     return small.unionAll(rows.select(name.alias("block"), "node", "key", F.col("c").alias("side"), "below"))
 
 
-def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_block: int = MAX_BLOCK, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n, label, links of every row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_ = staged(nodes(docs, width, percent), "ngram-nodes")
-    reps = all_.where("doc_id is not null and n > 0").groupBy("fp", "key", "n", "need").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    shared = _shared_counts(_postings(docs.where("doc_id is not null"), width, percent))
-    alive = reps.join(shared, "key", "left").where("need <= 0 or coalesce(shared, 0) >= need").select(F.col("rep").alias("doc_id"), "fp", "copies")
+def _linked(docs: DataFrame, all_: DataFrame, reps: DataFrame, width: int, percent: int, max_block: int, chunk: int, by_text: bool) -> tuple[DataFrame, DataFrame]:
+    """(links, sets) among the sets of reps (fp, key, n, need, rep, th, copies): links as _verified has them, sets with
+    rep, key and node. A set's node is its rep, or with by_text a number of its own."""
+    shared = _shared_counts(_postings(docs if by_text else docs.where("doc_id is not null"), width, percent))
+    alive = reps.join(shared, "key", "left").where("need <= 0 or coalesce(shared, 0) >= need").selectExpr("rep as doc_id", "th", "fp", "copies")
     alive = staged(alive, "ngram-alive")
     few = alive.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST  # then texts needn't be shuffled
-    sets = staged(_sets(docs.join(F.broadcast(alive) if few else alive, "doc_id").select("doc_id", "text", "fp", "copies"), width), "ngram-sets")
+    side = (F.broadcast(alive) if few else alive).withColumnsRenamed({"doc_id": "rep", "th": "rep_th"})
+    same = docs.doc_id.eqNullSafe(side.rep) & (F.xxhash64(docs.text) == side.rep_th)
+    sets = _sets(docs.join(side, same).select("doc_id", "text", "fp", "copies"), width).withColumn("rep", F.col("node"))
+    if by_text:
+        sets = sets.withColumn("node", F.monotonically_increasing_id())
+    sets = staged(sets, "ngram-sets")  # node numbers are fixed from here on
     prefixes = staged(_prefixes(sets, percent), "ngram-prefixes")
     blocks = _blocks(prefixes, sets, components(_edges(prefixes, percent)), max_block, chunk)
-    found = staged(_verified(blocks.join(sets, ["node", "key"]), percent), "ngram-links")
+    return staged(_verified(blocks.join(sets, ["node", "key"]), percent), "ngram-links"), sets
+
+
+def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_block: int = MAX_BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n, label, links of every row of docs (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    all_ = staged(nodes(docs, width, percent), "ngram-nodes")
+    reps = all_.where("doc_id is not null and n > 0").groupBy("fp", "key", "n", "need")
+    reps = reps.agg(F.min(F.struct("doc_id", "th")).alias("r"), F.count("*").alias("copies")).selectExpr("fp", "key", "n", "need", "r.doc_id as rep", "r.th as th", "copies")
+    found, _ = _linked(docs, all_, reps, width, percent, max_block, chunk, False)
     links = found.where("b is not null").select("a", "b")
     others = found.where("b is null").groupBy(F.col("a").alias("rep"), "key").agg(F.sum("links").alias("others"))
     # Rows of one doc_id are one vertex, so a node that stands for copies links to the doc_ids that share its set.
@@ -483,6 +497,23 @@ def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_bl
     return rows.select("doc_id", "n", F.when(named_, F.coalesce("label", "__v")).alias("label"), F.when(named_, F.coalesce("links", F.lit(0))).alias("links"))
 
 
+def surplus(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, th): the rows of docs (doc_id, text) that are not the first of their group, a group being the rows whose
+    sets are equal or linked. The first: least doc_id (null last), then least hash of the text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    all_ = staged(nodes(docs, width, percent), "ngram-nodes").where("n > 0")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    reps = all_.groupBy("fp", "key", "n", "need").agg(F.min(place).alias("r"), F.count("*").alias("copies"))
+    reps = staged(reps.selectExpr("fp", "key", "n", "need", "r.doc_id as rep", "r.th as th", "copies"), "ngram-reps")
+    found, sets = _linked(docs, all_, reps, width, percent, MAX_BLOCK, CHUNK, True)
+    label = sets.select("rep", "key", "node").join(components(found.where("b is not null").select("a", "b")), "node").withColumnsRenamed({"rep": "of", "key": "of_key"})
+    one = reps.join(label, reps.rep.eqNullSafe(label.of) & (reps.key == label.of_key), "left").select("fp", "label", F.struct(F.col("rep").isNull().alias("last"), F.col("rep").alias("doc_id"), "th").alias("r"))
+    best = one.where("label is not null").groupBy("label").agg(F.min("r").alias("best"))
+    one = one.join(best, "label", "left").select("fp", F.coalesce("best", "r").alias("first"))
+    rows = all_.join(one, "fp").where("not (doc_id <=> first.doc_id and th = first.th)")
+    return rows.select("doc_id", "th").distinct()
+
+
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_block: int = MAX_BLOCK, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links."""
     found = labelled(docs, width, percent, max_block, chunk)
@@ -490,19 +521,22 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_block:
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component, with docs' columns: a row whose doc_id is the least of its component. Of rows that
-    repeat this doc_id the one with the least text hash stays. Rows with a null doc_id have no component and stay."""
-    found = labelled(docs, width, percent)
-    (d,) = named(docs, "__drop")
-    drop = found.where("doc_id <> label").select(F.col("doc_id").alias(d)).distinct()
-    kept = docs.join(drop, F.col("doc_id") == F.col(quoted(d)), "left_anti")
-    repeated = staged(docs.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 and doc_id is not null").select(F.col("doc_id").alias(d)), "ngram-repeated")
-    if not repeated.limit(1).count():
-        return kept
-    same = F.col("doc_id") == F.col(quoted(d))
-    many = kept.join(repeated, same, "left_semi").groupBy(F.col("doc_id").alias("__g"))
-    one = many.agg(F.min_by(F.struct(*columns(docs)), F.xxhash64("text")).alias("__row")).select("__row.*")  # partial minima: no hot task
-    return kept.join(repeated, same, "left_anti").unionAll(one)
+    """One row of each group of rows whose sets are equal or linked, with docs' columns: that of the least doc_id (null
+    last), then of the least text hash; of rows equal in both, the one with the least hash of its other columns. Rows
+    without words stay."""
+    d, h, key = named(docs, "__drop", "__drop_hash", "__text_hash")
+    drop = staged(surplus(docs, width, percent).select(F.col("doc_id").alias(d), F.col("th").alias(h)), "ngram-surplus")
+    docs_ = docs.withColumn(key, F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(quoted(d))) & (F.col(quoted(key)) == F.col(quoted(h)))
+    kept = docs_.join(drop, same, "left_anti")
+    equal = docs_.where(r"text rlike '[^\\x20\\x09-\\x0D]'").groupBy(F.col("doc_id").cast("long").alias(d), F.col(quoted(key)).alias(h)).agg(F.count("*").alias("k")).where("k > 1").select(d, h)
+    equal = staged(equal, "ngram-repeated")
+    if not equal.limit(1).count():
+        return kept.select(*columns(docs))
+    rest = [f.name for f in docs.schema.fields if f.name != "text" and "map<" not in f.dataType.simpleString()]
+    many = kept.join(equal, same, "left_semi").groupBy(F.col("doc_id").alias("__g"), F.col(quoted(key)).alias("__k"))
+    one = many.agg(F.min_by(F.struct(*columns(docs)), F.xxhash64(*(F.col(quoted(c)) for c in rest))).alias("__row")).select("__row.*")  # partial minima: no hot task
+    return kept.join(equal, same, "left_anti").select(*columns(docs)).unionAll(one)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
