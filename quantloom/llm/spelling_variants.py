@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, discard, new_folder, staged, staged_in, table
 
 MIN_LENGTH, MIN_COUNT, RATIO, DELETE, CHUNK, TILE_BYTES = 7, 2, 10, 31, 32_768, 64 << 20
-HELD, SLICE, PAIRS = 200_000, 1 << 20, 1 << 22
+HELD, SLICE, PAIRS = 200_000, 1 << 20, 1 << 16  # pairs are compared in parts that fit a processor's cache
 BANDS, LETTERS = 3, "etaoinshrdlcumwfgypbvkjxqz"  # the letters as they are dealt to the bands
 _OUTSIDE = re.compile("[^A-Za-zÀ-ÿ]")
 
@@ -171,26 +171,28 @@ def near_pairs(band: int, size: int, cross: bool, names: list[str], length: np.n
             cols = group[s, q]
             if not len(rows) or not len(cols) or (s == size and q < p):
                 continue
-            step = max(PAIRS // len(cols), 1)
+            step, found, held = max(PAIRS // len(cols), 1), [], 0
             for lo in range(0, len(rows), step):
-                mine = rows[lo : lo + step]
-                differ = mask[mine][:, None] ^ mask[cols][None, :]
-                hit = np.bitwise_count(differ) <= 2
-                if s == size and q == p:
-                    hit &= np.arange(lo, lo + len(mine))[:, None] < np.arange(len(cols))[None, :]
-                i, j = np.nonzero(hit)
-                differ = differ[i, j]
-                keep = np.ones(len(i), bool)
+                differ = (mask[rows[lo : lo + step]][:, None] ^ mask[cols][None, :]).ravel()
+                at = np.flatnonzero(np.bitwise_count(differ) <= 2)
+                differ = differ[at]
                 for m in before:
-                    keep &= (differ & m) != 0
-                i, j = mine[i[keep]], cols[j[keep]]
-                if cross:
-                    keep = side[i] != side[j]
-                    i, j = i[keep], j[keep]
-                for a in range(0, len(i), PAIRS // 16):
-                    x, y = i[a : a + PAIRS // 16], j[a : a + PAIRS // 16]
-                    right = _verified(codes[size][place[x]], codes[s][place[y]])
-                    yield x[right], y[right]
+                    keep = (differ & m) != 0
+                    at, differ = at[keep], differ[keep]
+                found.append(at + lo * len(cols))
+                held += len(at)
+                if held >= PAIRS or lo + step >= len(rows):
+                    i, j = np.divmod(np.concatenate(found), len(cols))
+                    if s == size and q == p:
+                        keep = i < j
+                        i, j = i[keep], j[keep]
+                    i, j = rows[i], cols[j]
+                    if cross:
+                        keep = side[i] != side[j]
+                        i, j = i[keep], j[keep]
+                    right = _verified(codes[size][place[i]], codes[s][place[j]])
+                    yield i[right], j[right]
+                    found, held = [], 0
 
 
 def _best(names: list[str], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
