@@ -1,6 +1,7 @@
 """Language ID, quality classifier and the pipeline: awkward rows, determinism, held-out accuracy, brute force."""
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -212,3 +213,71 @@ def test_quality_measures_by_hand():
     assert m["word_len"] == (2 + 4 + 2) * 2 / 9 + 3 / 9 and m["pipes"] == 1 / 28 and m["digits"] == 4 / 28 and m["upper"] == 2 / 28
     assert m["distinct"] == 6 / 9 and m["dup_lines"] == 1 - 2 / 3 and m["longest"] == 4 and m["first_upper"] == 2 / 3 and m["top_word"] == 2 / 9
     assert quality_classifier.measures(None) == quality_classifier.measures(" ") == [0.0] * len(quality_classifier.MEASURES)
+
+
+def test_language_sample_loses_none_and_is_bounded(spark):
+    n = 2000
+    many = spark.range(n * 10).selectExpr("id as doc_id", "concat('wort ', id % 10, ' x', id) as text", f"concat('l', id % {n}) as lang")
+    sample = language_id._sample(many, 1500, 6000).collect()
+    held = {f"l{i % n}" for i in range(n * 10) if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert {r.lang for r in sample} == held and max(Counter(r.lang for r in sample).values()) == 3
+    equal = spark.range(40_000).selectExpr("id as doc_id", "if(id % 2 = 0, 'the same words', concat('le mot ', id)) as text", "if(id % 2 = 0, 'en', 'fr') as lang")
+    blank = spark.createDataFrame([(i, "12 34", "xx") for i in range(9)] + [(i, None, "yy") for i in range(9)] + [(i, "..", "zz") for i in range(9)] + [(20, "letters", "zz")], "doc_id long, text string, lang string")
+    sample = language_id._sample(equal.unionAll(blank), 100, 6000).collect()
+    assert Counter(r.lang for r in sample) == {"en": 1, "fr": 100, "zz": 1}
+    rows = {r.text for r in equal.where("lang = 'fr'").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    keys = {r.text: r.k for r in spark.createDataFrame([(t,) for t in rows], "text string").selectExpr("text", "xxhash64(text) as k").collect()}
+    assert {r.text for r in sample if r.lang == "fr"} == set(sorted(rows, key=keys.get)[:100])
+    model = language_id.fit(equal.unionAll(blank), dim=256)
+    assert model.langs == ["en", "fr", "zz"]
+    assert model.predict(["the same words", "le mot 7"])[0][0] == "en"
+
+
+def test_language_training_by_a_plain_second_version(spark):
+    """Document frequencies, clusters and floors in plain Python over the sampled texts."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    dim, k = 256, 2
+    model = language_id.fit(docs, dim=dim, clusters=k)
+    sample = sorted((r.lang, r.key, r.text) for r in language_id._sample(docs, language_id.PER_LANGUAGE, language_id.MAX_SAMPLE).collect())
+    counts = [by_hand(t, dim) for _, _, t in sample]
+    df = Counter(g for c in counts for g in c)
+    idf = [np.log(1 + len(sample)) + 1 - np.log(1 + df[g]) if df[g] else np.log(1 + len(sample)) + 1 for g in range(dim)]
+    assert np.allclose(model.idf, idf, rtol=1e-5)
+
+    def vector(c):
+        v = np.zeros(dim)
+        for g, n in c.items():
+            v[g] = (1 + np.log(n)) * idf[g]
+        return v / max(np.linalg.norm(v), 1e-9)
+
+    each = {}
+    for lang in sorted({x for x, _, _ in sample}):
+        v = [vector(c) for c, (x, _, _) in zip(counts, sample, strict=True) if x == lang]
+        mean = sum(v) / len(v)
+        chosen = [max(range(len(v)), key=lambda i: v[i] @ mean)]
+        while len(chosen) < min(k, len(v)):
+            chosen.append(min(range(len(v)), key=lambda i: max(v[i] @ v[j] for j in chosen)))
+        centres = [v[i] for i in chosen]
+        for _ in range(8):
+            at = [max(range(len(centres)), key=lambda j: x @ centres[j]) for x in v]
+            for j in range(len(centres)):
+                if j in at:
+                    m = sum(x for x, a in zip(v, at, strict=True) if a == j)
+                    centres[j] = m / np.linalg.norm(m)
+        each[lang] = centres
+    assert model.langs == sorted(each)
+    assert np.allclose(model.centroids, np.concatenate([each[x] for x in model.langs]), atol=1e-3)
+    found = {}
+    for lang, key, text in sample:
+        for piece in [text, *(text[(key % (1 << 30)) % (len(text) - n) :][:n] for n in language_id.CUTS if n < len(text))]:
+            letters = sum(c.isalpha() for c in piece)
+            if letters:
+                x = vector(by_hand(piece, dim))
+                cos = {g: max(x @ c for c in each[g]) for g in each}
+                if max(sorted(cos), key=cos.get) == lang:
+                    found.setdefault(int(np.log2(letters + 1)), []).append(cos[lang])
+    last = 0.0
+    for size in range(64):
+        if len(found.get(size, ())) >= language_id.LEAST:
+            last = language_id.REJECT_SHARE * np.quantile(found[size], language_id.LOW)
+        assert abs(model.floor[size] - last) < 0.02, size
