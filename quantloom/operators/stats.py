@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import complete, ratio
 from .cross_section import avg_rank
+from .least_squares import fits
 
 
 def corr(x: str, y: str) -> Column:
@@ -71,40 +72,20 @@ def biased_beta(ret: str, market: str) -> Column:
 
 
 def demeaned_slope(df: DataFrame, y: str, x: list[str], keys: list[str], group: str, min_names: int = 30) -> DataFrame:
-    """For each key the coefficient of x[0] in least squares of y on x and dummies of `group`: all variables are
-    demeaned within (key, group) and the normal equations (one to three regressors) solved by Cramer's rule."""
-    rows = df.where(complete(y, *x, group))
-    w = Window.partitionBy(*keys, group)
-    rows = rows.select(*keys, *((F.col(c) - F.avg(c).over(w)).alias(f"__{c}") for c in dict.fromkeys([y, *x])))
-    s = lambda a, b: F.sum(F.col(f"__{a}") * F.col(f"__{b}"))
-    names = {f"a{i}{j}": s(x[i], x[j]) for i in range(len(x)) for j in range(i, len(x))} | {f"b{i}": s(x[i], y) for i in range(len(x))}
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(v.alias(k) for k, v in names.items())).where(F.col("n") >= min_names)
-    a = lambda i, j: F.col(f"a{min(i, j)}{max(i, j)}")
-
-    def det(m: list[list[Column]]) -> Column:
-        if len(m) == 1:
-            return m[0][0]
-        if len(m) == 2:
-            return m[0][0] * m[1][1] - m[0][1] * m[1][0]
-        return m[0][0] * det([m[1][1:], m[2][1:]]) - m[0][1] * det([[m[1][0], m[1][2]], [m[2][0], m[2][2]]]) + m[0][2] * det([m[1][:2], m[2][:2]])
-
-    full = [[a(i, j) for j in range(len(x))] for i in range(len(x))]
-    first = [[F.col(f"b{i}"), *full[i][1:]] for i in range(len(x))]
-    singular = F.abs(det(full)) <= F.lit(1e-12) * F.abs(sum((a(i, i) for i in range(1, len(x))), a(0, 0)))
-    return sums.select(*keys, "n", F.when(~singular, ratio(det(first), det(full))).alias("coef"))
-
-
-def slope(df: DataFrame, y: str, x: str, keys: list[str], min_names: int = 30) -> DataFrame:
-    """Univariate least squares slope for each key."""
-    return df.where(complete(y, x)).groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("coef")).where(F.col("n") >= min_names)
+    """(keys, n, coef): for each key the coefficient of x[0] in least squares of y on x and dummies of `group`; of least norm
+    where the regressors leave it open."""
+    found = fits(df, y, x, keys, group, {"all": (x, True)}, min_names)
+    return found.select(*keys, "n", F.get("all", F.lit(0)).alias("coef"))
 
 
 def pure_and_raw_returns(df: DataFrame, ret: str, factor: str, controls: list[str], keys: list[str], group: str, min_names: int = 30) -> DataFrame:
     """(keys, n, pure, raw): for each key the coefficient of the factor's z-score (ddof 0, over the key's complete rows)
-    in least squares of ret on it, the controls' z-scores and dummies of `group`, and on it alone."""
+    in least squares of ret on it, the controls' z-scores and dummies of `group`, and on it alone; both from one set of
+    sums. The z-score of a constant is 0, and so is its coefficient: a control of zeros is as good as none."""
     from .cross_section import zscore
 
-    rows = df.where(complete(ret, factor, *controls, group))
-    rows = rows.select(*keys, group, ret, *(zscore(c, keys, 0).alias(c) for c in [factor, *controls]))
-    pure = demeaned_slope(rows, ret, [factor, *controls], keys, group, min_names).withColumnRenamed("coef", "pure")
-    return pure.join(slope(rows, ret, factor, keys, min_names).select(*keys, F.col("coef").alias("raw")), keys)
+    x = [factor, *controls]
+    rows = df.where(complete(ret, *x, group))
+    rows = rows.select(*keys, group, ret, *(F.coalesce(zscore(c, keys, 0), F.lit(0.0)).alias(c) for c in x))
+    found = fits(rows, ret, x, keys, group, {"pure": (x, True), "raw": ([factor], False)}, min_names)
+    return found.select(*keys, "n", *(F.get(c, F.lit(0)).alias(c) for c in ("pure", "raw")))

@@ -147,15 +147,26 @@ for _n, _cw in ((5, False), (10, True)):
 
 _IC2 = f"(select factor, date, {rank('value', 'factor, date')} as rx, {rank('r2', 'factor, date')} as ry from (select *, lead(ret) over (partition by factor, symbol order by date) as r2 from long) where value is not null and r2 is not null)"
 _SUM = ("ic_mean", "ic_t", "ic_hit", "ic2_mean", "ic2_t", "q1_active", "q1_ir", "spread_pa", "spread_ir", "q1_turnover", "pure_pa", "pure_ir", "pure_t", "raw_pa", "raw_ir", "raw_t")
-_PURE = "fz as (select date, sector, factor, ret, " + ", ".join(f"({x}-avg({x}) over w)/nullif(stddev_pop({x}) over w,0) as {x}" for x in ("value", "lm")) + " from (select long.*, ln(greatest(mcap, 1)) as lm, sector from long join sec using (symbol) where ret is not null and value is not null and mcap is not null) window w as (partition by factor, date))"
+# Controls: log cap and book-to-price (f2); a control is left out where the factor is that control.
+_FZ = ", ".join(f"coalesce(({x}-avg({x}) over w)/nullif(stddev_pop({x}) over w,0),0) as {x}" for x in ("value", "lm", "bp"))
+_PURE = (
+    f"fz as (select date, sector, factor, ret, {_FZ} from (select l.*, ln(greatest(l.mcap, 1)) as lm, case when l.factor = 'f2' then 0.0::double else lab.f2 end as bp, sector "
+    "from long l join lab using (date, symbol) join sec using (symbol) where l.ret is not null and l.value is not null and l.mcap is not null and lab.f2 is not null) "
+    "window w as (partition by factor, date))"
+)
+_D3 = "a00*(a11*a22-a12*a12)-a01*(a01*a22-a12*a02)+a02*(a01*a12-a11*a02)"
 _SUMMARY = (
     "i1 as (select * from (select " + _STATS.format(k="factor") + " from ics where ic is not null group by factor))",
     f"c2 as (select factor, date, (count(*)*sum(rx*ry)-sum(rx)*sum(ry))/nullif(sqrt((count(*)*sum(rx*rx)-sum(rx)*sum(rx))*(count(*)*sum(ry*ry)-sum(ry)*sum(ry))),0) as ic from {_IC2} group by factor, date having count(*) >= 20)",
     "i2 as (select * from (select " + _STATS.format(k="factor") + " from c2 where ic is not null group by factor))",
     f"bs as (select * from (select factor, date, symbol, {bucket('value', 'factor, date', 5)} as bucket, ret, mcap from long where value is not null and ret is not null and mcap is not null) where bucket is not null)",
-    _PURE, "fd as (select factor, date, ret-avg(ret) over w as y, value-avg(value) over w as x0, lm-avg(lm) over w as x1 from fz window w as (partition by factor, date, sector))",
-    "fs as (select factor, date, sum(x0*x0) as a, sum(x0*x1) as b, sum(x1*x1) as c, sum(x0*y) as u, sum(x1*y) as v from fd group by factor, date having count(*) >= 30)",
-    "pu as (select factor, date, case when abs(a*c-b*b) > 1e-12*abs(a*c) then (u*c-b*v)/nullif(a*c-b*b,0) end as r from fs)", "ra as (select factor, date, regr_slope(ret, value) as r from fz group by factor, date having count(*) >= 30)",
+    _PURE,
+    "fd as (select factor, date, ret-avg(ret) over w as y, value-avg(value) over w as x0, lm-avg(lm) over w as x1, bp-avg(bp) over w as x2 from fz window w as (partition by factor, date, sector))",
+    "fs as (select factor, date, sum(x0*x0) as a00, sum(x0*x1) as a01, sum(x0*x2) as a02, sum(x1*x1) as a11, sum(x1*x2) as a12, sum(x2*x2) as a22, "
+    "sum(x0*y) as b0, sum(x1*y) as b1, sum(x2*y) as b2 from fd group by factor, date having count(*) >= 30)",
+    f"pu as (select factor, date, case when factor = 'f2' then (b0*a11-a01*b1)/nullif(a00*a11-a01*a01,0) "
+    f"else (b0*(a11*a22-a12*a12)-a01*(b1*a22-a12*b2)+a02*(b1*a12-a11*b2))/nullif({_D3},0) end as r from fs)",
+    "ra as (select factor, date, regr_slope(ret, value) as r from fz group by factor, date having count(*) >= 30)",
     *(f"{k}s as (select factor, avg(r)*12 as pa, avg(r)/nullif(stddev_samp(r),0)*sqrt(12) as ir, avg(r)/nullif(stddev_samp(r),0)*sqrt(count(*)) as t from {k} where r is not null group by factor)" for k in ("pu", "ra")),
 )
 _JOIN = (
@@ -173,8 +184,11 @@ def _summary(s: SparkSession, d: str) -> DataFrame:
     report = books.fractile_report(long, "value", "ret", "mcap", 5, False, ["factor"])
     top = report.where("row = 'Q1'").select("factor", F.col("active").alias("q1_active"), F.col("ir").alias("q1_ir"), F.col("turnover").alias("q1_turnover"))
     spread = report.where("row = 'Q1-Q5'").select("factor", F.col("total").alias("spread_pa"), F.col("ir").alias("spread_ir"))
-    rows = long.join(sample.sectors(s, d), "symbol").withColumn("lm", F.ln(F.greatest("mcap", F.lit(1.0))))
-    fm = stats.pure_and_raw_returns(rows, "ret", "value", ["lm"], ["factor", "date"], "sector")
+    # A control is left out where the factor is that control: it is then all zeros.
+    rows = sample.labelled(s, d).withColumn("bp", F.col("f2")).unpivot(["date", "symbol", "ret", "mcap", "bp"], FACTORS, "factor", "value").where("bp is not null")
+    rows = rows.withColumn("bp", F.when(F.col("factor") != "f2", F.col("bp")).otherwise(0.0))
+    rows = rows.join(sample.sectors(s, d), "symbol").withColumn("lm", F.ln(F.greatest("mcap", F.lit(1.0))))
+    fm = stats.pure_and_raw_returns(rows, "ret", "value", ["lm", "bp"], ["factor", "date"], "sector")
     found = one.join(two, "factor", "left").join(top, "factor", "left").join(spread, "factor", "left")
     for name in ("pure", "raw"):
         each = stats.series_stats(fm, name, ["factor"])

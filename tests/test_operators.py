@@ -140,7 +140,52 @@ def test_pure_factor_recovers_coefficients(spark):
     df = spark.createDataFrame(rows, "date string, i int, sector string, a double, b double, c double")
     df = df.withColumn("y", 2 * F.col("a") - F.col("b") + 0.5 * F.col("c") + F.when(F.col("sector") == "x", 3.0).otherwise(1.0)).withColumn("b", F.when(F.col("date") == "e", F.col("a")).otherwise(F.col("b")))
     got = {r.date: r.coef for r in stats.demeaned_slope(df, "y", ["a", "b", "c"], ["date"], "sector").collect()}
-    assert got["d"] == pytest.approx(2.0) and got["e"] is None
+    alone = {r.date: r.coef for r in stats.demeaned_slope(df, "y", ["a", "c"], ["date"], "sector").collect()}
+    assert got["d"] == pytest.approx(2.0) and got["e"] == pytest.approx(alone["e"] / 2)  # b is a: the two share its coefficient
+
+
+@pytest.mark.parametrize("m", [1, 2, 3, 5, 8])
+def test_least_squares_equal_lstsq_of_any_rank(spark, m):
+    import numpy as np
+
+    from quantloom.operators import least_squares
+
+    rng = np.random.default_rng(m)
+    names, rows, want = [f"x{i}" for i in range(m)], [], {}
+    for date in range(12):
+        n = 40
+        x = rng.normal(size=(n, m)) * 10.0 ** rng.integers(-3, 4, m)
+        sector = rng.choice(["a", "b", "c", "d"][: date % 4 + 1], n)
+        if date % 3 == 1:
+            x[:, 0] = 0.0  # the z-score of a constant
+        if date % 3 == 2 and m > 1:
+            x[:, -1] = 2 * x[:, 0] - 1
+        if date % 4 == 3 and m > 2:
+            x[:, 1] = sector == "b"
+        y = x @ rng.normal(size=m) + rng.normal(size=n)
+        rows += [(date, *map(float, v), str(s), float(t)) for v, s, t in zip(x, sector, y, strict=True)]
+        present = sorted(set(sector))
+        full = np.column_stack([np.ones(n), x, *(sector == s for s in present[1:])]).astype(float)
+        want[date] = [(np.linalg.lstsq(d, y, rcond=1e-8 if date % 4 == 3 else None)[0][1 : k + 1], np.linalg.matrix_rank(d / np.maximum(np.linalg.norm(d, axis=0), 1e-300), 1e-8)) for d, k in ((full, m), (full[:, :2], 1))]
+    rows += [(50, *[1.0] * m, "a", 1.0)] * 29 + [(51, *[1.0] * m, None, 1.0)] * 40 + [(52, *[None] * m, "a", 1.0)] * 40
+    df = spark.createDataFrame(rows, f"date long, {', '.join(f'{c} double' for c in names)}, sector string, y double").repartition(3)
+    got = {r.date: r for r in least_squares.fits(df, "y", names, ["date"], "sector", {"all": (names, True), "one": (names[:1], False)}).collect()}
+    assert sorted(got) == list(range(12)) and all(r.n == 40 for r in got.values())
+    for date, ((b, rank), (b1, rank1)) in want.items():
+        assert got[date]["all_rank"] == rank and got[date]["one_rank"] == rank1
+        assert np.allclose(got[date]["all"], b, rtol=1e-6, atol=1e-6) and np.allclose(got[date]["one"], b1, rtol=1e-6, atol=1e-6)
+    assert least_squares.fits(df.limit(0), "y", names, ["date"], "sector", {"all": (names, True)}).count() == 0
+
+
+def test_pure_return_without_size_as_a_control_of_itself(spark):
+    """A control of zeros changes nothing: the same as leaving it out."""
+    rows = [(1, math.sin(i * 1.7), math.cos(i * 0.9), "xyz"[i % 3], math.sin(i * 0.4)) for i in range(40)]
+    df = spark.createDataFrame(rows, "date long, f double, size double, sector string, ret double").withColumn("none", F.lit(0.0))
+    one = stats.pure_and_raw_returns(df, "ret", "f", ["size"], ["date"], "sector").collect()[0]
+    two = stats.pure_and_raw_returns(df, "ret", "f", ["size", "none"], ["date"], "sector").collect()[0]
+    assert two.pure == pytest.approx(one.pure) and two.raw == pytest.approx(one.raw)
+    flat = stats.pure_and_raw_returns(df.withColumn("f", F.lit(3.0)), "ret", "f", ["size"], ["date"], "sector").collect()[0]
+    assert (flat.pure, flat.raw) == pytest.approx((0.0, 0.0), abs=1e-12)
 
 
 def test_sector_neutral_drops_small_cells(spark):
