@@ -37,8 +37,14 @@ def bucket(value: str, keys: list[str], tie: str, n: int) -> Column:
     return F.when(size >= n, F.greatest(at, F.lit(0)).cast("int"))
 
 
-def winsorise(df: DataFrame, value: str, keys: list[str], low: float = 0.01, high: float = 0.99, out: str | None = None) -> DataFrame:
-    """value held within its quantiles (linear interpolation) of each group, as column `out`."""
+def winsorise(df: DataFrame, value: str, keys: list[str], low: float = 0.01, high: float = 0.99, out: str | None = None, wide: bool = False) -> DataFrame:
+    """value held within its quantiles (linear interpolation) of each group, as column `out`. wide: groups may be of any
+    size; the quantiles then come from ranges of values, not from a buffer of each group's values."""
+    if wide:
+        from .ranges import quantiles, value_ranks
+
+        bounds = quantiles(value_ranks(df, value, keys), value, keys, __lo=low, __hi=high).drop("n")
+        return df.join(bounds, keys, "left").withColumn(out or value, clip(value, F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
     bounds = df.groupBy(*keys).agg(F.percentile(value, F.lit(low)).alias("__lo"), F.percentile(value, F.lit(high)).alias("__hi"))
     return df.join(bounds, keys).withColumn(out or value, clip(value, F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
 

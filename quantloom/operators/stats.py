@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import complete, ratio
 from .cross_section import avg_rank
 from .least_squares import fits
+from .ranges import average_rank, quantiles, value_ranks
 
 
 def corr(x: str, y: str) -> Column:
@@ -33,15 +33,13 @@ def rank_ic(df: DataFrame, score: str, ret: str, keys: list[str], min_names: int
 
 def pooled_rank_ic(df: DataFrame, score: str, ret: str, keys: list[str], min_obs: int = 30) -> DataFrame:
     """Spearman over all rows of each key, its t statistic, and how often the score lies above its median where the
-    return is above zero. Rows are counted by distinct pair first, so ranks come from windows over distinct values."""
+    return is above zero. Rows are counted by distinct pair first; ranks and the median come from ranges of distinct values,
+    so no task holds more of a key than its share of them."""
     pairs = df.where(complete(score, ret)).groupBy(*keys, F.col(score).alias("__s"), F.col(ret).alias("__r")).agg(F.count("*").alias("__c"))
-    median = pairs.groupBy(*keys).agg(F.percentile("__s", F.lit(0.5), F.col("__c")).alias("__m"))
-    ranked = pairs.join(median, keys)
-    for value, out in (("__s", "__x"), ("__r", "__y")):
-        upto = F.sum("__k").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-        counts = pairs.groupBy(*keys, value).agg(F.sum("__c").alias("__k"))
-        counts = counts.withColumn(out, upto - (F.col("__k") - 1).cast("double") / F.lit(2.0)).drop("__k")
-        ranked = ranked.join(counts, [*keys, value])
+    by_score, by_ret = value_ranks(pairs, "__s", keys, "__c"), value_ranks(pairs, "__r", keys, "__c")
+    ranked = pairs.join(quantiles(by_score, "__s", keys, __m=0.5).drop("n"), keys)
+    ranked = ranked.join(by_score.select(*keys, "__s", average_rank().alias("__x")), [*keys, "__s"])
+    ranked = ranked.join(by_ret.select(*keys, "__r", average_rank().alias("__y")), [*keys, "__r"])
     c, x, y = F.col("__c"), F.col("__x"), F.col("__y")
     n, sx, sy = F.sum(c), F.sum(c * x), F.sum(c * y)
     vx, vy = n * F.sum(c * x * x) - sx * sx, n * F.sum(c * y * y) - sy * sy

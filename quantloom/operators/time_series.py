@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions import ratio
+from .ranges import BLOCK, blocked, running
 
 
 def by(keys: list[str], order: str = "date") -> WindowSpec:
@@ -61,8 +62,14 @@ def growth(ret: str, keys: list[str], order: str = "date") -> Column:
     return F.product(1 + F.col(ret)).over(by(keys, order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def with_drawdown(df: DataFrame, ret: str, keys: list[str], order: str = "date") -> DataFrame:
-    """df with growth and drawdown from the highest growth so far (the first value is the first peak)."""
+def with_drawdown(df: DataFrame, ret: str, keys: list[str], order: str | list[str] = "date", wide: bool = False) -> DataFrame:
+    """df with growth and drawdown from the highest growth so far (the first value is the first peak). wide: series may be
+    of any length, and order several columns; growth is carried from block to block, and then the peak."""
+    if wide:
+        order = [order] if isinstance(order, str) else order
+        rows = blocked(df.withColumn("__g", 1 + F.col(ret)), keys, order)
+        rows = running(running(rows, keys, order, growth=("product", "__g")), keys, order, __peak=("max", "growth"))
+        return rows.withColumn("drawdown", ratio("growth", "__peak") - 1).drop("__g", "__peak", BLOCK)
     df = df.withColumn("growth", growth(ret, keys, order))
     peak = F.max("growth").over(by(keys, order).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("drawdown", ratio("growth", peak) - 1)
