@@ -85,7 +85,8 @@ def beta_neutral(legs: DataFrame, market: DataFrame, months: int = 36, low: floa
 
 def sector_neutral(panel: DataFrame, score: str, ret: str, cap: str, sector: str, n: int) -> DataFrame:
     """(date, gross, traded, n_sec): top less bottom bucket within each sector of at least n names, equal over sectors;
-    stock weights are +-w / sectors, and half of each leg's traded counts."""
+    stock weights are +-w / sectors; traded is the absolute change of all of them, on which costs are charged (each leg's
+    share of it is taken as a half)."""
     rows = bucketed(panel.where(F.col(sector).isNotNull()), score, ret, cap, n, ["date", sector]).where(F.col("bucket").isin(0, n - 1))
     rows = rows.withColumn("side", F.when(F.col("bucket") == 0, "bot").otherwise("top"))
     held = weights(rows, ["date", sector, "side"])
@@ -93,7 +94,7 @@ def sector_neutral(panel: DataFrame, score: str, ret: str, cap: str, sector: str
     held = held.withColumn("n_sec", n_sec).withColumn("w", ratio("w", "n_sec"))
     sign = F.when(F.col("side") == "top", F.col("w")).otherwise(-F.col("w"))
     gross = held.groupBy("date").agg(F.sum(sign * F.col(ret)).alias("gross"), F.max("n_sec").alias("n_sec"))
-    moves = traded(held, ["side"]).groupBy("date").agg((F.sum("traded") / 2).alias("traded"))
+    moves = traded(held, ["side"]).groupBy("date").agg(F.sum("traded").alias("traded"))
     return gross.join(moves, "date")
 
 

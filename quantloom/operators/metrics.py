@@ -32,3 +32,15 @@ def turnover(books: DataFrame, keys: list[str], per_year: int = 12) -> DataFrame
 
     rows = books.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy("date"))).where("__k > 1")
     return rows.groupBy(*keys).agg((F.avg("traded") / 2 * per_year).alias("turnover_pa"), F.avg("traded").alias("avg_traded"), F.count("*").alias("months"))
+
+
+def cost_table(books: DataFrame, market: DataFrame, costs_bps: list[float], keys: list[str], per_year: int = 12) -> DataFrame:
+    """For each series and cost a side: cagr, vol, sharpe and max_drawdown of the net returns, one-way turnover_pa over all
+    months, cost_drag a year, and alpha after costs (the gross intercept on market (date, mkt) less the drag) with beta."""
+    from .stats import capm
+
+    net = performance(net_returns(books, costs_bps), "net", [*keys, "cost_bps"], per_year)
+    moved = books.groupBy(*keys).agg((F.avg("traded") / 2 * per_year).alias("turnover_pa"))
+    model = capm(books.join(market, "date"), "gross", "mkt", keys, per_year=per_year).select(*keys, "beta", F.col("alpha").alias("__gross"))
+    rows = net.join(moved, keys).join(model, keys, "left").withColumn("cost_drag", F.col("turnover_pa") * 2 * F.col("cost_bps") / F.lit(10000.0))
+    return rows.withColumn("alpha", F.col("__gross") - F.col("cost_drag")).drop("__gross", "total", "hit")

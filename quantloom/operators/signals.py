@@ -79,18 +79,24 @@ def compounded_forward(panel: DataFrame, ret: str, h: int) -> DataFrame:
     return panel.withColumn(f"ret_{h}", out - 1)
 
 
-def trailing_ic(ics: DataFrame, anchors: DataFrame, months: int = 36, embargo: int = 1, least: int = 24) -> DataFrame:
-    """For each factor and anchor date t: mean, std and count of the ICs dated in [t - embargo - months, t - embargo);
-    factors are few and monthly series short, so the range join is on aggregates only."""
+def trailing_ic(ics: DataFrame, anchors: DataFrame, factors: list[str], months: int = 36, embargo: int = 1, least: int = 24) -> DataFrame:
+    """For each factor and anchor date t: mean, std and count of the ICs dated in [t - embargo - months, t - embargo), for
+    the anchors at which every factor has `least` of them. Factors are few and monthly series short, so the range join is
+    on aggregates only."""
     a = anchors.select(F.col("date").alias("anchor")).withColumn("stop", F.add_months("anchor", -embargo)).withColumn("start", F.add_months("anchor", -embargo - months))
-    rows = F.broadcast(a).join(ics, (F.col("date") >= F.col("start")) & (F.col("date") < F.col("stop")))
+    rows = F.broadcast(a).join(ics.where(F.col("factor").isin(factors)), (F.col("date") >= F.col("start")) & (F.col("date") < F.col("stop")))
     out = rows.groupBy("factor", "anchor").agg(F.count("ic").alias("n"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"))
-    return out.where(F.col("n") >= least)
+    all_ = Window.partitionBy("anchor")  # a row a factor
+    whole = out.withColumn("__least", F.min("n").over(all_)).withColumn("__factors", F.count("*").over(all_))
+    return whole.where((F.col("__least") >= least) & (F.col("__factors") == len(factors))).drop("__least", "__factors")
 
 
-def scheme_weights(stats: DataFrame, shrink: float = 0.5) -> DataFrame:
-    """Long (scheme, anchor, factor, weight) for ew, ic, ic_ir and t2: raw weights floored at zero and normalised; all
-    nonpositive gives equal weights; ic_ir and t2 are shrunk half way to equal."""
+def scheme_weights(stats: DataFrame, anchors: DataFrame, factors: list[str], shrink: float = 0.5) -> DataFrame:
+    """Long (scheme, anchor, factor, weight, has_history) for ew, ic, ic_ir and t2 at every anchor: raw weights floored at
+    zero and normalised; all nonpositive gives equal weights; ic_ir and t2 are shrunk half way to equal. Anchors that stats
+    (of `trailing_ic`) leaves out have equal weights in every scheme."""
+    grid = anchors.select(F.col("date").alias("anchor"), F.explode(F.array(*map(F.lit, factors))).alias("factor"))
+    stats = grid.join(stats, ["anchor", "factor"], "left").withColumn("has_history", F.col("n").isNotNull())
     ir = ratio("mean", "std")
     t = ir * F.sqrt("n")
     raw = F.array(
@@ -99,17 +105,18 @@ def scheme_weights(stats: DataFrame, shrink: float = 0.5) -> DataFrame:
         F.struct(F.lit("ic_ir").alias("scheme"), F.greatest(ir, F.lit(0.0)).alias("raw"), F.lit(shrink).alias("s")),
         F.struct(F.lit("t2").alias("scheme"), F.when(t > 0, t * t).otherwise(0.0).alias("raw"), F.lit(shrink).alias("s")),
     )
-    rows = stats.select("anchor", "factor", F.explode(raw).alias("e")).select("anchor", "factor", "e.*").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
+    rows = stats.select("anchor", "factor", "has_history", F.explode(raw).alias("e")).select("anchor", "factor", "has_history", "e.*").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
     w = Window.partitionBy("scheme", "anchor")
     equal = ratio(F.lit(1.0), F.count("*").over(w))
     own = F.coalesce(ratio("raw", F.sum("raw").over(w)), equal)
-    return rows.withColumn("weight", F.col("s") * equal + (1 - F.col("s")) * own).select("scheme", "anchor", "factor", "weight")
+    return rows.withColumn("weight", F.col("s") * equal + (1 - F.col("s")) * own).select("scheme", "anchor", "factor", "weight", "has_history")
 
 
-def weighted_composite(z: DataFrame, weights: DataFrame) -> DataFrame:
-    """(scheme, date, symbol, score) of long z (date, symbol, factor, z): weights of the date's anchor, renormalised over
-    the factors that a symbol has."""
-    rows = z.join(weights.withColumnRenamed("anchor", "date"), ["date", "factor"])
+def weighted_composite(z: DataFrame, weights: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(scheme, date, symbol, score) of long z (date, symbol, factor, z): an anchor's weights hold until the next anchor
+    (blocks: date, anchor), renormalised over the factors that a symbol has."""
+    held = blocks.select("date", "anchor").join(weights, "anchor").select("scheme", "date", "factor", "weight")
+    rows = z.join(held, ["date", "factor"])
     present = F.col("z").isNotNull()
     return rows.groupBy("scheme", "date", "symbol").agg(ratio(F.sum(F.col("z") * F.col("weight")), F.sum(F.when(present, F.col("weight")))).alias("score"))
 

@@ -67,8 +67,7 @@ def series(spark: SparkSession, d: str) -> DataFrame:
     return books.book_series(composite(spark, d), "score", "ret", "mcap", legs)
 
 
-COSTS = [0.0, 5.0, 10.0, 25.0]
-ALL_COSTS = [*COSTS, 50.0]
+COSTS = [0.0, 5.0, 10.0, 25.0, 50.0]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -320,10 +319,9 @@ def _ic_sql(source: str, keys: str, x: str = "score", y: str = "r", least: int =
     return f"rk as ({ranks})", f"ic as (select {keys}, count(*) as n, (count(*)*sum(rx*ry)-sum(rx)*sum(ry))/nullif(sqrt((count(*)*sum(rx*rx)-sum(rx)*sum(rx))*(count(*)*sum(ry*ry)-sum(ry)*sum(ry))),0) as ic from rk group by {keys} having count(*) >= {least})"
 
 
-_LAGS = 6
-_ALL_LAGS = 12
+_LAGS = 12
 
-for _name, _n in (("ic_decay", _LAGS), ("ic_decay_12", _ALL_LAGS)):
+for _name, _n in (("ic_decay", _LAGS), ("ic_decay_12", _LAGS)):
 
     @add(_name, _more(query(f"select cast(lag as integer) as lag, n, {sixed('mean', 'std', 'hit', 'ir', 't')} from (select {_STATS.format(k='lag')} from ic where ic is not null group by lag)", "comp"),
          "src as (" + " union all ".join(f"select {k} as lag, date, score, lead(ret, {k - 1}) over (partition by symbol order by date) as r from comp" for k in range(1, _n + 1)) + ")", *_ic_sql("src", "lag, date")))
@@ -467,7 +465,7 @@ def _bn(months: int) -> str:
     )
 
 
-for _name, _months in (("beta_neutral", 24), ("beta_neutral_36", 36)):
+for _name, _months in (("beta_neutral", 36), ("beta_neutral_36", 36)):
 
     @add(_name, _more(query(f"select date, {r6('scale')} as scale, {r6('long_leg-scale*short_leg')} as gross, {r6('top_traded+bot_traded*abs(coalesce(scale,1))')} as traded from bn2", "book", "mkt"), _bn(_months)))
     def _(s, d, months=_months):
@@ -479,7 +477,7 @@ _SN = (f"sb as (select *, {bucket('score', 'date, sector', 5)} as bk from comp j
        "sn as (select x.*, n_sec, 1.0::double/count(*) over (partition by x.date, sector, side)/n_sec as w from sx x join (select date, count(distinct sector) as n_sec from sx group by date) using (date))", "st as (" + traded("sn", "side") + ")")
 
 
-@add("sector_neutral", _more(query(f"select g.date, n_sec, {r6('gross')} as gross, {r6('tr')} as traded from (select date, sum(case when side = 'top' then w else -w end*ret) as gross, cast(max(n_sec) as integer) as n_sec from sn group by date) g join (select date, sum(traded)/2 as tr from st group by date) t using (date)", "comp", "sec"), *_SN))
+@add("sector_neutral", _more(query(f"select g.date, n_sec, {r6('gross')} as gross, {r6('tr')} as traded from (select date, sum(case when side = 'top' then w else -w end*ret) as gross, cast(max(n_sec) as integer) as n_sec from sn group by date) g join (select date, sum(traded) as tr from st group by date) t using (date)", "comp", "sec"), *_SN))
 def _(s, d):
     c = composite(s, d).join(sample.sectors(s, d), "symbol")
     return six(books.sector_neutral(c, "score", "ret", "mcap", "sector", 5), ["date", "n_sec"], "gross", "traded")
@@ -502,24 +500,35 @@ def _(s, d):
 
 
 # ---- metrics -----------------------------------------------------------------------------------------------------
-for _name, _costs, _net in (("net_returns", COSTS, "net"), ("net_returns_all_costs", ALL_COSTS, "net_all")):
+for _name in ("net_returns", "net_returns_all_costs"):
 
-    @add(_name, query(f"select series, date, cost_bps, {r6('net')} as net from {_net}", _net))
-    def _(s, d, costs=_costs):
-        return six(metrics.net_returns(series(s, d), costs), ["series", "date", "cost_bps"], "net")
+    @add(_name, query(f"select series, date, cost_bps, {r6('net')} as net from net", "net"))
+    def _(s, d):
+        return six(metrics.net_returns(series(s, d), COSTS), ["series", "date", "cost_bps"], "net")
 
 
-def _net_dd(net: str) -> tuple[str, str]:
-    return f"src as (select series || ':' || cast(cast(cost_bps as integer) as varchar) as sid, series, cost_bps, date, net as x from {net})", _DD.format(k="sid")
+_NETP = ("src as (select series || ':' || cast(cast(cost_bps as integer) as varchar) as sid, series, cost_bps, date, net as x from net)", _DD.format(k="sid"))
 
 
-_NETP = _net_dd("net")
+@add("cost_sensitivity_all_costs", _more(query(f"select series, cost_bps, n, {sixed('cagr', 'vol', 'sharpe')} from (select {_PERF.format(k='series, cost_bps')} from dds group by series, cost_bps)", "net"), *_NETP))
+def _(s, d):
+    return six(metrics.performance(metrics.net_returns(series(s, d), COSTS), "net", ["series", "cost_bps"]), ["series", "cost_bps", "n"], "cagr", "vol", "sharpe")
+
 
-for _name, _costs, _net in (("cost_sensitivity", COSTS, "net"), ("cost_sensitivity_all_costs", ALL_COSTS, "net_all")):
+_COST = ("cagr", "vol", "sharpe", "max_drawdown", "turnover_pa", "cost_drag", "alpha", "beta")
+_COST_SQL = (
+    f"pm as (select {_PERF.format(k='series, cost_bps')} from dds group by series, cost_bps)",
+    "mv as (select series, avg(traded)*6 as turnover_pa from ser group by series)",
+    "cp as (select series, case when count(*) >= 12 then regr_slope(gross, m.ret) end as beta, case when count(*) >= 12 then regr_intercept(gross, m.ret)*12 end as gross_alpha "
+    "from ser join mkt m using (date) where gross is not null and m.ret is not null group by series)",
+    "ct as (select pm.*, turnover_pa, turnover_pa*2*cost_bps/10000 as cost_drag, gross_alpha - turnover_pa*2*cost_bps/10000 as alpha, beta from pm join mv using (series) left join cp using (series))",
+)
 
-    @add(_name, _more(query(f"select series, cost_bps, n, {sixed('cagr', 'vol', 'sharpe')} from (select {_PERF.format(k='series, cost_bps')} from dds group by series, cost_bps)", _net), *_net_dd(_net)))
-    def _(s, d, costs=_costs):
-        return six(metrics.performance(metrics.net_returns(series(s, d), costs), "net", ["series", "cost_bps"]), ["series", "cost_bps", "n"], "cagr", "vol", "sharpe")
+
+@add("cost_sensitivity", _more(query(f"select series, cost_bps, n, {sixed(*_COST)} from ct", "net", "mkt"), *_NETP, *_COST_SQL))
+def _(s, d):
+    market = books.universe_return(sample.labelled(s, d), "ret", "mcap").withColumnRenamed("ret", "mkt")
+    return six(metrics.cost_table(series(s, d), market, COSTS, ["series"]), ["series", "cost_bps", "n"], *_COST)
 
 
 @add("perf_metrics", _more(query(f"select series, n, {sixed(*_PCOLS)} from (select {_PERF.format(k='series')} from dds where cost_bps = 10 group by series)", "net"), *_NETP))
@@ -570,16 +579,36 @@ def _(s, d):
 
 # ---- adaptive weights --------------------------------------------------------------------------------------------
 _AN = "an as (select date as anchor, block from (select date, min(date) over (partition by block) as first, block from (select date, (dense_rank() over (order by date)-1)//3 as block from (select distinct date from lab))) where date = first)"
-_TR = "tr as (select factor, anchor, count(ic) as n, avg(ic) as mean, stddev_samp(ic) as std from an join ics on ics.date >= cast(anchor - interval 37 month as date) and ics.date < cast(anchor - interval 1 month as date) group by factor, anchor having count(ic) >= 24)"
-_SW = "sr as (select anchor, factor, unnest([{'k': 'ew', 'raw': 1.0::double, 's': 0.0::double}, {'k': 'ic', 'raw': greatest(mean, 0), 's': 0.0::double}, {'k': 'ic_ir', 'raw': greatest(mean/nullif(std,0), 0), 's': 0.5::double}, {'k': 't2', 'raw': case when mean/nullif(std,0) > 0 then pow(mean/nullif(std,0)*sqrt(n), 2) else 0 end, 's': 0.5::double}]) as e from tr), sw as (select e.k as scheme, anchor, factor, e.s/count(*) over v + (1-e.s)*coalesce(coalesce(e.raw,0)/nullif(sum(coalesce(e.raw,0)) over v,0), 1.0::double/count(*) over v) as weight from sr window v as (partition by e.k, anchor))"
+_TR = (
+    "t0 as (select factor, anchor, count(ic) as n, avg(ic) as mean, stddev_samp(ic) as std from an join ics on ics.date >= cast(anchor - interval 37 month as date) "
+    "and ics.date < cast(anchor - interval 1 month as date) group by factor, anchor), "
+    f"tr as (select t0.* from t0 join (select anchor from t0 group by anchor having min(n) >= 24 and count(*) = {len(FACTORS)}) using (anchor))"
+)
+_SW = (
+    f"gr as (select anchor, factor, mean, std, n from an cross join (values {', '.join(f"('{f}')" for f in FACTORS)}) v(factor) left join tr using (anchor, factor)), "
+    "sr as (select anchor, factor, n is not null as has_history, unnest([{'k': 'ew', 'raw': 1.0::double, 's': 0.0::double}, {'k': 'ic', 'raw': greatest(mean, 0), 's': 0.0::double}, "
+    "{'k': 'ic_ir', 'raw': greatest(mean/nullif(std,0), 0), 's': 0.5::double}, "
+    "{'k': 't2', 'raw': case when mean/nullif(std,0) > 0 then pow(mean/nullif(std,0)*sqrt(n), 2) else 0 end, 's': 0.5::double}]) as e from gr), "
+    "sw as (select e.k as scheme, anchor, factor, has_history, e.s/count(*) over v + (1-e.s)*coalesce(coalesce(e.raw,0)/nullif(sum(coalesce(e.raw,0)) over v,0), 1.0::double/count(*) over v) as weight "
+    "from sr window v as (partition by e.k, anchor))"
+)
+_BLOCKS = "bl as (select date, max(anchor) as anchor from (select distinct date from lab) join an on anchor <= date group by date)"
+
+
+def _blocks(s: SparkSession, d: str) -> DataFrame:
+    return signals.rebalance_blocks(sample.labelled(s, d).select("date"))
 
 
 def _anchors(s: SparkSession, d: str) -> DataFrame:
-    return signals.rebalance_blocks(sample.labelled(s, d).select("date")).where("date = anchor").select("date")
+    return _blocks(s, d).where("date = anchor").select("date")
 
 
 def _trailing(s: SparkSession, d: str) -> DataFrame:
-    return signals.trailing_ic(monthly_ic(s, d), _anchors(s, d))
+    return signals.trailing_ic(monthly_ic(s, d), _anchors(s, d), FACTORS)
+
+
+def _weights(s: SparkSession, d: str) -> DataFrame:
+    return signals.scheme_weights(_trailing(s, d), _anchors(s, d), FACTORS)
 
 
 @add("trailing_ic_stats", _more(query(f"select factor, anchor, n, {sixed('mean', 'std')} from tr", "ics"), _AN, _TR))
@@ -587,21 +616,34 @@ def _(s, d):
     return six(_trailing(s, d), ["factor", "anchor", "n"], "mean", "std")
 
 
-@add("scheme_weights", _more(query(f"select scheme, anchor, factor, {r6('weight')} as weight from sw", "ics"), _AN, _TR, _SW))
+@add("scheme_weights", _more(query(f"select scheme, anchor, factor, has_history, {r6('weight')} as weight from sw", "ics"), _AN, _TR, _SW))
 def _(s, d):
-    return six(signals.scheme_weights(_trailing(s, d)), ["scheme", "anchor", "factor"], "weight")
+    return six(_weights(s, d), ["scheme", "anchor", "factor", "has_history"], "weight")
+
+
+_LONG_Z = " union all ".join(f"select date, symbol, '{f}' as factor, z_{f} as z from zed" for f in FACTORS)
 
 
-@add("weighted_composite", _more(query(f"select scheme, date, symbol, {r6('sum(z*weight)/nullif(sum(case when z is not null then weight end),0)')} as score from (" + " union all ".join(f"select date, symbol, '{f}' as factor, z_{f} as z from zed" for f in FACTORS) + ") z join sw on z.date = sw.anchor and z.factor = sw.factor group by scheme, date, symbol", "ics", "zed"), _AN, _TR, _SW))
+@add(
+    "weighted_composite",
+    _more(
+        query(
+            f"select scheme, z.date, symbol, {r6('sum(z*weight)/nullif(sum(case when z is not null then weight end),0)')} as score "
+            f"from ({_LONG_Z}) z join bl using (date) join sw on bl.anchor = sw.anchor and z.factor = sw.factor group by scheme, z.date, symbol",
+            "ics", "zed",
+        ),
+        _AN, _TR, _SW, _BLOCKS,
+    ),
+)
 def _(s, d):
     z = sample.labelled(s, d).withColumns({f"z_{f}": cross_section.zscore(f, ["date"], 1) for f in FACTORS})
     z = z.select("date", "symbol", F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f"z_{f}").alias("z")) for f in FACTORS))).alias("e")).select("date", "symbol", "e.factor", "e.z")
-    return six(signals.weighted_composite(z, signals.scheme_weights(_trailing(s, d))), ["scheme", "date", "symbol"], "score")
+    return six(signals.weighted_composite(z, _weights(s, d), _blocks(s, d)), ["scheme", "date", "symbol"], "score")
 
 
-@add("oos_start", _more(query("select max(first) as start from (select scheme, min(anchor) as first from sw group by scheme)", "ics"), _AN, _TR, _SW))
+@add("oos_start", _more(query("select max(first) as start from (select scheme, min(anchor) as first from sw where has_history group by scheme)", "ics"), _AN, _TR, _SW))
 def _(s, d):
-    first = signals.scheme_weights(_trailing(s, d)).groupBy("scheme").agg(F.min("anchor").alias("first"))
+    first = _weights(s, d).where("has_history").groupBy("scheme").agg(F.min("anchor").alias("first"))
     return first.agg(F.max("first").alias("start"))
 
 

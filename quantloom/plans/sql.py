@@ -67,8 +67,7 @@ CTES["dt"] = (traded("dw"), ["dw"])
 CTES["qbook"] = ("select g.date, gross, names, traded from (select date, sum(w*ret) as gross, count(*) as names from qw group by date) g join qt using (date)", ["qw", "qt"])
 CTES["dbook"] = ("select g.date, gross, names, traded from (select date, sum(w*ret) as gross, count(*) as names from dw group by date) g join dt using (date)", ["dw", "dt"])
 CTES["ser"] = ("select 'top_quintile_cw' as series, date, gross, traded from qbook union all select 'top_decile_ew', date, gross, traded from dbook union all select 'ls_quintile_ew', date, gross, traded from book", ["qbook", "dbook", "book"])
-CTES["net"] = ("select series, date, gross, traded, cost as cost_bps, gross-traded*cost/cast(10000 as double) as net from ser, (select unnest([cast(0 as double), cast(5 as double), cast(10 as double), cast(25 as double)]) as cost)", ["ser"])
-CTES["net_all"] = ("select series, date, gross, traded, cost as cost_bps, gross-traded*cost/cast(10000 as double) as net from ser, (select unnest([cast(0 as double), cast(5 as double), cast(10 as double), cast(25 as double), cast(50 as double)]) as cost)", ["ser"])
+CTES["net"] = ("select series, date, gross, traded, cost as cost_bps, gross-traded*cost/cast(10000 as double) as net from ser, (select unnest([0.0::double, 5, 10, 25, 50]) as cost)", ["ser"])
 
 
 def query(body: str, *need: str) -> str:

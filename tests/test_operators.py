@@ -192,20 +192,62 @@ def test_sector_neutral_drops_small_cells(spark):
     rows = [(month(0), f"s{i}", "small", float(i), 0.1, 1.0) for i in range(4)] + [(month(0), f"t{i}", "big", float(i), 0.1 * i, 1.0) for i in range(6)]
     df = spark.createDataFrame(rows, "date date, symbol string, sector string, score double, ret double, cap double")
     got = books.sector_neutral(df, "score", "ret", "cap", "sector", 5).collect()
-    assert len(got) == 1 and got[0].n_sec == 1 and got[0].traded == pytest.approx(1.0) and got[0].gross == pytest.approx(0.5 - 0.05)
+    assert len(got) == 1 and got[0].n_sec == 1 and got[0].traded == pytest.approx(2.0) and got[0].gross == pytest.approx(0.5 - 0.05)  # both legs are bought whole
 
 
 def test_trailing_window_clamps_month_ends(spark):
     ics = spark.createDataFrame([("f", month(i), 0.01 * i) for i in range(31)], "factor string, date date, ic double")
-    got = signals.trailing_ic(ics, ics.select("date")).orderBy("anchor").collect()
+    got = signals.trailing_ic(ics, ics.select("date"), ["f"]).orderBy("anchor").collect()
     assert got[0].anchor == D("2012-02-29") and got[0].n == 24
     row = next(r for r in got if r.anchor == D("2012-04-30"))
     assert row.n == sum(D("2009-03-30") <= month(i) < D("2012-03-30") for i in range(31))
+    # A second factor that starts later, or is missing, keeps the anchors without history.
+    late = ics.unionByName(ics.where("date >= '2010-05-01'").withColumn("factor", F.lit("g")))
+    both = signals.trailing_ic(late, ics.select("date"), ["f", "g"]).groupBy("anchor").count().orderBy("anchor").collect()
+    assert both[0]["count"] == 2 and both[0].anchor > got[0].anchor
+    assert signals.trailing_ic(ics, ics.select("date"), ["f", "never"]).count() == 0
+
+
+def test_weights_hold_from_anchor_to_anchor_and_start_equal(spark):
+    """Worked by hand: seven months, anchors every third; only the second anchor has a history."""
+    dates = spark.createDataFrame([(month(i),) for i in range(7)], "date date")
+    blocks = signals.rebalance_blocks(dates)
+    anchors = blocks.where("date = anchor").select("date")
+    s = spark.createDataFrame([(month(3), "a", 24, 0.3, 1.0), (month(3), "b", 24, 0.1, 1.0)], "anchor date, factor string, n int, mean double, std double")
+    w = signals.scheme_weights(s, anchors, ["a", "b"])
+    assert {(r.anchor, r.has_history) for r in w.collect()} == {(month(0), False), (month(3), True), (month(6), False)}
+    z = dates.select("date", F.lit("x").alias("symbol"), F.explode(F.array(F.struct(F.lit("a").alias("factor"), F.lit(1.0).alias("z")), F.struct(F.lit("b").alias("factor"), F.lit(-1.0).alias("z")))).alias("e")).select("date", "symbol", "e.*")
+    z = z.unionByName(dates.select("date", F.lit("y").alias("symbol"), F.lit("a").alias("factor"), F.lit(2.0).alias("z")))
+    got = {(r.scheme, r.date, r.symbol): r.score for r in signals.weighted_composite(z, w, blocks).collect()}
+    assert len(got) == 4 * 7 * 2
+    for i in range(7):
+        assert got["ew", month(i), "x"] == pytest.approx(0.0) and got["ic", month(i), "y"] == pytest.approx(2.0)
+        assert got["ic", month(i), "x"] == pytest.approx(0.75 - 0.25 if i in (3, 4, 5) else 0.0)
+        assert got["ic_ir", month(i), "x"] == pytest.approx(0.25 if i in (3, 4, 5) else 0.0)
+
+
+def test_cost_table_by_hand(spark):
+    from quantloom.operators import metrics
+
+    rows = [("s", month(i), 0.01 * (-1) ** i + 0.002, 1.0 + 0.5 * (i == 0)) for i in range(12)]
+    market = spark.createDataFrame([(month(i), 0.01 * (-1) ** i) for i in range(12)], "date date, mkt double")
+    got = {r.cost_bps: r for r in metrics.cost_table(spark.createDataFrame(rows, "series string, date date, gross double, traded double"), market, [0.0, 50.0], ["series"]).collect()}
+    moved = (1.5 + 11) / 12
+    for bps, r in got.items():
+        assert r.turnover_pa == pytest.approx(moved * 6) and r.cost_drag == pytest.approx(moved * 12 * bps / 10000)
+        assert r.beta == pytest.approx(1.0) and r.alpha == pytest.approx(0.024 - r.cost_drag)
+        net = [g - t * bps / 10000 for _, _, g, t in rows]
+        level, peak, worst = 1.0, 0.0, 0.0
+        for x in net:
+            level *= 1 + x
+            peak = max(peak, level)
+            worst = min(worst, level / peak - 1)
+        assert r.max_drawdown == pytest.approx(worst) and r.cagr == pytest.approx(level - 1)
 
 
 def test_scheme_weights(spark):
     s = spark.createDataFrame([(D("2012-01-31"), f, 36, m, 1.0) for f, m in (("a", 0.3), ("b", 0.1), ("c", -0.2))] + [(D("2012-02-29"), f, 36, -0.1, 1.0) for f in "abc"], "anchor date, factor string, n int, mean double, std double")
-    w = {(r.scheme, str(r.anchor), r.factor): r.weight for r in signals.scheme_weights(s).collect()}
+    w = {(r.scheme, str(r.anchor), r.factor): r.weight for r in signals.scheme_weights(s, s.select(F.col("anchor").alias("date")).distinct(), [*"abc"]).collect()}
     assert [w["ic", "2012-01-31", f] for f in "abc"] == pytest.approx([0.75, 0.25, 0.0])
     assert [w["ic_ir", "2012-01-31", f] for f in "abc"] == pytest.approx([0.375 + 1 / 6, 0.125 + 1 / 6, 1 / 6])
     assert all(w[k, "2012-02-29", f] == pytest.approx(1 / 3) for k in ("ew", "ic", "ic_ir", "t2") for f in "abc")
@@ -317,9 +359,9 @@ def test_walk_forward_queries_cover_every_fold(spark):
 
 def test_every_lag_and_cost_of_the_reference(spark):
     d = "/root/testdata/sf0.001"
-    assert {r.lag for r in plans.QUERIES["ic_decay_12"](spark, "/root/testdata/sf0.01").collect()} == set(range(1, 13))
-    assert {r.cost_bps for r in plans.QUERIES["net_returns_all_costs"](spark, d).collect()} == {0.0, 5.0, 10.0, 25.0, 50.0}
-    assert {r.cost_bps for r in plans.QUERIES["cost_sensitivity_all_costs"](spark, d).collect()} == {0.0, 5.0, 10.0, 25.0, 50.0}
+    assert {r.lag for r in plans.QUERIES["ic_decay"](spark, "/root/testdata/sf0.01").collect()} == set(range(1, 13))
+    assert {r.cost_bps for r in plans.QUERIES["net_returns"](spark, d).collect()} == {0.0, 5.0, 10.0, 25.0, 50.0}
+    assert {r.cost_bps for r in plans.QUERIES["cost_sensitivity"](spark, d).collect()} == {0.0, 5.0, 10.0, 25.0, 50.0}
 
 
 def test_scalars_and_sources(spark, tmp_path):
