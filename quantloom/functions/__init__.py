@@ -1,5 +1,5 @@
 """Column functions."""
 
-from .numeric import clip, complete, nan_to_null, ratio, row_mean, row_weighted_mean, rounded
+from .numeric import clip, complete, nan_to_null, quoted, ratio, row_mean, row_weighted_mean, rounded
 
-__all__ = ["clip", "complete", "nan_to_null", "ratio", "row_mean", "row_weighted_mean", "rounded"]
+__all__ = ["clip", "complete", "nan_to_null", "quoted", "ratio", "row_mean", "row_weighted_mean", "rounded"]

@@ -59,3 +59,8 @@ def complete(*cols: str | Column) -> Column:
     for c in cols:
         out = out & _col(c).isNotNull()
     return out
+
+
+def quoted(name: str) -> str:
+    """A column's name for use in SQL text."""
+    return "`" + name.replace("`", "``") + "`"

@@ -12,29 +12,38 @@ from .cross_section import keep_first
 from .ranges import blocked, running
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str, take: list[str], tie: list[str] | None = None, within_days: int | None = None, wide: bool = False) -> DataFrame:
-    """Backward as-of join: each left row with the newest right row of its key at or before `on`.
-
-    take: right columns to bring (the row is taken whole: a null in it is not filled from an older row). tie: right
-    columns that order rows with equal times, the last wins. within_days: older matches count as none. `right_on` comes
-    along as a column. Both times are compared as timestamps. wide: keys may have any number of rows, left and right, at one
-    time too; costs a checkpoint."""
+def stream(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str, take: list[str], tie: list[str] | None = None) -> DataFrame:
+    """Both sides of an as-of join as one table: by, __t, __side (0 right, 1 left), __l, __r. It may be stored by key."""
     right = keep_first(right, [*by, right_on], *(F.desc(c) for c in tie)) if tie else right
     l_cols = [c for c in left.columns if c not in by]
     payload = F.struct(F.col(right_on), *(F.col(c) for c in take if c != right_on))
     l_side = left.select(*by, F.col(on).cast("timestamp").alias("__t"), F.lit(1).alias("__side"), F.struct(*l_cols).alias("__l"), F.lit(None).alias("__r"))
     r_side = right.where(F.col(right_on).isNotNull()).select(*by, F.col(right_on).cast("timestamp").alias("__t"), F.lit(0).alias("__side"), F.lit(None).alias("__l"), payload.alias("__r"))
+    return l_side.unionByName(r_side)
+
+
+def carried(rows: DataFrame, by: list[str], right_on: str, within_days: int | None = None, wide: bool = False) -> DataFrame:
+    """The left rows of a stream with their right rows, right_on first."""
+    l_cols, take = (rows.schema[c].dataType.names for c in ("__l", "__r"))
     if wide:
         # Left rows of one time are told apart by a hash, so that they need not lie in one block.
-        rows = l_side.unionByName(r_side).withColumn("__salt", F.when(F.col("__side") == 1, F.xxhash64("__l")).otherwise(0))
+        rows = rows.withColumn("__salt", F.when(F.col("__side") == 1, F.xxhash64("__l")).otherwise(0))
         order = ["__t", "__side", "__salt"]
         rows = running(blocked(rows, by, order), by, order, __r=("last", "__r")).where("__side = 1")
     else:
         w = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-        rows = l_side.unionByName(r_side).withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
-    r = F.col("__r")
+        rows = rows.withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
     if within_days is not None:
-        r = F.when(F.datediff(F.col("__t"), F.col(f"__r.{right_on}")) <= within_days, r)
-        rows = rows.withColumn("__r", r)
-    bring: list[Column] = [F.col(f"__r.{c}").alias(c) for c in dict.fromkeys([right_on, *take])]
+        rows = rows.withColumn("__r", F.when(F.datediff(F.col("__t"), F.col(f"__r.{right_on}")) <= within_days, F.col("__r")))
+    bring: list[Column] = [F.col(f"__r.{c}").alias(c) for c in take]
     return rows.select(*by, *(F.col(f"__l.{c}").alias(c) for c in l_cols), *bring)
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str, take: list[str], tie: list[str] | None = None, within_days: int | None = None, wide: bool = False) -> DataFrame:
+    """Backward as-of join: each left row with the newest right row of its key at or before `on`.
+
+    take: right columns to bring (the row is taken whole: a null in it is not filled from an older row). tie: right
+    columns that order rows with equal times, the last wins. within_days: older matches count as none. `right_on` comes
+    along as a column. Both times are compared as timestamps. wide: keys may have any number of rows, left and right, at one
+    time too; costs a checkpoint."""
+    return carried(stream(left, right, by, on, right_on, take, tie), by, right_on, within_days, wide)

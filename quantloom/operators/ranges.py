@@ -13,13 +13,12 @@ as `value_ranks` does."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import shared_dir
+
 BLOCK = "__block"
 
 
@@ -27,10 +26,7 @@ def fixed(df: DataFrame) -> DataFrame:
     """df checkpointed below spark.checkpoint.dir; a session on one machine may leave that unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(found or f"{tempfile.gettempdir()}/quantloom-{context.applicationId}")
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

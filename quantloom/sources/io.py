@@ -40,11 +40,19 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def compute_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table at path, built and written first if no finished write is there."""
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+def compute_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], inputs: list[DataFrame] | None = None) -> DataFrame:
+    """The table at path, built and written first if no finished write is there, or if the files of inputs have changed
+    since. (store.stored keeps versions apart and buckets them.)"""
+    from .store import fingerprint
+
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = ["_SUCCESS", *([f"_made_from_{fingerprint(inputs)}"] if inputs else [])]
+    where = [spark._jvm.org.apache.hadoop.fs.Path(folder, m) for m in marks]
+    if not all(fs.exists(w) for w in where):
         build().write.mode("overwrite").parquet(path)
+        for w in where[1:]:
+            fs.create(w, True).close()
     return spark.read.parquet(path)
 
 
