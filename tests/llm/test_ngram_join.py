@@ -82,7 +82,7 @@ def test_keep_one_keeps_columns_and_one_of_each_group(spark):
     assert kept.columns == docs.columns
     want = {d for d, _, c in brute(rows, 5, 80) if d == c}
     got = [r.doc_id if r.doc_id is not None else -1 for r in kept.collect()]
-    assert set(got) == want  # the row without doc_id holds a copy
+    assert set(got) == want - {-1}  # the row without doc_id holds a copy
 
 
 @given(st.lists(st.lists(st.integers(0, 14), min_size=1, max_size=10, unique=True), min_size=2, max_size=14), st.sampled_from([50, 80, 90]), st.integers(0, 3))
