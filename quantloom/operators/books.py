@@ -120,6 +120,23 @@ def name_turnover(panel: DataFrame, score: str, ret: str, cap: str, n: int) -> D
     return later.groupBy("fractile").agg((F.avg("traded") / 2).alias("turnover"))
 
 
+def fractile_screen(long: DataFrame, score: str, ret: str, keys: list[str], n: int = 10, per_year: int = 12) -> DataFrame:
+    """(keys, act_top, act_bot, act_ls, te_top, te_bot, ir_top, ir_bot, succ_top, succ_bot, turn_top, turn_bot): the outer
+    fractiles against all names, by key. A book of a factor and side is one series of weights in one plan."""
+    rows = long.where(complete(score, ret)).withColumn("__b", bucket(score, [*keys, "date"], "symbol", n))
+    end = lambda b: F.avg(F.when(F.col("__b") == b, F.col(ret)))
+    legs = rows.where(F.col("__b").isNotNull()).groupBy(*keys, "date").agg(F.avg(ret).alias("__all"), end(n - 1).alias("__top"), end(0).alias("__bot"))
+    legs = legs.select(*keys, *((F.col(f"__{k}") - F.col("__all")).alias(k) for k in ("top", "bot")), (F.col("__top") - F.col("__bot")).alias("ls"))
+    year, root = F.lit(float(per_year)), F.sqrt(F.lit(float(per_year)))
+    aggs = [(F.avg(k) * year).alias(f"act_{k}") for k in ("top", "bot", "ls")] + [(F.stddev_samp(k) * root).alias(f"te_{k}") for k in ("top", "bot")]
+    aggs += [(ratio(F.avg(k), F.stddev_samp(k)) * root).alias(f"ir_{k}") for k in ("top", "bot")] + [F.avg(F.when(F.col(k) > 0, 1.0).when(F.col(k).isNotNull(), 0.0)).alias(f"succ_{k}") for k in ("top", "bot")]
+    outer = rows.where(F.col("__b").isin(0, n - 1)).withColumn("side", F.when(F.col("__b") == 0, "bot").otherwise("top"))
+    own = [*keys, "side"]
+    moves = traded(weights(outer, [*own, "date"]), own).withColumn("__k", F.row_number().over(Window.partitionBy(*own).orderBy("date"))).where("__k > 1")
+    turn = moves.groupBy(*keys).agg(*((F.avg(F.when(F.col("side") == k, F.col("traded"))) / 2).alias(f"turn_{k}") for k in ("top", "bot")))
+    return legs.groupBy(*keys).agg(*aggs).join(turn, keys, "left")
+
+
 def fractile_report(panel: DataFrame, score: str, ret: str, cap: str, n: int, cap_weighted: bool, keys: list[str], per_year: int = 12) -> DataFrame:
     """(keys, row, n, total, active, te, ir, t, success, vol, sharpe, beta, alpha, turnover) for the fractiles (Q or D, 1
     the highest scores), the spread of first and last, and the market of all names. Fractiles are held against the

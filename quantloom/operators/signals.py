@@ -22,21 +22,25 @@ def price_factors(panel: DataFrame, price: str = "price") -> DataFrame:
 
 def revisions(actions: DataFrame, grid: DataFrame, spans: dict[str, int], breadth_days: int) -> DataFrame:
     """For every symbol and grid date d: upgrades less downgrades in (d - span, d] for each span, and breadth = (up -
-    down) / (up + down) over breadth_days. Null before the symbol's first action of any kind. Each event is paired only
-    with the grid dates whose widest window it lies in."""
-    first = actions.groupBy("symbol").agg(F.min("date").alias("first"))
-    widest = max([*spans.values(), breadth_days])
-    days = F.explode(F.sequence("date", F.date_add("date", widest - 1)))  # the days that the event reaches
-    reached = actions.where(F.col("action").isin("upgrade", "downgrade") & F.col("date").isNotNull()).select("symbol", F.col("date").alias("at"), "action", days.alias("day"))
-    reached = reached.withColumnRenamed("day", "date").join(F.broadcast(grid.select("date")), "date")
-    rows = first.crossJoin(F.broadcast(grid)).join(reached, ["symbol", "date"], "left")
-    signed = F.when(F.col("action") == "upgrade", 1).when(F.col("action") == "downgrade", -1)
-    inside = lambda days: (F.col("at") <= F.col("date")) & (F.col("at") > F.date_sub("date", days))
-    aggs = [F.coalesce(F.sum(F.when(inside(n), signed)), F.lit(0)).alias(name) for name, n in spans.items()]
-    wide = inside(breadth_days)
-    out = rows.groupBy("symbol", "date", "first").agg(*aggs, F.sum(F.when(wide, signed)).alias("__net"), F.sum(F.when(wide, F.abs(signed))).alias("__all"))
-    seen = F.col("date") >= F.col("first")
-    return out.select("symbol", "date", *(F.when(seen, F.col(n)).alias(n) for n in spans), F.when(seen, ratio("__net", "__all")).alias("breadth"))
+    down) / (up + down) over breadth_days. Null before the symbol's first action of any kind.
+
+    A span's count is a difference of two running sums, up to d and up to d - span, which windows from the beginning give
+    in one pass; so an event is one row however many dates it reaches, and the plan holds a row for each day with events
+    and each grid date of a symbol. The grid has a row a period."""
+    day = F.datediff("date", F.lit("1970-01-01"))
+    signed = F.when(F.col("action") == "upgrade", 1).when(F.col("action") == "downgrade", -1).otherwise(0)
+    events = actions.where(F.col("date").isNotNull()).groupBy("symbol", "date").agg(F.sum(signed).alias("__net"), F.sum(F.abs(signed)).alias("__all"))
+    empty = F.lit(None).cast("long")
+    dates = events.select("symbol").distinct().crossJoin(F.broadcast(grid.select("date").distinct())).select("symbol", "date", empty.alias("__net"), empty.alias("__all"), F.lit(True).alias("__grid"))
+    rows = events.withColumn("__grid", F.lit(False)).unionByName(dates).withColumn("__day", day)
+    to = lambda end: Window.partitionBy("symbol").orderBy("__day").rangeBetween(Window.unboundedPreceding, end)
+    within = lambda c, n: F.coalesce(F.sum(c).over(to(0)), F.lit(0)) - F.coalesce(F.sum(c).over(to(-n)), F.lit(0))
+    found = rows.withColumns(
+        {name: within("__net", n) for name, n in spans.items()}
+        | {"__wide": within("__net", breadth_days), "__both": within("__all", breadth_days), "__seen": F.max(~F.col("__grid")).over(to(0))}
+    ).where("__grid")
+    seen = F.col("__seen")
+    return found.select("symbol", "date", *(F.when(seen, F.col(n)).alias(n) for n in spans), F.when(seen, ratio("__wide", "__both")).alias("breadth"))
 
 
 def family_composites(panel: DataFrame, families: dict[str, list[str]], keys: list[str]) -> DataFrame:
@@ -52,6 +56,24 @@ def family_composites(panel: DataFrame, families: dict[str, list[str]], keys: li
     return scores.withColumn("score", pct_rank("mean_rank", [*keys, "family"]))
 
 
+def factor_scores(panel: DataFrame, families: dict[str, list[str]], alone: dict[str, tuple[str, bool]], keys: list[str]) -> DataFrame:
+    """Long (keys, symbol, name, value): every component's winsorised rank as `<component>_rk`, every family's composite
+    under its name (as family_composites has it), and each name in alone -> (component, again): the component's rank, ranked
+    once more if again. All components are ranked in one plan; a composite's parts are found by an equi-join on a table of
+    names."""
+    components = sorted({c for cs in families.values() for c in cs} | {c for c, _ in alone.values()})
+    by = [*keys, "component"]
+    long = winsorise(panel.unpivot([*keys, "symbol"], components, "component", "value"), "value", by)
+    ranks = long.select(*keys, "symbol", "component", pct_rank("value", by).alias("rank"))
+    parts = [(f, c, True) for f, cs in families.items() for c in cs] + [(f, c, again) for f, (c, again) in alone.items()]
+    table = F.array(*(F.struct(F.lit(f).alias("name"), F.lit(c).alias("component"), F.lit(again).alias("again")) for f, c, again in parts))
+    named = ranks.join(F.broadcast(panel.sparkSession.range(1).select(F.explode(table).alias("m")).select("m.*")), "component")
+    means = named.groupBy(*keys, "symbol", "name", "again").agg(rounded(F.avg("rank"), 10).alias("mean"))
+    whole = means.withColumn("value", F.when(F.col("again"), pct_rank("mean", [*keys, "name"])).otherwise(F.col("mean")))
+    single = ranks.select(*keys, "symbol", F.concat("component", F.lit("_rk")).alias("name"), F.col("rank").alias("value"))
+    return single.unionByName(whole.select(*keys, "symbol", "name", "value"))
+
+
 def z_composite(panel: DataFrame, columns: list[str], keys: list[str], out: str = "score", digits: int = 8) -> DataFrame:
     """panel with the mean of the columns' z-scores (ddof 1) over those present, rounded so that ties are ties."""
     from ..functions import row_mean

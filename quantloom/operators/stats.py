@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +53,36 @@ def pooled_rank_ic(df: DataFrame, score: str, ret: str, keys: list[str], min_obs
     return out.withColumn("t", ratio(F.col("ic") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("ic") * F.col("ic"))))
 
 
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, n, cov, corr) of every two columns, a before b in the list, over the rows complete in both. A task reduces its
+    rows to one set of matrices (counts, sums, cross products), and these are summed, so what is shuffled doesn't grow with
+    the rows. Values are taken from a common shift, the mean of a few rows, which changes no result but keeps digits."""
+    first = df.select(*columns).limit(1000).agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns))).first()
+    shift = np.array([v if v is not None and np.isfinite(v) else 0.0 for v in first])
+    p = len(columns)
+    i, j = np.triu_indices(p, 1)
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, p, p))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]) - shift
+            there = ~np.isnan(x)
+            x = np.where(there, x, 0.0)
+            m = there.astype(float)
+            sx = x.T @ m
+            sxx = (x * x).T @ m
+            sums += np.stack([m.T @ m, sx, sx.T, sxx, sxx.T, x.T @ x])
+        names = ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"]
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *(pa.array(s[i, j]) for s in sums)], names=names)
+
+    parts = df.select(*(F.col(c).cast("double") for c in columns)).mapInArrow(reduced, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    s = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))).where("n > 0")
+    names = F.array(*map(F.lit, columns))
+    s = s.withColumn("cov", ratio(F.expr("sxy - sx * sy / n"), F.col("n") - 1))
+    spread = F.sqrt(F.greatest(F.expr("sxx - sx * sx / n"), F.lit(0.0))) * F.sqrt(F.greatest(F.expr("syy - sy * sy / n"), F.lit(0.0)))
+    return s.select(F.get(names, "i").alias("a"), F.get(names, "j").alias("b"), F.col("n").cast("long").alias("n"), "cov", ratio(F.expr("sxy - sx * sy / n"), spread).alias("corr"))
+
+
 def series_stats(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """mean, std, ir, t = ir * sqrt(n), hit and n of a series."""
     out = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(

@@ -435,10 +435,30 @@ def _(s, d):
 
 @add("factor_correlations", query("select a, b, " + r6("corr") + " as corr from (select x.factor as a, y.factor as b, covar_samp(x.value, y.value)/nullif(stddev_samp(x.value)*stddev_samp(y.value),0) as corr from long x join long y on x.date = y.date and x.symbol = y.symbol and x.factor < y.factor where x.value is not null and y.value is not null group by x.factor, y.factor)", "long"))
 def _(s, d):
-    p = sample.panel(s, d)
-    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(FACTORS) for b in FACTORS[i + 1 :]))
-    long = p.select(F.explode(pairs).alias("e")).select("e.*").where(complete("x", "y"))
-    return six(long.groupBy("a", "b").agg(stats.safe_corr("x", "y").alias("corr")), ["a", "b"], "corr")
+    return six(stats.correlations(sample.panel(s, d), FACTORS), ["a", "b"], "corr")
+
+
+_LAGGED = [f"{f}_{k}" for f in FACTORS for k in range(7)]
+_LAG_SQL = " union all ".join(
+    f"select symbol, date, '{f}_{k}' as name, {FACTORS.index(f) * 7 + k} as at, lag({f}, {k}) over (partition by symbol order by date) as v from p" for f in FACTORS for k in range(7)
+)
+
+
+@add(
+    "lagged_correlations",
+    _more(
+        query(
+            f"select x.name as a, y.name as b, count(*) as n, {r6('covar_samp(x.v, y.v)/nullif(stddev_samp(x.v)*stddev_samp(y.v),0)')} as corr "
+            "from lg x join lg y using (symbol, date) where x.at < y.at and x.v is not null and y.v is not null group by all",
+            "p",
+        ),
+        f"lg as materialized ({_LAG_SQL})",
+    ),
+)
+def _(s, d):
+    """Every factor with every factor's last six values: 35 columns, one matrix a task."""
+    rows = sample.panel(s, d).withColumns({f"{f}_{k}": time_series.shift(f, k, ["symbol"]) for f in FACTORS for k in range(7)})
+    return six(stats.correlations(rows, _LAGGED), ["a", "b", "n"], "corr")
 
 
 # ---- books -------------------------------------------------------------------------------------------------------
