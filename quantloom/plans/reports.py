@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rounded
 from ..operators import books, point_in_time, signals, stats
+from ..operators.ranges import fixed
 from ..operators.time_series import shift
 from ..sources import sample
+from ..sources.shared import remove_at_end, shared_dir
+from ..sources.store import stored
 from .catalog import _FWD, _more, _STATS, add, composite, factor_long, out, six, sixed
 from .sql import FACTORS, bucket, query, r6, rank, traded
 
@@ -175,24 +180,34 @@ _JOIN = (
 _MAXT = "greatest(abs(ic_t), abs(ic2_t), abs(pure_t))"
 
 
-def _summary(s: SparkSession, d: str) -> DataFrame:
-    """A row a factor, all factors in one long plan."""
-    long = factor_long(s, d)
+def _built_summary(s: SparkSession, d: str) -> DataFrame:
+    panel = sample.labelled(s, d).join(sample.sectors(s, d), "symbol", "left").withColumn("r2", shift("ret", -1, ["symbol"])).withColumn("bp", F.col("f2"))
+    long = panel.unpivot(["date", "symbol", "ret", "mcap", "r2", "bp", "sector"], FACTORS, "factor", "value")
+    long = fixed(long.repartition("factor", "date"))  # one scan; what goes by factor and date needs no further exchange
     one = stats.series_stats(stats.rank_ic(long, "value", "ret", ["factor", "date"]), "ic", ["factor"]).select("factor", F.col("mean").alias("ic_mean"), F.col("t").alias("ic_t"), F.col("hit").alias("ic_hit"))
-    later = long.withColumn("r2", shift("ret", -1, ["factor", "symbol"]))
-    two = stats.series_stats(stats.rank_ic(later, "value", "r2", ["factor", "date"]), "ic", ["factor"]).select("factor", F.col("mean").alias("ic2_mean"), F.col("t").alias("ic2_t"))
-    report = books.fractile_report(long, "value", "ret", "mcap", 5, False, ["factor"])
-    top = report.where("row = 'Q1'").select("factor", F.col("active").alias("q1_active"), F.col("ir").alias("q1_ir"), F.col("turnover").alias("q1_turnover"))
-    spread = report.where("row = 'Q1-Q5'").select("factor", F.col("total").alias("spread_pa"), F.col("ir").alias("spread_ir"))
+    two = stats.series_stats(stats.rank_ic(long, "value", "r2", ["factor", "date"]), "ic", ["factor"]).select("factor", F.col("mean").alias("ic2_mean"), F.col("t").alias("ic2_t"))
+    report = books.fractile_report(long, "value", "ret", "mcap", 5, False, ["factor"]).where("row in ('Q1', 'Q1-Q5')")
+    top = lambda c, row: F.max(F.when(F.col("row") == row, F.col(c)))
+    legs = report.groupBy("factor").agg(
+        top("active", "Q1").alias("q1_active"), top("ir", "Q1").alias("q1_ir"), top("turnover", "Q1").alias("q1_turnover"), top("total", "Q1-Q5").alias("spread_pa"), top("ir", "Q1-Q5").alias("spread_ir")
+    )
     # A control is left out where the factor is that control: it is then all zeros.
-    rows = sample.labelled(s, d).withColumn("bp", F.col("f2")).unpivot(["date", "symbol", "ret", "mcap", "bp"], FACTORS, "factor", "value").where("bp is not null")
-    rows = rows.withColumn("bp", F.when(F.col("factor") != "f2", F.col("bp")).otherwise(0.0))
-    rows = rows.join(sample.sectors(s, d), "symbol").withColumn("lm", F.ln(F.greatest("mcap", F.lit(1.0))))
+    rows = long.where("bp is not null").withColumn("bp", F.when(F.col("factor") != "f2", F.col("bp")).otherwise(0.0)).withColumn("lm", F.ln(F.greatest("mcap", F.lit(1.0))))
     fm = stats.pure_and_raw_returns(rows, "ret", "value", ["lm", "bp"], ["factor", "date"], "sector")
-    found = one.join(two, "factor", "left").join(top, "factor", "left").join(spread, "factor", "left")
-    for name in ("pure", "raw"):
-        each = stats.series_stats(fm, name, ["factor"])
-        found = found.join(each.select("factor", (F.col("mean") * 12).alias(f"{name}_pa"), (F.col("ir") * F.sqrt(F.lit(12.0))).alias(f"{name}_ir"), F.col("t").alias(f"{name}_t")), "factor", "left")
+    both = fm.unpivot(["factor"], ["pure", "raw"], "kind", "r")
+    each = stats.series_stats(both, "r", ["factor", "kind"]).withColumns({"pa": F.col("mean") * 12, "ir": F.col("ir") * F.sqrt(F.lit(12.0))})
+    kind = lambda c, k: F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}")
+    returns = each.groupBy("factor").agg(*(kind(c, k) for k in ("pure", "raw") for c in ("pa", "ir", "t")))
+    return one.join(two, "factor", "left").join(legs, "factor", "left").join(returns, "factor", "left")
+
+
+def _summary(s: SparkSession, d: str) -> DataFrame:
+    """A row a factor, all factors in one long plan. It is stored for the state of its inputs, so that the queries that read
+    it build it once."""
+    path = f"{shared_dir(s)}/factor-summary-{hashlib.sha256(d.encode()).hexdigest()[:12]}"
+    inputs = [sample.table(s, d, t) for t in ("lineitem", "supplier", "nation", "region")]
+    found = stored(s, path, lambda: _built_summary(s, d), inputs, ["factor"], [], 1)
+    remove_at_end(s, path)
     return found
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ratio
 from ..operators import books, signals, stats
+from ..operators.ranges import fixed
 from ..operators.time_series import forward_return, pct_change, shift
 from ..sources import sample
 from .catalog import _more, _STATS, add, six, sixed
@@ -129,6 +130,7 @@ def _(s, d):
     """A row for each composite, its components, size and reversal; every column of them goes through one plan."""
     panel = components(s, d)
     long = signals.factor_scores(panel, FAMILIES, ALONE, ["date"]).where(F.col("name").isin(SCREENED)).join(panel.select("date", "symbol", "ret", "r2"), ["date", "symbol"])
+    long = fixed(long.repartition("name", "date"))  # ranks, buckets and sums by name and date need no further exchange
     found = s.createDataFrame(list(enumerate(SCREENED)), "place int, name string")
     for ret, k in (("ret", "1m"), ("r2", "2m")):
         each = stats.series_stats(stats.rank_ic(long, "value", ret, ["name", "date"]), "ic", ["name"])
