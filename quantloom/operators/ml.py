@@ -35,21 +35,46 @@ def ranked_features(panel: DataFrame, features: list[str]) -> DataFrame:
     return out.withColumns({f"na_{f}": F.col(f"rk_{f}").isNull().cast("double") for f in features}).withColumns({f"rk_{f}": F.coalesce(f"rk_{f}", F.lit(0.5)) for f in features})
 
 
-def walk_forward(panel: DataFrame, features: list[str], ret: str, fold_rows: DataFrame, max_folds: int | None = None, trees: int = 20, depth: int = 3, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """((fold, date, symbol, prediction), (feature, importance)): one boosted-tree model a fold on the return less the
-    month's mean, early stopping on the fold's validation months. The loop is over refits, each a distributed fit."""
-    from pyspark.ml.feature import VectorAssembler
+def first_learner(trees: int = 20, depth: int = 3, seed: int = 7):
+    from pyspark.ml.regression import GBTRegressor
+
+    return GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed)
+
+
+def second_learner(trees: int = 20, depth: int = 4, seed: int = 7):
+    """Slower steps on samples of rows, deeper trees, leaves of at least 50 rows."""
     from pyspark.ml.regression import GBTRegressor
 
+    return GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.05, subsamplingRate=0.8, minInstancesPerNode=50)
+
+
+def walk_forward(
+    panel: DataFrame, features: list[str], ret: str, fold_rows: DataFrame, max_folds: int | None = None, trees: int = 20, depth: int = 3, seed: int = 7,
+    learner=None, least_rows: int = 500, least_valid: int = 200, least_fit: int = 300, least_index: int = 10,
+) -> tuple[DataFrame, DataFrame]:
+    """((fold, date, symbol, prediction), (feature, importance)): one model a fold on the return less the month's mean, with
+    early stopping on the fold's validation months. The loop is over refits, each a distributed fit.
+
+    A fold is passed over if its last training month is before the least_index-th or fewer than least_rows rows have a
+    target; with fewer than least_valid validation or least_fit other rows it is fitted on all of them to the end."""
+    from pyspark.ml.feature import VectorAssembler
+
     rows = ranked_features(panel, features).withColumn("target", F.col(ret) - F.avg(ret).over(Window.partitionBy("date")))
     inputs = [f"{p}_{f}" for p in ("rk", "na") for f in features]
     rows = VectorAssembler(inputCols=inputs, outputCol="x").transform(rows).select("date", "symbol", "target", "x")
     spark, predictions, importances = panel.sparkSession, None, []
-    numbers = sorted(r["fold"] for r in fold_rows.select("fold").distinct().collect())[:max_folds]  # a row a refit
-    for k in numbers:
+    past = fold_rows.where("role <> 'test'")
+    labelled = rows.where("target is not null").groupBy("date").agg(F.count("*").alias("k"))  # a row a date
+    held = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.col("k"))), F.lit(0)).alias(role)
+    sizes = past.join(labelled, "date", "left").groupBy("fold").agg(F.count("*").alias("months"), held("train"), held("validation")).orderBy("fold").collect()  # a row a refit
+    estimator = (learner or first_learner(trees, depth, seed)).setParams(featuresCol="x", labelCol="target")
+    for size in sizes[:max_folds]:
+        if size["months"] - 1 < least_index or size["train"] + size["validation"] < least_rows:
+            continue
+        k, stops = size["fold"], size["validation"] >= least_valid and size["train"] >= least_fit
         mine = rows.join(F.broadcast(fold_rows.where(F.col("fold") == k)), "date")
         train = mine.where((F.col("role") != "test") & F.col("target").isNotNull()).withColumn("v", F.col("role") == "validation")
-        model = GBTRegressor(featuresCol="x", labelCol="target", maxIter=trees, maxDepth=depth, seed=seed, validationIndicatorCol="v").fit(train)
+        model = (estimator.copy({estimator.validationIndicatorCol: "v"}) if stops else estimator).fit(train)
         out = model.transform(mine.where("role = 'test'")).select("fold", "date", "symbol", "prediction")
         predictions = out if predictions is None else predictions.unionByName(out)
         importances += [(k, c, float(v)) for c, v in zip(inputs, model.featureImportances.toArray(), strict=True)]
@@ -57,3 +82,26 @@ def walk_forward(panel: DataFrame, features: list[str], ret: str, fold_rows: Dat
         predictions = fold_rows.limit(0).crossJoin(rows.select("symbol").limit(0)).select("fold", "date", "symbol", F.lit(0.0).alias("prediction"))
     weights = spark.createDataFrame(importances, "fold int, feature string, importance double").groupBy("feature").agg(F.avg("importance").alias("importance"))
     return predictions, weights
+
+
+def linear_baseline(panel: DataFrame, features: list[str]) -> DataFrame:
+    """(date, symbol, prediction): the mean of the features' percent ranks within the date, over those present."""
+    from ..functions import row_mean
+
+    ranks = panel.select("date", "symbol", *(pct_rank(f, ["date"]).alias(f) for f in features))
+    return ranks.select("date", "symbol", row_mean(*features).alias("prediction"))
+
+
+def out_of_sample_ic(panel: DataFrame, ret: str, predictions: dict[str, DataFrame], min_names: int = 20) -> DataFrame:
+    """(learner, n, mean, std, hit, ir, t) of the monthly rank ICs of several predictions (date, symbol, prediction), over
+    the names and months that all of them predict."""
+    from .stats import rank_ic, series_stats
+
+    rows = panel.select("date", "symbol", ret)
+    for name, p in predictions.items():
+        rows = rows.join(p.select("date", "symbol", F.col("prediction").alias(f"__{name}")), ["date", "symbol"])
+    names = [f"__{name}" for name in predictions]
+    for c in names:
+        rows = rows.where(F.col(c).isNotNull())
+    long = rows.unpivot(["date", ret], names, "learner", "score").withColumn("learner", F.substring("learner", 3, 1000))
+    return series_stats(rank_ic(long, "score", ret, ["learner", "date"], min_names), "ic", ["learner"])

@@ -773,6 +773,31 @@ def _(s, d):
     return _walk_forward(s, d)[1]
 
 
+_TESTED = (
+    f"lz as (select lab.date, symbol, ret, {r6('(' + '+'.join(f'coalesce(k_{f},0)' for f in FACTORS) + ')/nullif(' + '+'.join(f'cast(k_{f} is not null as integer)' for f in FACTORS) + ',0)', 10)} as score from "
+    f"(select date, symbol, ret, {', '.join(f'({rank(f, "date")})/nullif(count({f}) over (partition by date),0) as k_{f}' for f in FACTORS)} from lab) lab "
+    "where date in (select date from ix where idx >= 60))"
+)
+
+
+@add("wf_linear_ic", _more(query(f"select n, {sixed('mean', 'hit', 'ir', 't')} from (select {_STATS.format(k='1 as one')} from ic where ic is not null)", "lab"), _FOLD, _TESTED, *_ic_sql("lz", "date", y="ret")))
+def _(s, d):
+    """The baseline on the months that the folds test."""
+    p = sample.labelled(s, d)
+    tested = ml.folds(p.select("date")).where("role = 'test'").select("date").distinct()
+    base = ml.linear_baseline(p, FACTORS).join(F.broadcast(tested), "date").withColumn("prediction", rounded("prediction", 10))
+    return six(ml.out_of_sample_ic(p, "ret", {"linear": base}), ["n"], "mean", "hit", "ir", "t")
+
+
+@add("wf_ic")
+def _(s, d):
+    """Out-of-sample ICs of both learners and the baseline, side by side."""
+    p = sample.labelled(s, d)
+    parts = ml.folds(p.select("date"))
+    found = {name: ml.walk_forward(p, FACTORS, "ret", parts, learner=learner)[0] for name, learner in (("first", ml.first_learner()), ("second", ml.second_learner()))}
+    return six(ml.out_of_sample_ic(p, "ret", found | {"linear": ml.linear_baseline(p, FACTORS)}), ["learner", "n"], "mean", "hit", "ir", "t")
+
+
 # ---- beyond the batch surface ------------------------------------------------------------------------------------
 @add("sliding_action_windows", "with a as (select cast(user_id as bigint) as symbol, cast(ts as timestamp) as t0, case event_type when 'purchase' then 1 when 'error' then -1 else 0 end as s from events), w as (select symbol, s, cast(date_trunc('day', t0) - to_days(cast(k as integer)) as timestamp) as start from a, (select unnest(range(0, 6)) as k)) select symbol, strftime(start, '%Y-%m-%d') as start, cast(sum(s) as bigint) as net, count(*) as actions from w group by symbol, start")
 def _(s, d):

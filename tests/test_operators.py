@@ -330,7 +330,7 @@ def test_walk_forward_fits_every_fold(spark):
     rows = [(month(m), f"s{i}", rnd.random() if (m + i) % 9 else None, rnd.random(), rnd.gauss(0, 0.1)) for m in range(14) for i in range(12)]
     panel = spark.createDataFrame([(*r[:4], r[4] + (r[3] - 0.5) / 5) for r in rows], "date date, symbol string, a double, b double, ret double")
     parts = ml.folds(panel.select("date"), least=6, every=3, validation=2)
-    got, importances = ml.walk_forward(panel, ["a", "b"], "ret", parts, trees=3, depth=2)
+    got, importances = ml.walk_forward(panel, ["a", "b"], "ret", parts, trees=3, depth=2, least_rows=1, least_valid=1, least_fit=1, least_index=0)
     got = {(r.fold, r.date, r.symbol): r.prediction for r in got.collect()}
     assert set(got) == {(k, month(m), f"s{i}") for k, ms in ((0, (6, 7, 8)), (1, (9, 10, 11)), (2, (12, 13))) for m in ms for i in range(12)}
     inputs, want, weights = ["rk_a", "rk_b", "na_a", "na_b"], {}, []
@@ -346,6 +346,30 @@ def test_walk_forward_fits_every_fold(spark):
     assert {r.feature: r.importance for r in importances.collect()} == pytest.approx({c: sum(w[j] for w in weights) / 3 for j, c in enumerate(inputs)}, abs=1e-9)
 
 
+def test_walk_forward_guards(spark):
+    rows = [(month(m), f"s{i}", ((m * 7 + i * 3) % 11) / 10, ((m + i) % 5) / 50) for m in range(16) for i in range(10)]
+    panel = spark.createDataFrame(rows, "date date, symbol string, a double, ret double")
+    parts = ml.folds(panel.select("date"), least=6, every=3, validation=2)  # 4, 7, 10 and 13 as last training index... less the embargo
+    fit = lambda **kw: {r.fold for r in ml.walk_forward(panel, ["a"], "ret", parts, trees=1, depth=1, **({"least_rows": 1, "least_valid": 1, "least_fit": 1, "least_index": 0} | kw))[0].collect()}
+    assert fit() == {0, 1, 2, 3} and fit(least_index=10) == {2, 3} and fit(least_rows=75) == {1, 2, 3} and fit(least_rows=500) == set()
+    # Without enough validation rows the fit goes on to the end and over all rows.
+    short, _ = ml.walk_forward(panel, ["a"], "ret", parts, 1, trees=2, depth=2, least_rows=1, least_valid=200, least_fit=1, least_index=0)
+    every, _ = ml.walk_forward(panel, ["a"], "ret", parts.withColumn("role", F.when(F.col("role") == "test", "test").otherwise("train")), 1, trees=2, depth=2, least_rows=1, least_valid=1, least_fit=1, least_index=0)
+    key = lambda df: {(r.date, r.symbol): pytest.approx(r.prediction) for r in df.collect()}
+    assert key(short) == {k: v.expected for k, v in key(every).items()}
+
+
+def test_out_of_sample_ic_is_over_what_all_predict(spark):
+    rows = [(month(m), f"s{i:02d}", float(i), float((i * 7 + m) % 25)) for m in range(3) for i in range(25)]
+    panel = spark.createDataFrame(rows, "date date, symbol string, ret double, x double")
+    good = panel.select("date", "symbol", F.col("ret").alias("prediction"))
+    bad = panel.where(F.col("date") > month(0)).select("date", "symbol", (-F.col("ret")).alias("prediction"))
+    got = {r.learner: r for r in ml.out_of_sample_ic(panel, "ret", {"good": good, "bad": bad}).collect()}
+    assert {k: (r.n, r.mean, r.hit) for k, r in got.items()} == {"good": (2, 1.0, 1.0), "bad": (2, -1.0, 0.0)}
+    base = {r.symbol: r.prediction for r in ml.linear_baseline(panel.where(F.col("date") == month(0)).withColumn("x", F.when(F.col("symbol") != "s03", F.col("x"))), ["ret", "x"]).collect()}
+    assert base["s03"] == pytest.approx(4 / 25) and base["s00"] == pytest.approx((1 / 25 + 1 / 24) / 2)
+
+
 def test_walk_forward_queries_cover_every_fold(spark):
     d = "/root/testdata/sf0.001"
     p = sample.labelled(spark, d)
