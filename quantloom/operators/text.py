@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import ratio
+from ..functions import quoted, ratio
 
 REPLY = T.StructType([T.StructField(c, T.IntegerType()) for c in ("sentiment", "confidence", "guidance", "tone")] + [T.StructField("capital_return_stance", T.StringType())])
 
@@ -32,7 +32,7 @@ def sentiment(docs: DataFrame, key: str, text: str, lexicon: dict[str, list[str]
 def parsed_reply(df: DataFrame, reply: str, schema: T.StructType = REPLY) -> DataFrame:
     """df with the fields of a JSON object in a model's reply; code fences around it are taken off. Null if malformed."""
     body = F.regexp_extract(F.coalesce(F.col(reply), F.lit("")), r"(?s)(\{.*\})", 1)
-    return df.withColumn("__r", F.from_json(body, schema)).select(*df.columns, "__r.*")
+    return df.withColumn("__r", F.from_json(body, schema)).select(*(F.col(quoted(c)) for c in df.columns), "__r.*")
 
 
 def truncated(df: DataFrame, text: str, limit: int = 30_000) -> DataFrame:
@@ -45,6 +45,11 @@ def stripped_suffix(symbol: str, suffix: str) -> F.Column:
     return F.replace(F.col(symbol), F.lit(suffix), F.lit(""))
 
 
+def vendor_ticker(symbol: str) -> F.Column:
+    """A symbol as the second vendor writes it: share classes after a dash, not a dot."""
+    return F.translate(F.col(symbol), ".", "-")
+
+
 def ordinary_ticker(symbol: str, suffix: str) -> F.Column:
     """True for symbols of two to four letters before the suffix."""
     return stripped_suffix(symbol, suffix).rlike("^[A-Za-z]{2,4}$")

@@ -711,9 +711,9 @@ def _(s, d):
     return out(g, "symbol", first_f4="a", last_price="b")
 
 
-@add("missing_symbols", "select c_custkey as symbol from customer where c_custkey not in (select o_custkey from orders)")
+@add("missing_symbols", "select c_custkey as symbol from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P' and o_custkey % 3 <> 0)")
 def _(s, d):
-    o = sample.table(s, d, "orders").select(F.col("o_custkey").alias("symbol"))
+    o = sample.table(s, d, "orders").where("o_orderstatus = 'P' and o_custkey % 3 <> 0").select(F.col("o_custkey").alias("symbol"))
     return sample.table(s, d, "customer").select(F.col("c_custkey").alias("symbol")).join(o, "symbol", "left_anti")
 
 

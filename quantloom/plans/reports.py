@@ -240,8 +240,15 @@ def _(s, d):
     return rows.where(ordinary_ticker("symbol", ".AX")).select("s_suppkey", stripped_suffix("symbol", ".AX").alias("base"))
 
 
+@add("vendor_tickers", "select s_suppkey, replace(replace(s_name, '#', '.'), '.', '-') as ticker from supplier")
+def _(s, d):
+    from ..operators.text import vendor_ticker
+
+    return sample.table(s, d, "supplier").withColumn("t", F.replace("s_name", F.lit("#"), F.lit("."))).select("s_suppkey", vendor_ticker("t").alias("ticker"))
+
+
 # ---- fetched parts, semi-joins, corpus index, lexicon as a table -------------------------------------------------
-@add("bulk_fetch", "select symbol, date, cents from (select o_custkey as symbol, case when o_orderkey % 97 <> 0 then cast(o_orderdate as date) end as date, cast(round(o_totalprice*100) as bigint) as cents from orders where o_orderstatus in ('O', 'F')) where date is not null")
+@add("bulk_fetch", "select symbol, date, cents from (select o_custkey as symbol, case when o_orderkey % 97 <> 0 then cast(o_orderdate as date) end as date, cast(round(o_totalprice*100) as bigint) as cents from orders where o_orderstatus in ('O', 'F', 'P')) where date is not null")
 def _(s, d):
     from pyspark.sql import types as T
 
@@ -251,7 +258,7 @@ def _(s, d):
     text = F.when(F.col("o_orderkey") % 97 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("n/a")
     part = lambda st: o.where(F.col("o_orderstatus") == st).select(F.col("o_custkey").alias("symbol"), text.alias("date"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
     schema = T.StructType([T.StructField("symbol", T.LongType()), T.StructField("date", T.StringType()), T.StructField("cents", T.LongType())])
-    return bulk([part("O"), part("F")], schema, ["date"], ["symbol", "date"])
+    return bulk([part("O"), part("F"), part("P")], schema, ["date"], ["symbol", "date"])
 
 
 @add("covered_names", query("select symbol, date from p where symbol in (select s_suppkey from supplier where s_acctbal > 0)", "p"))
