@@ -102,11 +102,18 @@ def _need(s: np.ndarray, percent: int) -> int:
     return looked_at - (n - least_shared(n, percent))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that no more texts than these are Python strings at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def nodes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, th, fp, key, n, need of docs (doc_id, text); th: a hash of the text, fp is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fps, keys, ns, needs = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, width)
@@ -152,7 +159,7 @@ def _postings(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, keys, held = [], [], 0
-        for b in batches:
+        for b in sliced(batches):
             for text in b.column(0).to_pylist():
                 s = shingles(text, width)
                 if len(s):
@@ -204,19 +211,17 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     """node, key, n, tokens, copies of docs (doc_id, text, fp, copies) whose text gives fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                rows = []
-                for d, t, fp, copies in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    s = shingles(t, width)
-                    if fingerprint(s) == fp:
-                        rows.append((d, _key(fp), len(s), s.view(np.int64), copies))
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *cols[2]]), pa.int32()), pa.array(np.concatenate(cols[3])))
-                    plain = [pa.array(cols[k], pa.int64()) for k in (0, 1, 2, 4)]
-                    yield pa.RecordBatch.from_arrays([*plain[:3], lists, plain[3]], names=["node", "key", "n", "tokens", "copies"])
+        for part in sliced(batches):
+            rows = []
+            for d, t, fp, copies in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                s = shingles(t, width)
+                if fingerprint(s) == fp:
+                    rows.append((d, _key(fp), len(s), s.view(np.int64), copies))
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *cols[2]]), pa.int32()), pa.array(np.concatenate(cols[3])))
+                plain = [pa.array(cols[k], pa.int64()) for k in (0, 1, 2, 4)]
+                yield pa.RecordBatch.from_arrays([*plain[:3], lists, plain[3]], names=["node", "key", "n", "tokens", "copies"])
 
     return docs.mapInArrow(run, "node long, key long, n long, tokens array<long>, copies long").dropDuplicates(["node", "key"])
 

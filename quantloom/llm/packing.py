@@ -157,6 +157,7 @@ def pack(docs: DataFrame, limit: int = LIMIT, window: int = WINDOW, end: int | N
                 if len(out) > 2000:
                     yield flush()
         out.extend(packer.drain(0))
+        encoder.rest()
         yield flush()
 
     schema = SCHEMA + (", ids array<int>" if with_ids else "")

@@ -126,6 +126,10 @@ class Encoder:
             del ids, ends
         return (np.concatenate(parts), np.concatenate(bounds).astype(np.int64)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
+    def rest(self) -> None:
+        """After a task: let the memo's older generation go, so that an idle worker holds one at most."""
+        self.memo.old = None
+
     def byte_lengths(self) -> np.ndarray:
         """Bytes of text each id stands for."""
         out = np.zeros(self.whole.get_vocab_size(with_added_tokens=True), np.int64)
