@@ -165,12 +165,14 @@ def _remainder() -> F.Column:
 
 
 def fit(rows: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Gam:
-    """Learn from measured rows (doc_id, x) and labels (doc_id, quality)."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (_remainder() != 0)).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    """Learn from measured rows (doc_id, x) and labels (doc_id, quality): distinct ones, so that repeated rows count once, and
+    of these at most max_rows, those of least hash."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (_remainder() != 0)).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").distinct()
     share = min(1.0, max_rows / max(known.count(), 1))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     # The sample's ids and labels are broadcast (max_rows bounds them), so measured rows stay where they are.
-    got = rows.join(F.broadcast(known), "doc_id").select("doc_id", F.col("quality").cast("double").alias("y"), "x").toArrow().combine_chunks()
+    found = rows.join(F.broadcast(known), "doc_id").select("doc_id", F.col("quality").cast("double").alias("y"), "x").distinct()
+    got = found.orderBy(F.xxhash64("doc_id", "y", "x")).limit(max_rows).toArrow().combine_chunks()  # tasks keep max_rows each
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, len(MEASURES))
     y, ids = got.column("y").to_numpy(), got.column("doc_id").to_numpy()
     order = np.lexsort((*x.T[::-1], y, ids))

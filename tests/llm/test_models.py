@@ -281,3 +281,22 @@ def test_language_training_by_a_plain_second_version(spark):
         if len(found.get(size, ())) >= language_id.LEAST:
             last = language_id.REJECT_SHARE * np.quantile(found[size], language_id.LOW)
         assert abs(model.floor[size] - last) < 0.02, size
+
+
+def test_quality_training_counts_repeated_rows_once_and_is_bounded(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = quality_classifier.measured(table(spark, sf, "documents")).select("doc_id", "x")
+    labels = table(spark, sf, "labels")
+    once = quality_classifier.fit(rows, labels)
+    many = quality_classifier.fit(rows.unionAll(rows).unionAll(rows.limit(50)), labels.unionAll(labels))
+    assert once.tables and len(once.tables) == len(many.tables) and once.base == many.base
+    assert all((a == b).all() for a, b in zip(once.tables, many.tables, strict=True))
+    hot = spark.range(5000).selectExpr("7L as doc_id", "array_repeat(id * 1.0D, 16) as x")  # one id with very many texts
+    seen = []
+    original = quality_classifier.Gam
+    try:
+        quality_classifier.Gam = lambda x, y: seen.append(len(x)) or original(x[:0], y[:0])
+        quality_classifier.fit(hot.selectExpr("doc_id", f"slice(x, 1, {len(quality_classifier.MEASURES)}) as x"), spark.createDataFrame([(7, 1)], "doc_id long, quality int"), max_rows=100)
+    finally:
+        quality_classifier.Gam = original
+    assert seen == [100]
