@@ -13,7 +13,7 @@ from ..operators import asof, cross_section, ranges, time_series
 from ..sources import sample
 from ..sources.shared import remove_at_end, shared_dir
 from ..sources.store import stored
-from .catalog import _FILINGS, _filings, _more, add, out, six
+from .catalog import _asof_filings, _FILINGS, _more, add, out, six
 from .sql import query, r6
 
 _Q = {"q01": 0.01, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q99": 0.99}
@@ -46,8 +46,7 @@ def _(s, d):
 
 @add("wide_asof_filings", f"with {_FILINGS} select l.symbol, l.date, f.accepted, f.cents from lefts l asof left join f on l.symbol = f.symbol and l.date >= f.accepted")
 def _(s, d):
-    left, right = _filings(s, d)
-    return asof.asof_join(left, right, ["symbol"], "date", "accepted", ["cents"], tie=["o_orderkey"], wide=True)
+    return _asof_filings(s, d, wide=True)
 
 
 _EVENTS = "select event_type as series, event_id, ts, (event_id * 7919 % 101 - 50)/19997.0::double as x from events"

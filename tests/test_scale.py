@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import books, cross_section, signals, stats
+from quantloom.operators import asof, books, cross_section, signals, stats
 
 
 def executed(df):
@@ -61,3 +61,19 @@ def test_the_screen_reads_its_ranked_rows_once(spark):
     df = spark.createDataFrame(rows, "factor string, date date, symbol string, value double, ret double")
     df = df.mapInArrow(count, df.schema)
     assert books.fractile_screen(df, "value", "ret", ["factor"], 10).count() == 1 and seen.value == 20
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_asof_grid_equals_asof_join_of_the_grid(spark, wide):
+    rng = random.Random(8)
+    day = lambda: rng.choice([None, dt.date(2020, 1, 1) + dt.timedelta(rng.randrange(60))])
+    rows = [(rng.choice(["hot", "hot", "hot", None, *"abcdef"]), day(), i, rng.choice([None, 1.0, 2.0])) for i in range(300)] + [("none", None, 900, 1.0), ("none", None, 901, 2.0)]
+    right = spark.createDataFrame(rows, "symbol string, seen date, k int, v double").repartition(5)
+    grid = spark.createDataFrame([(dt.date(2019, 12, 20) + dt.timedelta(9 * i),) for i in range(10)], "date date")
+    args = (["symbol"], "date", "seen", ["v"])
+    plain = asof.asof_join(right.select("symbol").distinct().crossJoin(grid), right, *args, tie=["k"], within_days=30)
+    key = lambda r: (str(r.symbol), r.date, str(r.seen), str(r.v))
+    got = asof.asof_grid(right, ["symbol"], grid, *args[1:], tie=["k"], within_days=30, wide=wide)
+    if not wide:
+        assert executed(got).count("Exchange hashpartitioning") == 1  # the grid's dates are not shuffled
+    assert got.columns == plain.columns and sorted(map(key, got.collect())) == sorted(map(key, plain.collect()))
