@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import asof, books, cross_section, signals, stats
+from quantloom.operators import asof, books, cross_section, ml, signals, stats
 
 
 def executed(df):
@@ -77,3 +77,26 @@ def test_asof_grid_equals_asof_join_of_the_grid(spark, wide):
     if not wide:
         assert executed(got).count("Exchange hashpartitioning") == 1  # the grid's dates are not shuffled
     assert got.columns == plain.columns and sorted(map(key, got.collect())) == sorted(map(key, plain.collect()))
+
+
+def test_features_are_ranked_one_cross_section_at_a_time(spark):
+    df = spark.createDataFrame([(1, f"s{i}", 0.1 * i, float(i), float(-i), 1.0) for i in range(6)], "date int, symbol string, ret double, a double, b double, c double")
+    ranked = ml.ranked_features(df, ["a", "b", "c"], ["ret"])
+    assert executed(ranked).count("Sort [") == 1
+    assert {r.symbol: (r.ret, r.rk_a, r.na_a) for r in ranked.collect()} == {f"s{i}": pytest.approx((0.1 * i, (i + 1) / 6, 0.0)) for i in range(6)}
+
+
+def test_walk_forward_reads_its_panel_twice_however_many_folds(spark):
+    seen, rng = spark.sparkContext.accumulator(0), random.Random(1)
+    month = lambda m: dt.date(2000 + m // 12, m % 12 + 1, 28)
+    df = spark.createDataFrame([(month(m), f"s{i}", rng.random(), rng.random()) for m in range(40) for i in range(5)], "date date, symbol string, ret double, a double")
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    parts = ml.folds(df.select("date"), least=10, every=12, validation=3)
+    rows = df.mapInArrow(count, df.schema)
+    ml.walk_forward(rows, ["a"], "ret", parts, trees=1, depth=1, least_rows=1, least_valid=1, least_fit=1, least_index=0)[1].collect()
+    assert seen.value <= 400
