@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import asof, books, cross_section, ml, signals, stats
+from quantloom.operators import asof, books, cross_section, ml, point_in_time, signals, stats
 
 
 def executed(df):
@@ -100,3 +100,14 @@ def test_walk_forward_reads_its_panel_twice_however_many_folds(spark):
     rows = df.mapInArrow(count, df.schema)
     ml.walk_forward(rows, ["a"], "ret", parts, trees=1, depth=1, least_rows=1, least_valid=1, least_fit=1, least_index=0)[1].collect()
     assert seen.value <= 400
+
+
+def test_event_returns_send_on_only_prices_of_symbols_with_events(spark):
+    day = lambda m, d=1: dt.date(2020, m, d)
+    events = spark.createDataFrame([("a", day(1), 7), ("a", day(1), 7), ("a", day(2), 8), (None, day(1), 9)], "symbol string, date date, id int")
+    lines = spark.createDataFrame([(s, day(m), float(m)) for s in "abcdefgh" for m in range(1, 9)], "symbol string, date date, p double")
+    got = point_in_time.event_returns(events, lines.groupBy("symbol", "date").agg(F.avg("p").alias("price")))
+    plan = executed(got)
+    assert plan.index("avg(p") < plan.index("LeftSemi")  # the join lies below the aggregate
+    rows = sorted((str(r.symbol), r.date, r.id, r.ret_fwd_1, r.ret_fwd_3, r.ret_fwd_6) for r in got.collect())
+    assert rows == [("None", day(1), 9, None, None, None), ("a", day(1), 7, 1.0, 3.0, 6.0), ("a", day(1), 7, 1.0, 3.0, 6.0), ("a", day(2), 8, 0.5, 1.5, 3.0)]
