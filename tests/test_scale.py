@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import asof, books, cross_section, ml, point_in_time, signals, stats
+from quantloom.plans import reports
 
 
 def executed(df):
@@ -111,3 +112,27 @@ def test_event_returns_send_on_only_prices_of_symbols_with_events(spark):
     assert plan.index("avg(p") < plan.index("LeftSemi")  # the join lies below the aggregate
     rows = sorted((str(r.symbol), r.date, r.id, r.ret_fwd_1, r.ret_fwd_3, r.ret_fwd_6) for r in got.collect())
     assert rows == [("None", day(1), 9, None, None, None), ("a", day(1), 7, 1.0, 3.0, 6.0), ("a", day(1), 7, 1.0, 3.0, 6.0), ("a", day(2), 8, 0.5, 1.5, 3.0)]
+
+
+def test_the_summary_reads_one_exchange_of_the_long_panel(spark):
+    rng = random.Random(2)
+    rows = [(dt.date(2000 + m // 12, m % 12 + 1, 28), f"s{i:02}", rng.gauss(0, 1), 1.0 + i, "ab"[i % 2], rng.random(), rng.random()) for m in range(15) for i in range(40)]
+    df = spark.createDataFrame(rows, "date date, symbol string, ret double, mcap double, sector string, f1 double, f2 double")
+    got = reports.summarised(df, ["f1", "f2"])
+    assert {r.factor for r in got.collect()} == {"f1", "f2"}
+    final = executed(got).split("== Initial Plan ==")[0].split("\n")
+    panels = [line for line in final if "REPARTITION" in line and "symbol" not in line and "Reused" not in line]
+    assert len(panels) == 1 and sum("ReusedExchange" in line and "__row" in line for line in final) >= 3
+
+
+@pytest.mark.parametrize("cap_weighted", [False, True])
+def test_turnover_by_counts_is_that_of_weights(spark, cap_weighted):
+    rng = random.Random(4)
+    rows = [(k, dt.date(2020, m, 28), f"s{i}", rng.random(), rng.gauss(0, 0.1), 1.0 + i) for k in "xy" for m in range(1, 13) for i in range(30) if rng.random() < 0.7 and (k, m) != ("x", 5)]
+    df = spark.createDataFrame(rows, "f string, date date, symbol string, score double, ret double, cap double")
+    report = books.fractile_report(df, "score", "ret", "cap", 5, cap_weighted, ["f"]).collect()
+    assert sorted(r.row for r in report if r.f == "x") == ["Market", "Q1", "Q1-Q5", "Q2", "Q3", "Q4", "Q5"]
+    for k in "xy":
+        one = df.where(F.col("f") == k)
+        want = {f"Q{r.fractile}": pytest.approx(r.turnover) for r in books.name_turnover(one, "score", "ret", "cap", 5).collect()}
+        assert {r.row: r.turnover for r in report if r.f == k and r.turnover is not None} == want
