@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import asof, books, cross_section, ml, point_in_time, signals, stats
 from quantloom.plans import reports
+from quantloom.sources import shared
 
 
 def executed(df):
@@ -136,3 +137,15 @@ def test_turnover_by_counts_is_that_of_weights(spark, cap_weighted):
         one = df.where(F.col("f") == k)
         want = {f"Q{r.fractile}": pytest.approx(r.turnover) for r in books.name_turnover(one, "score", "ret", "cap", 5).collect()}
         assert {r.row: r.turnover for r in report if r.f == k and r.turnover is not None} == want
+
+
+def test_lags_are_dealt_out_by_the_size_of_the_input(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(dt.date(2020, m, 28), i, rng.random(), rng.random()) for m in range(1, 7) for i in range(200)], "date date, symbol int, score double, ret double")
+    df.coalesce(1).write.parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    size = sum(f.stat().st_size for f in (tmp_path / "p").glob("part-*.parquet"))
+    monkeypatch.setattr(shared, "TASK_BYTES", 1000)
+    got = signals.ic_decay(stored, "score", "ret", 2)
+    assert f"{-(-size // 1000)}), REPARTITION_BY_NUM" in executed(got)
+    assert {r.lag: r.n for r in got.collect()} == {1: 6, 2: 5}
