@@ -10,15 +10,17 @@ page has it.
          .option("symbols", listed).load(folder)
 
 Only the columns of the given schema are built. `symbols` names a text file with a symbol a line; tasks take `per_task`
-symbols each, so a long list is many tasks. With spark.sql.python.filterPushdown.enabled filters on symbol (= and in) leave
-out the other symbols' pages. A symbol whose pages can't be read does not end the job: it gives one row with its
-reason in `_failure` and no bars (none of its earlier pages either), which `settled` puts aside."""
+symbols each, so a long list is many tasks, and more symbols where that would be over `MAX_TASKS` tasks. With
+spark.sql.python.filterPushdown.enabled filters on symbol (= and in) leave out the other symbols' pages. A symbol whose pages
+can't be read does not end the job: it gives one row with its reason in `_failure` and no bars (none of its earlier pages
+either), which `settled` puts aside."""
 
 from __future__ import annotations
 
 import datetime
+import functools
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.window import Window
 
-PAGE, FLOOR, START, MAX_CALLS, PER_TASK = 4999, "1990-01-01", "1998-06-01", 5, 50
+PAGE, FLOOR, START, MAX_CALLS, PER_TASK, MAX_TASKS = 4999, "1990-01-01", "1998-06-01", 5, 50, 1000
 SCHEMA = "symbol string, date date, adjOpen double, adjHigh double, adjLow double, adjClose double, volume double, _failure string"
 
 
@@ -54,6 +56,12 @@ def walk(fetch, start: str, page: int, max_calls: int, to: str | None = None) ->
     return list(seen.values())
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _day(text: str) -> datetime.date:
+    """A bar's date; symbols share most of theirs."""
+    return datetime.date.fromisoformat(text)
+
+
 class _Symbols(InputPartition):
     def __init__(self, symbols: list[str]) -> None:
         self.symbols = symbols
@@ -63,14 +71,20 @@ class PagedReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType) -> None:
         self.options, self.schema, self.only = options, schema, None
 
-    def _open(self, path: str) -> bytes | None:
+    def _opener(self, path: str) -> Callable[[str], bytes | None]:
+        """Reads the file at path with an ending, none if it is missing; the file system is looked up once."""
         from pyarrow import fs as pafs
 
-        fs, where = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-        if fs.get_file_info(where).type != pafs.FileType.File:
-            return None
-        with fs.open_input_file(where) as f:
-            return f.read()
+        fs, root = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+        def read(ending: str) -> bytes | None:
+            try:
+                with fs.open_input_file(f"{root}{ending}") as f:
+                    return f.read()
+            except FileNotFoundError:
+                return None
+
+        return read
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
@@ -81,25 +95,26 @@ class PagedReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        listed = self._open(self.options["symbols"])
+        listed = self._opener(self.options["symbols"])("")
         if listed is None:
             raise FileNotFoundError(self.options["symbols"])
         symbols = [s for s in dict.fromkeys(listed.decode().split("\n")) if s and (self.only is None or s in self.only)]
-        size = int(self.options.get("per_task", PER_TASK))
+        size = max(int(self.options.get("per_task", PER_TASK)), -(-len(symbols) // MAX_TASKS))
         return [_Symbols(symbols[lo : lo + size]) for lo in range(0, len(symbols), size)] or [_Symbols([])]
 
     def read(self, partition: _Symbols) -> Iterator[pa.RecordBatch]:
         o = self.options
         floor, start, page, calls = o.get("floor", FLOOR), o.get("start", START), int(o.get("page", PAGE)), int(o.get("max_calls", MAX_CALLS))
+        opened = self._opener(o["path"])
         for symbol in partition.symbols:
             asked = []
 
             def fetch(to: str | None, symbol: str = symbol, asked: list = asked) -> list[dict]:
                 asked.append(to)
-                data = self._open(f"{o['path']}/{page_key(symbol, floor, to)}.json")
+                data = opened(f"/{page_key(symbol, floor, to)}.json")
                 rows = [] if data is None else json.loads(data)
                 for r in rows:
-                    datetime.date.fromisoformat(r["date"])
+                    _day(r["date"])
                 return rows
 
             try:
@@ -120,7 +135,7 @@ class PagedReader(DataSourceReader):
         if f.name in ("symbol", "_failure"):
             values = [symbol if f.name == "symbol" else None] * len(rows)
         elif isinstance(f.dataType, T.DateType):
-            values = [datetime.date.fromisoformat(r[f.name]) for r in rows]
+            values = [_day(r[f.name]) for r in rows]
         elif isinstance(f.dataType, T.DoubleType):
             values = [None if r.get(f.name) is None else float(r[f.name]) for r in rows]
         else:

@@ -73,3 +73,16 @@ def test_pages_written_are_read_back(spark, tmp_path):
     assert {s: sum(r.symbol == s for r in rows) for s in "xy"} == want
     newest = sorted((r for r in bars.collect()), key=key)
     assert sorted(map(tuple, rows)) == sorted(tuple(r) for s in "xy" for r in [r for r in newest if r.symbol == s][-40:])
+
+
+def test_tasks_are_bounded_and_a_file_system_is_looked_up_once_a_task(tmp_path, monkeypatch):
+    from pyarrow import fs as pafs
+
+    bar = [{"date": "2020-01-03", "adjClose": 1.5}]
+    folder, listed = cache(tmp_path, {(f"s{i}", None): bar for i in range(2500)})
+    source = paged.PagedReader({"symbols": listed, "path": folder, "per_task": "1"}, paged.T.StructType.fromDDL("symbol string, date date, _failure string"))
+    parts = source.partitions()
+    assert len(parts) <= paged.MAX_TASKS and [s for p in parts for s in p.symbols] == [*(f"s{i}" for i in range(2500)), "absent"]
+    looked, real = [], pafs.FileSystem.from_uri
+    monkeypatch.setattr(pafs, "FileSystem", type("Counted", (), {"from_uri": staticmethod(lambda uri: looked.append(uri) or real(uri))}))
+    assert [b.num_rows for b in source.read(parts[0])] == [1] * len(parts[0].symbols) and len(parts[0].symbols) > 1 and len(looked) == 1
