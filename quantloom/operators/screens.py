@@ -2,7 +2,7 @@
 
 Spark deals a name's values of a family, as one row, to the family's cross-section at a date; there numpy sorts each
 component and each score once, and ranks, pairs and fractiles are read off these orders. Window functions would sort the
-long panel five times a score. What leaves a task are a row of figures a score, and the names of its outer fractiles. A task
+long panel five times a score. What leaves a task is a row a score: its figures, and the names of its outer fractiles. A task
 holds one cross-section at a time (a row a name of one family); there are as many of them as families times dates."""
 
 from __future__ import annotations
@@ -71,9 +71,9 @@ def _scored(values: list[np.ndarray], again: bool, wanted: list[int | None]) ->
     return [(k, score) for k, score in zip(wanted, [_pct(mean) if again else mean, *ranks], strict=True) if k is not None]
 
 
-def _figures(score: np.ndarray, rets: list[np.ndarray], by_ret: list[np.ndarray], n: int, min_names: int) -> tuple[dict, np.ndarray, np.ndarray]:
-    """The ICs of a score with each return, and of the first return the means of all, top and bottom names with their
-    numbers; then the positions of top and bottom. by_ret: the orders of the returns."""
+def _figures(score: np.ndarray, rets: list[np.ndarray], by_ret: list[np.ndarray], n: int, min_names: int) -> tuple[dict[str, float | None], np.ndarray, np.ndarray]:
+    """The ICs of a score with each return, and of the first return the means of all, top and bottom names; then the
+    positions of top and bottom. by_ret: the orders of the returns."""
     by_score, there = _order(score), ~np.isnan(score)
     place, found = np.empty(len(score)), {}
     top = bottom = by_score[:0]
@@ -87,65 +87,56 @@ def _figures(score: np.ndarray, rets: list[np.ndarray], by_ret: list[np.ndarray]
         if i == 0 and size >= n:
             fractile = np.maximum((np.arange(size) * n + size - 2) // max(size - 1, 1) - 1, 0)
             top, bottom = at[fractile == n - 1], at[fractile == 0]
-            found |= {"all": r[at].mean(), "top": r[top].mean(), "bot": r[bottom].mean(), "n_top": len(top), "n_bot": len(bottom)}
+            found |= {"all": r[at].mean(), "top": r[top].mean(), "bot": r[bottom].mean()}
     return found, top, bottom
 
 
 def cross_sections(panel: DataFrame, families: dict[str, list[str]], alone: dict[str, tuple[str, bool]], names: list[str], rets: list[str], keys: list[str], n: int = 10, min_names: int = 20) -> DataFrame:
-    """For each of `names` (of factor_scores) and keys a row of figures: ic0, ic1, .. (the rank IC with each of rets), and of
-    the first return the means of all names, of the top and of the bottom fractile (of n), with the numbers of the latter
-    two; and a row for each name in the outer fractiles (1 the highest scores, n the lowest; null in a row of figures).
-    Scores come as their places in `names`. NaN counts as null."""
+    """A row for each of `names` (of factor_scores), as its `place` in them, and keys: ic0, ic1, .. (the rank IC with each of
+    rets), and of the first return the means of all names, of the top and of the bottom fractile (of n), and who is in the
+    latter two: arrays `highest` and `lowest`, empty where there are fewer than n names. NaN counts as null."""
     groups, place = families | {k: [c] for k, (c, _) in alone.items()}, {name: i for i, name in reversed([*enumerate(names)])}
     wanted = {f: [place.get(x) for x in own] for f, own in score_names(families, alone).items()}
-    once = [k for k, (_, again) in alone.items() if not again]
-    figures = [*(f"ic{i}" for i in range(len(rets))), "all", "top", "bot", "n_top", "n_bot"]
-    types = {k: panel.schema[k].dataType for k in [*keys, "symbol"]}
-    schema = T.StructType([T.StructField(k, types[k]) for k in keys] + [T.StructField("place", T.IntegerType()), T.StructField("symbol", types["symbol"]), T.StructField("fractile", T.IntegerType())]
-        + [T.StructField(k, T.LongType() if k.startswith("n_") else T.DoubleType()) for k in figures])
-    width = len(rets)
-
-    def one(key: tuple, rows: pa.Table) -> pa.Table:
+    once, width = [k for k, (_, again) in alone.items() if not again], len(rets)
+    figures, symbols = [*(f"ic{i}" for i in range(width)), "all", "top", "bot"], T.ArrayType(panel.schema["symbol"].dataType)
+    fields = [panel.schema[k] for k in keys] + [T.StructField("place", T.IntegerType())] + [T.StructField(k, T.DoubleType()) for k in figures]
+    schema = T.StructType([*fields, T.StructField("highest", symbols), T.StructField("lowest", symbols)])
+
+    def one(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         family = key[-1].as_py()
         rows = rows.take(pc.sort_indices(rows["symbol"], null_placement="at_start"))  # names in order: ties go by name
-        column = lambda i: rows[f"__v{i}"].to_numpy()
-        back, symbol = [column(i) for i in range(width)], rows["symbol"].combine_chunks()
-        scored = _scored([column(width + i) for i in range(len(groups[family]))], family not in once, wanted[family])
-        by_ret, parts = [_order(r) for r in back], []
-        for at, score in scored:
-            found, top, bottom = _figures(score, back, by_ret, n, min_names)
-            names_of = np.concatenate([top, bottom])
-            m = len(names_of)
-            sides = np.repeat(np.array([1, n], dtype=np.int32), [len(top), len(bottom)])
-            head, tail = {"symbol": pa.nulls(1, symbol.type), "fractile": pa.nulls(1, pa.int32())}, {"symbol": symbol.take(pa.array(names_of)), "fractile": pa.array(sides)}
-            both = {k: pa.chunked_array([head[k], tail[k]]) for k in head}
-            fixed = {k: pa.repeat(v, m + 1) for k, v in zip(keys, key, strict=False)} | {"place": pa.array(np.full(m + 1, at, dtype=np.int32))}
-            typed = {k: pa.int64() if k.startswith("n_") else pa.float64() for k in figures}
-            cells = {k: pa.chunked_array([pa.array([found.get(k)], t), pa.nulls(m, t)]) for k, t in typed.items()}
-            parts.append(pa.table(fixed | both | cells).select(schema.names))
-        if not parts:
-            return pa.table({k: pa.nulls(0, v.type) for k, v in zip(keys, key, strict=False)} | {"place": pa.nulls(0, pa.int32()), "symbol": symbol[:0], "fractile": pa.nulls(0, pa.int32())}
-                | {k: pa.nulls(0, pa.int64() if k.startswith("n_") else pa.float64()) for k in figures})
-        return pa.concat_tables(parts)
+        symbol, k = rows["symbol"].combine_chunks(), width + len(groups[family])
+        columns = [np.ascontiguousarray(c) for c in pc.list_flatten(rows["__v"]).to_numpy().reshape(-1, k).T]
+        back, scored = columns[:width], _scored(columns[width:], family not in once, wanted[family])
+        by_ret = [_order(r) for r in back]
+        found = [_figures(score, back, by_ret, n, min_names) for _, score in scored]
+
+        def who(side: int) -> pa.Array:
+            parts = [f[side] for f in found]
+            ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), symbol.take(pa.array(np.concatenate([np.empty(0, np.int64), *parts]))))
+
+        out = {c: pa.repeat(v, len(found)) for c, v in zip(keys, key, strict=False)} | {"place": pa.array([at for at, _ in scored], pa.int32())}
+        return pa.table(out | {c: pa.array([f[0].get(c) for f in found], pa.float64()) for c in figures} | {"highest": who(1), "lowest": who(2)})
 
     rows = dealt(family_values(panel, groups, keys, rets), *keys, "family")
-    values = [F.get("__v", F.lit(i)).alias(f"__v{i}") for i in range(width + max(map(len, groups.values())))]
-    return rows.select(*keys, "family", "symbol", *values).groupBy(*keys, "family").applyInArrow(one, schema)
+    return rows.groupBy(*keys, "family").applyInArrow(one, schema)  # an array is one Arrow column: cheaper than its values as columns
 
 
 def factor_screen(panel: DataFrame, families: dict[str, list[str]], alone: dict[str, tuple[str, bool]], names: list[str], rets: list[str], n: int = 10, min_names: int = 20, per_year: int = 12) -> DataFrame:
     """A row for each of `names`, as its `place` in them: mean0, t0, hit0, mean1, .. of the monthly rank ICs with each of rets,
-    and what `fractile_screen` has of the first. The figures and the outer names are staged: everything is ranked once."""
+    and what `fractile_screen` has of the first. The cross-sections are staged: everything is ranked once."""
     found = staged(cross_sections(panel, families, alone, names, rets, ["date"], n, min_names), "cross-sections")
-    figures, outer = found.where("fractile is null"), found.where("fractile is not null").select("place", "fractile", "symbol", "date")
+    side = lambda k, c: F.struct(F.lit(k).alias("fractile"), F.col(c).alias("who"))
+    sides = found.select("place", "date", F.inline(F.array(side(1, "highest"), side(n, "lowest"))))
+    sums = sides.select("place", "fractile", "date", F.size("who").alias("__n")).where("__n > 0")
+    outer = sides.select("place", "fractile", "date", F.explode("who").alias("symbol"))
+    of = lambda k: F.max(F.when(F.col("fractile") == k, F.col("turnover")))
+    turn = fractile_turnover(outer, sums, ["place"]).groupBy("place").agg(of(1).alias("turn_top"), of(n).alias("turn_bot"))
     aggs = []
     for i in range(len(rets)):
         ic = f"ic{i}"
         aggs += [F.avg(ic).alias(f"mean{i}"), (ratio(F.avg(ic), F.stddev_samp(ic)) * F.sqrt(F.count(ic))).alias(f"t{i}")]
         aggs += [F.avg(F.when(F.col(ic) > 0, 1.0).when(F.col(ic).isNotNull(), 0.0)).alias(f"hit{i}")]
-    legs = figures.select("place", *(f"ic{i}" for i in range(len(rets))), *((F.col(k) - F.col("all")).alias(k) for k in ("top", "bot")), (F.col("top") - F.col("bot")).alias("ls"))
-    sides = F.array(*(F.struct(F.lit(k).alias("fractile"), F.col(c).alias("__n")) for k, c in ((1, "n_top"), (n, "n_bot"))))
-    sums = figures.select("place", "date", F.inline(sides)).where("__n is not null")
-    of = lambda k: F.max(F.when(F.col("fractile") == k, F.col("turnover")))
-    turn = fractile_turnover(outer, sums, ["place"]).groupBy("place").agg(of(1).alias("turn_top"), of(n).alias("turn_bot"))
+    legs = found.select("place", *(f"ic{i}" for i in range(len(rets))), *((F.col(k) - F.col("all")).alias(k) for k in ("top", "bot")), (F.col("top") - F.col("bot")).alias("ls"))
     return legs.groupBy("place").agg(*aggs, *active_stats(per_year)).join(turn, "place", "left")

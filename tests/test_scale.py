@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import asof, books, cross_section, ml, point_in_time, signals, stats
+from quantloom.operators import asof, books, cross_section, ml, point_in_time, signals, stats, time_series
 from quantloom.plans import QUERIES, reports, screen
 from quantloom.sources import shared
 
@@ -82,6 +82,22 @@ def test_the_factor_screen_reads_its_panel_once(spark, monkeypatch):
     assert seen.value == len(rows)
 
 
+def test_the_panel_of_the_screen_reads_its_table_once(spark):
+    plan = executed(screen.components(spark, "/root/testdata/sf0.001"))
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan
+
+
+def test_sums_of_the_last_days_equal_a_count(spark):
+    rng = random.Random(11)
+    days = sorted({dt.date(2020, 1, 1) + dt.timedelta(rng.randrange(800)) for _ in range(60)})
+    rows = [(s, d, rng.choice([-1, 0, 1])) for s in "ab" for d in days if s == "a" or rng.random() < 0.5] + [("a", None, 1)]
+    df = spark.createDataFrame(rows, "symbol string, date date, x int").repartition(3)
+    got = {(r.symbol, r.date): (r.q, r.y) for r in df.withColumns({"q": time_series.within("x", 92, ["symbol"]), "y": time_series.within("x", 365, ["symbol"])}).collect()}
+    for s, d, _ in rows[:-1]:
+        inside = lambda n, s=s, d=d: sum(x for k, e, x in rows[:-1] if k == s and d - dt.timedelta(n) < e <= d)
+        assert got[s, d] == (inside(92), inside(365))
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_asof_grid_equals_asof_join_of_the_grid(spark, wide):
     rng = random.Random(8)
